@@ -4,7 +4,9 @@ The rank file is turned into a `tokenizers` BPE model: bytes become the printabl
 characters of the byte-level alphabet, and every split of a token into two known
 tokens becomes a merge whose priority is the token's rank, as a rank-driven merge has
 it; a piece that is itself a token is taken whole. Texts are split by the pattern first; each distinct piece is encoded once per
-worker and remembered, up to CACHE pieces.
+worker and remembered, up to CACHE pieces. Letters and digits newer than this Python's
+Unicode tables may be classed otherwise by the pattern's two implementations; texts with
+such characters go through the rank-driven library itself.
 
 Defined results: a null or empty text has no ids; decoding gives back the bytes of the
 text. `encode` keeps all columns of its input; added names get a leading underscore
@@ -15,11 +17,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -56,6 +61,13 @@ def bpe_model(ranks: dict[bytes, int]) -> Tokenizer:
     return model
 
 
+def unsettled(pattern: str = r"[\p{L}\p{N}]") -> regex.Pattern:
+    """Matches letters and digits that this Python's Unicode tables do not have yet."""
+    known = regex.compile(pattern).match
+    new = [c for c in map(chr, range(0x378, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn" and known(c)]
+    return regex.compile("[" + "".join(map(regex.escape, new)) + "]" if new else "(?!)")
+
+
 class Codec:
     """Encodes texts to ids with byte offsets, and decodes ids to bytes."""
 
@@ -65,9 +77,14 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.unsettled = unsettled().search
+        self.direct = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for text in texts:
+            if not text.isascii() and self.unsettled(text):
+                yield self.direct.encode_ordinary(text)
+                continue
             found = self.pieces(text)
             known = self.known
             new = list({p for p in found if p not in known})
