@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokens
+from . import language, packing, quality, tokens
 from .common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,9 +26,22 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the declared language is `lang`, the host is `source`."""
+    out = language.identify_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "language", "confidence", "accepted")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: the same fusion with markup language, address suffix and host."""
+    return language.identify_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "language", "confidence", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op10_language_id": op10_language_id,
+    "language_id_pages": language_id_pages,
 }
 ORACLE_SQL: dict[str, str] = {}
