@@ -27,7 +27,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import models
 
 from .common import fresh
 
@@ -47,7 +47,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def bpe_model(ranks: dict[bytes, int]) -> Tokenizer:
+def bpe_model(ranks: dict[bytes, int]) -> models.BPE:
     """A `tokenizers` BPE over byte characters that merges in the order of the ranks."""
     to = byte_characters()
     spell = {token: "".join(to[b] for b in token) for token in ranks}
@@ -56,16 +56,17 @@ def bpe_model(ranks: dict[bytes, int]) -> Tokenizer:
         for k in range(1, len(token)):
             if token[:k] in ranks and token[k:] in ranks:
                 merges.append((spell[token[:k]], spell[token[k:]]))
-    model = Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0))
-    model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return model
+    return models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
 
 
-def unsettled(pattern: str = r"[\p{L}\p{N}]") -> regex.Pattern:
-    """Matches letters and digits that this Python's Unicode tables do not have yet."""
+def unsettled(pattern: str = r"[\p{L}\p{N}]") -> tuple[str, regex.Pattern]:
+    """The first of the letters and digits that this Python's Unicode tables do not have yet, and their pattern."""
     known = regex.compile(pattern).match
-    new = [c for c in map(chr, range(0x378, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn" and known(c)]
-    return regex.compile("[" + "".join(map(regex.escape, new)) + "]" if new else "(?!)")
+    new = [c for c in range(0x378, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and known(chr(c))]
+    held = set(new)
+    runs = list(zip((c for c in new if c - 1 not in held), (c for c in new if c + 1 not in held)))
+    first = chr(new[0]) if new else chr(sys.maxunicode)
+    return first, regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]" if runs else "(?!)")
 
 
 class Codec:
@@ -77,26 +78,29 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
-        self.unsettled = unsettled().search
+        self.spelling = dict(enumerate(byte_characters()))
+        self.first_new, found = unsettled()
+        self.unsettled = found.search
         self.direct = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for text in texts:
-            if not text.isascii() and self.unsettled(text):
+            if text and not text.isascii() and max(text) >= self.first_new and self.unsettled(text):
                 yield self.direct.encode_ordinary(text)
                 continue
-            found = self.pieces(text)
             known = self.known
-            new = list({p for p in found if p not in known})
-            if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set(found))
-                for piece, coded in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-                    known[piece] = coded.ids
+            if len(known) > CACHE:
+                known.clear()
             ids: list[int] = []
-            for piece in found:
-                ids += known[piece]
+            for piece in self.pieces(text):
+                coded = known.get(piece)
+                if coded is None:
+                    # each byte as the character that stands for it, as the model has its tokens
+                    spelled = piece.encode().decode("latin-1").translate(self.spelling)
+                    coded = [t.id for t in self.model.tokenize(spelled)]
+                    if len(piece) < 64:
+                        known[piece] = coded
+                ids += coded
             yield ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
