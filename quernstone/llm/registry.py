@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, minhash, packing, quality, repeats, tokens
+from . import ann, language, minhash, packing, quality, repeats, tokens, topk
 from .common import table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +35,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: the declared language is `lang`, the host is `source`."""
     out = language.identify_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
@@ -51,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_ivf_pq": op8_ivf_pq,
+    "op9_block_topk": op9_block_topk,
     "op10_language_id": op10_language_id,
     "language_id_pages": language_id_pages,
 }
