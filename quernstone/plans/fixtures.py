@@ -41,7 +41,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     sharp = F.col("l_extendedprice") * 0.001
     return joined.select(
-        F.col("l_orderkey").alias("image_id"), "iw", "ih", (F.row_number().over(order) - 1).alias("det"),
+        F.col("l_orderkey").alias("image_id"), "iw", "ih", (F.row_number().over(order) - 1).cast("long").alias("det"),
         ((F.col("l_partkey") * 7) % F.col("iw").cast("long") - F.col("w") / 2.0).alias("x"),
         ((F.col("l_suppkey") * 131) % F.col("ih").cast("long") - F.col("h") / 2.0).alias("y"),
         "w", "h", (1.0 - 5.0 * F.col("l_tax")).alias("score"),
