@@ -1,11 +1,12 @@
 """Repeated passages over a corpus, by prefix-free parsing: every byte of a 400-byte string that starts twice.
 
-A rolling hash of TRIGGER bytes sets phrase ends wherever it is 0 modulo PERIOD, so that equal
-passages are cut alike wherever they stand. As in a prefix-free parse, the order of two
-positions is that of the phrase suffix up to the next trigger, then of what follows the
-trigger. Removal asks for that order only which neighbours share `length` bytes, so suffixes
-get names in place of ranks, level by level, and equal names meet in a grouped aggregation
-(no task has to hold an order of the corpus, nor all occurrences of one passage):
+A rolling hash of TRIGGER bytes sets phrase ends wherever it is 0 modulo a period (the sparsest
+of PERIODS with a trigger in reach of a window), so that equal passages are cut alike wherever
+they stand. As in a prefix-free parse, the order of two positions is that of the phrase suffix
+up to the next trigger, then of what follows the trigger. Removal asks of that order only which
+neighbours share `length` bytes, so suffixes get names in place of ranks, level by level, and
+equal names meet in a grouped aggregation (no task has to hold an order of the corpus, nor all
+occurrences of one passage):
 
 1. Windows of `length` bytes are grouped into cells by their next trigger and their distance
    to it, CELL distances together. A cell has two names: `core`, of the bytes that all windows
@@ -40,8 +41,9 @@ from .common import U64, Rolling, Staging, chunks, fresh, text_buffer
 
 LENGTH = 400
 TRIGGER = 16
-PERIOD = 64
-CELL = 96
+#: From sparse to dense: text that repeats itself may lack the sparse triggers for long.
+PERIODS = (128, 32, 4)
+CELL = 120
 
 _core: Rolling | None = None
 _whole: Rolling | None = None
@@ -54,53 +56,57 @@ def _hashes() -> tuple[Rolling, Rolling]:
     return _core, _whole
 
 
-def triggers(core: Rolling, prefix: np.ndarray) -> np.ndarray:
-    """Where the rolling hash of the next TRIGGER bytes is 0 modulo PERIOD."""
-    n = len(prefix) - TRIGGER
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    rolled = (prefix[TRIGGER:] - prefix[:n]) * core.down[:n]
-    return np.flatnonzero((rolled * U64(0x9E3779B97F4A7C15)) >> U64(40) & U64(PERIOD - 1) == 0)
+def rolled(core: Rolling, prefix: np.ndarray) -> np.ndarray:
+    """Short rolling hashes of the TRIGGER bytes from each position on."""
+    n = max(0, len(prefix) - TRIGGER)
+    rolling = (prefix[TRIGGER:] - prefix[:n]) * core.down[:n]
+    return ((rolling * U64(0x9E3779B97F4A7C15)) >> U64(48)).astype(np.uint16)
+
+
+def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of n positions the inclusive ranges cover."""
+    edge = np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(last + 1, minlength=n + 1)[: n + 1]
+    return np.cumsum(edge[:n]) > 0
 
 
 def cells(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, core, whole) of the cells of some texts, in order of position."""
+    """(document, first window, windows, core, whole) of the cells of some texts.
+
+    Windows take the sparsest of PERIODS that has a trigger in their reach.
+    """
     core, whole = _hashes()
+    n, reach = len(data), length - TRIGGER  # the farthest trigger that a window still holds
     p1 = core.prefix(data)
-    reach = length - TRIGGER  # farthest distance of a trigger that a window still holds
-    at = triggers(core, p1)
-    # windows [first, last] of each document
-    first, last = offsets[:-1], offsets[1:] - length
-    has = last >= first
+    has = offsets[1:] - length >= offsets[:-1]
+    left = _covered(n, offsets[:-1][has], (offsets[1:] - length)[has])  # windows without a cell so far
     starts, ends, anchors = [], [], []
-    doc_of_trigger = np.searchsorted(offsets, at, side="right") - 1
-    at = at[at + TRIGGER <= offsets[doc_of_trigger + 1]]
-    doc_of_trigger = np.searchsorted(offsets, at, side="right") - 1
-    before = np.concatenate([[-1], at[:-1]]) if len(at) else at
-    lo = np.maximum(before + 1, offsets[doc_of_trigger])
-    # distances CELL * q to CELL * q + CELL - 1 of each trigger
-    for q in range(-(-reach // CELL)):
-        a = np.maximum(lo, at - np.minimum(CELL * q + CELL - 1, reach - 1))
-        b = np.minimum(at - CELL * q, last[doc_of_trigger])
-        keep = a <= b
-        starts.append(a[keep])
-        ends.append(b[keep])
-        anchors.append((at - CELL * q)[keep])
-    start, end, anchor = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, anchors))
-    # windows out of reach of a trigger
-    n = len(data)
-    covered = np.zeros(n + 1, np.int32)
-    np.add.at(covered, start, 1)
-    np.add.at(covered, end + 1, -1)
-    bare = np.cumsum(covered[:n]) == 0
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, first[has], 1)
-    np.add.at(edge, last[has] + 1, -1)
-    bare = np.flatnonzero(bare & (np.cumsum(edge[:n]) > 0))
+    hashed = rolled(core, p1)
+    for period in PERIODS:
+        places = np.flatnonzero(left)
+        if not len(places):
+            break
+        at = np.flatnonzero(hashed & np.uint16(period - 1) == 0)  # periods are powers of two
+        own = np.searchsorted(offsets, at, side="right") - 1
+        inside = at + TRIGGER <= offsets[own + 1]
+        at, own = at[inside], own[inside]
+        lo = np.maximum(np.append(-1, at[:-1])[: len(at)] + 1, offsets[own])
+        for q in range(-(-reach // CELL)):
+            a = np.maximum(lo, at - np.minimum(CELL * q + CELL - 1, reach - 1))
+            b = at - CELL * q
+            # windows left over in [a, b]; they are neighbours, as taken ones lie `reach` apart
+            i, j = np.searchsorted(places, a), np.searchsorted(places, b, side="right") - 1
+            keep = (i <= j) & (a <= b)
+            starts.append(places[i[keep]])
+            ends.append(places[j[keep]])
+            anchors.append(b[keep])
+        left &= ~_covered(n, np.concatenate(starts), np.concatenate(ends))
+    bare = np.flatnonzero(left)
+    start, end, anchor = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, ends, anchors))
     p2 = whole.prefix(data)
-    shared = core.ranges(p1, anchor, anchor - CELL + 1 + length)
-    covers = whole.ranges(p2, start, end + length)
-    names = [np.concatenate([shared, core.ranges(p1, bare, bare + length)]), np.concatenate([covers, whole.ranges(p2, bare, bare + length)])]
+    names = [
+        np.concatenate([core.ranges(p1, anchor, anchor - CELL + 1 + length), core.ranges(p1, bare, bare + length)]),
+        np.concatenate([whole.ranges(p2, start, end + length), whole.ranges(p2, bare, bare + length)]),
+    ]
     start, end = np.concatenate([start, bare]), np.concatenate([end, bare])
     doc = np.searchsorted(offsets, start, side="right") - 1
     return doc, start - offsets[doc], end - start + 1, names[0].view(np.int64), names[1].view(np.int64)
