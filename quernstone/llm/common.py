@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,15 +50,14 @@ class Staging:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Removes tables that no plan reads any more."""
+        """Removes tables that no plan reads any more, and lets Spark find the shuffle files of finished plans."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_local(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+        gc.collect()
+        time.sleep(0.3)  # the bridge passes dropped references on in the background
+        jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

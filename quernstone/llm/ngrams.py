@@ -198,7 +198,7 @@ def scored(grams: Grams, documents: int, word_totals: np.ndarray, pair_totals: n
     hit, known = c_pair > 0, c_word > 0
     share = np.where(hit, c_pair / np.maximum(c_before, 1), np.where(known, BACKOFF * c_word / np.maximum(rest, 1), BACKOFF * UNSEEN / (rest + 1)))
     per = [np.bincount(doc, x, documents).astype(np.int64) for x in (hit, ~hit & known, ~hit & ~known)]
-    return n, *per, np.bincount(doc, np.log(share), documents)
+    return n, *per, np.bincount(doc, np.log(share), documents).astype(np.float64)
 
 
 def score(spark: SparkSession, docs: DataFrame, chunk: int = CHUNK, part: int = SLICE) -> DataFrame:
@@ -208,6 +208,7 @@ def score(spark: SparkSession, docs: DataFrame, chunk: int = CHUNK, part: int =
     size, corpus = packs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     slices = max(1, -(-size // part))
     gathered = staged.put("totals", summed(sent(packs, slices), slices))
+    staged.drop()  # what was sent is summed: its shuffle files can go
     lists = gathered.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "slice", "totals"))).alias("totals"))
     joined = packs.join(lists, "chunk", "left").select("bytes", "ids", "ends", "body", "totals")
 
