@@ -35,18 +35,21 @@ def register_detector(name: str, factory: Callable[..., Detector]) -> None:
     _detectors[name] = factory
 
 
-def detector(name: str, **options: object) -> Detector:
+def detector(name: str) -> Callable[..., Detector]:
+    """The factory of a detector, looked up on the driver and sent to the workers."""
     if name not in _detectors:
         raise ValueError(f"no detector {name!r}; there are {', '.join(sorted(_detectors)) or 'none'}")
-    return _detectors[name](**options)
+    return _detectors[name]
 
 
 def detect(images: DataFrame, name: str, decode: Callable[[bytes], object], **options: object) -> DataFrame:
     """(image_id, regions array, error) of images (image_id, content); an image's error drops all its regions."""
     import pandas as pd
 
+    factory = detector(name)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = detector(name, **options)
+        own = factory(**options)
         for frame in frames:
             rows = []
             for image_id, content in zip(frame["image_id"], frame["content"]):
