@@ -88,6 +88,53 @@ def _write(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     return run
 
 
+def _remove(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Deletes the files (path) below a folder; what is not there is no error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            n = 0
+            for path in frame["path"]:
+                try:
+                    system.delete_file(f"{base}/{path}")
+                    n += 1
+                except FileNotFoundError:
+                    pass
+            yield pd.DataFrame({"removed": [n]})
+
+    return run
+
+
+def overwrite(spark: SparkSession, output: str) -> int:
+    """Removes the files that the manifest of an old run names, and those beside them; nothing else."""
+    old = files.read(spark, f"{output}/manifest.jsonl")
+    names = old.select(F.explode(F.array_union(manifest.side_files(F.col("image_file")), F.filter(F.array("caption_file", "mask_file"), lambda x: x.isNotNull()))).alias("path")).distinct()
+    outside = [r["path"] for r in names.where(manifest.escapes(F.col("path"))).limit(5).collect()]
+    if outside:
+        raise ValueError(f"the old manifest names files outside its folder: {', '.join(outside)}")
+    removed = names.mapInPandas(_remove(output), "removed long").agg(F.sum("removed")).first()[0] or 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{output}/manifest.jsonl")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    return removed
+
+
+def training_run(spark: SparkSession, settings: Settings, output: str) -> dict | None:
+    """Writes training_config.json from the manifest; None where no configuration applies."""
+    rows = files.read(spark, f"{output}/manifest.jsonl").select("tier", "mask_file", "mask_dir")
+    native = settings.keep_size or settings.skip_detection and not settings.no_crop
+    row = numbering.training_config(rows, settings.sizes, native=native).first()
+    if row is None:
+        return None
+    config = {"resolution": row["resolution"] or "", "epochs": row["epochs"], "batch_size": row["batch_size"], "masked_training": row["masked_training"]}
+    if row["masked_training"]:
+        config |= {"unmasked_probability": 0.0, "unmasked_weight": 0.0}
+    spark.createDataFrame([("training_config.json", bytearray(json.dumps(config, indent=2).encode()))], "path string, body binary").mapInPandas(_write(output), "written long").collect()
+    return config
+
+
 def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, staging: str, decode: Callable[[bytes], object] = pixels.decode) -> dict:
     """Runs everything up to the manifest and returns the statistics. root, output and staging are URIs."""
     s = settings.checked()
@@ -164,7 +211,7 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     if s.dry_run:
         return stats
     if s.overwrite and exists:
-        system.delete(spark._jvm.org.apache.hadoop.fs.Path(output), True)
+        overwrite(spark, output)
     bodies = rows.join(cut.select(F.col("image_id").alias("source"), "rank", "body"), ["source", "rank"]).select(F.col("image_file").alias("path"), "body")
     bodies.mapInPandas(_write(output), "written long").agg(F.sum("written")).collect()
     new = rows.drop("rank")

@@ -81,6 +81,7 @@ def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
     to_json(rows).orderBy("index").select("value").coalesce(1).write.text(staged.toString())
     part = next(f.getPath() for f in system.listStatus(staged) if f.getPath().getName().startswith("part-"))
     system.delete(target, False)
+    system.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
     if not system.rename(part, target):
         raise OSError(f"could not put the new manifest at {path}")
     system.delete(staged, True)

@@ -100,6 +100,8 @@ def test_crop_run_and_captions(spark, photos):
     lines = [json.loads(x) for x in (photos / "out/manifest.jsonl").read_text().splitlines()]
     assert [(x["index"], x["source"]) for x in lines] == [(1, "a/x.png"), (2, "b.png"), (3, "c.png")]
 
+    assert runs.training_run(spark, settings(), output) == {"resolution": "256", "epochs": 300, "batch_size": 2, "masked_training": False}
+
     runs.register_captioner("template", stubs.Captioner)
     own = Settings(captioner="template", trigger="sks")
     assert runs.caption_run(spark, own, output, staging) == 2
@@ -117,6 +119,20 @@ def test_crop_run_and_captions(spark, photos):
         runs.rebuild_run(spark, output, staging)
 
 
+def test_overwrite_removes_only_its_own_files(spark, photos):
+    spark.sparkContext.addPyFile(stubs.__file__)
+    root, output, staging = paths(photos)
+    runs.crop_run(spark, settings(prefix="old"), root, output, staging)
+    (photos / "out/mine.png").write_bytes(b"1")
+    runs.crop_run(spark, settings(overwrite=True), root, output, staging)
+    assert {p.name for p in (photos / "out").glob("*.png")} == {"mine.png", "0001.png", "0002.png"}
+    (photos / "out/manifest.jsonl").write_text((photos / "out/manifest.jsonl").read_text().replace("0001.png", "../in/b.png"))
+    (photos / "out/.manifest.jsonl.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        runs.overwrite(spark, output)
+    assert (photos / "in/b.png").exists()
+
+
 def test_whole_photos(spark, photos):
     root, output, staging = paths(photos)
     stats = runs.crop_run(spark, settings(skip_detection=True), root, output, staging)
