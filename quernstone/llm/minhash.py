@@ -5,12 +5,18 @@
    the minima folded into a bitmap by parity. The XOR of two sketches has about
    n/2 (1 - exp(-4 k (1 - J) / n)) bits, which gives the similarity J back.
 2. Documents of one set key are one class; only classes go on.
-3. Classes of one band value are candidates. First round: in a random order of each value's
-   classes, neighbours are compared, for the first CHAIN bands. Second round: in every band
-   value whose classes are still in several components, all classes outside the largest of
-   these are compared with all its classes, in blocks. A pair of one component needs no test,
-   so nothing is lost, and large groups of copies never make all pairs.
-4. A pair whose sketches are within MARGIN of the threshold is confirmed on its full sets.
+3. Classes of one band value are candidates. First round, over the first CHAIN bands: in a random
+   order of each value's classes, neighbours are compared; and where a value has CROWD classes or
+   more, all are compared with their pivot, the class nearest to the majority of their odd
+   sketches' bits (the original, where all are copies of one). Then, in every band value whose
+   classes are still in several components, all classes outside the largest of these (probes)
+   are compared with all its classes, in blocks: in the second round, over the first CHAIN bands,
+   each probe keeps its best partner, in the third, over all bands, every partner. A pair is tested
+   in the first band that it shares. A pair of one component needs no test, so nothing is lost,
+   and large groups of copies never make all pairs.
+4. A pair passes if its odd sketches are within MARGIN of the threshold, and then if odd
+   sketches of the whole sets (4 bits a shingle) are within SIGMAS deviations of it. What
+   passes is confirmed on the full sets.
 5. Components by rounds of joins; every document gets the smallest id of its component.
 
 With 24 bands of 3, a pair at exactly 0.75 shares no band with probability 2e-6.
@@ -40,7 +46,9 @@ BANDS, ROWS, CHAIN = 24, 3, 6
 MINS = 96
 BITS = 512
 MARGIN = 0.25
-BLOCK = 256
+SIGMAS = 5.5
+BLOCK = 64
+CROWD = 16
 LAST = (1 << 63) - 1
 
 _words: Rolling | None = None
@@ -104,6 +112,35 @@ def signatures(found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return set_keys(found, sizes), bands, odd
 
 
+def whole_sketches(found: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Odd sketches of full sets, of a power of two of bits: at least 4 a shingle and 512."""
+    bits = np.left_shift(512, np.ceil(np.log2(np.maximum(sizes / 128, 1))).astype(np.int64))
+    place = mix(found ^ U64(0xA24BAED4963EE407)) & np.repeat(bits - 1, sizes).astype(U64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return [np.packbits((np.bincount(place[a:b].astype(np.int64), minlength=n) & 1).astype(np.uint8)).tobytes() if b > a else b"" for a, b, n in zip(ends, ends[1:], bits)]
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows x bytes) folded to `width` bytes."""
+    while rows.shape[-1] > width:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
+
+
+def excess(x: np.ndarray, width: int, total: np.ndarray, threshold: float) -> np.ndarray:
+    """By how much XOR counts of whole sketches exceed what a pair at the threshold may have.
+
+    total: sums of the two set sizes. A pair at the threshold differs in d = total (1 - t)/(1 + t)
+    shingles, whose parity bits have this mean and this deviation.
+    """
+    n = width * 8
+    d = total * (1 - threshold) / (1 + threshold)
+    shrunk = np.exp(-2 * d / n)
+    mean, variance = n / 2 * (1 - shrunk), n / 4 * (1 - shrunk**2) - d * shrunk**2
+    return x - mean - SIGMAS * np.sqrt(np.maximum(variance, 0)) - 1
+
+
 def similarity(distance: np.ndarray) -> np.ndarray:
     """The similarity that XOR population counts of odd sketches stand for."""
     return 1 + BITS / (4 * MINS) * np.log(np.maximum(1 - 2 * distance / BITS, 1e-9))
@@ -133,7 +170,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null: no shingles), bands, odd of each document."""
+    """doc_id, n_shingles, set_key (null: no shingles), bands, marks (their low 32 bits), odd, whole of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,9 +180,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys, bands, odd = signatures(found, sizes)
                 key = pc.if_else(pa.array(sizes > 0), _fixed(keys), pa.scalar(None, pa.binary()))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), key, flat, _fixed(odd)], names=["doc_id", "n_shingles", "set_key", "bands", "odd"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), key, flat, _fixed(bands.astype("<u4").view(np.uint8).reshape(hi - lo, -1)), _fixed(odd), pa.array(whole_sketches(found, sizes), pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "marks", "odd", "whole"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd binary")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary, odd binary, whole binary")
 
 
 def node_of(doc_id: Column, set_key: Column) -> Column:
@@ -159,9 +196,9 @@ def id_of(node: Column) -> Column:
     return F.nullif(value.cast("long"), F.lit(LAST))
 
 
-def _banded(classes: DataFrame, first: int, last: int) -> DataFrame:
-    """(band, node, odd, label) of the bands first to last - 1."""
-    return classes.select(F.explode(F.slice("bands", first + 1, last - first)).alias("band"), "node", "odd", "label")
+def _banded(classes: DataFrame, first: int, last: int, *more: str) -> DataFrame:
+    """band, node and further columns, of the bands first to last - 1."""
+    return classes.select(F.explode(F.slice("bands", first + 1, last - first)).alias("band"), "node", *more)
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -228,52 +265,159 @@ def seams(spark: SparkSession, edges: DataFrame, threshold: float) -> DataFrame:
     return spark.createDataFrame(found, "a binary, b binary")
 
 
+def pivots(staged: Staging, banded: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class in a crowded band value with the value's pivot; banded: band, node, odd.
+
+    Bits are counted per task and band value, so that a frequent value is counted in many tasks,
+    and a value gathers one row from each of these.
+    """
+    many = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("band")
+    crowded = staged.put("crowded", _spread(banded.join(staged.put("many", many), "band")).select("band", "node", "odd"))
+
+    def runs(band: np.ndarray) -> list[tuple[int, int]]:
+        edges = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)] if len(band) else []
+        return list(zip(edges, edges[1:]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, bits = batch.column(0).to_numpy(), np.unpackbits(_matrix(batch.column(1), BITS // 8), axis=1)
+            spans = runs(band)
+            yield pa.RecordBatch.from_arrays([pa.array([band[a] for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array([bits[a:b].sum(axis=0, dtype=np.int64).tobytes() for a, b in spans], pa.binary())], names=["band", "n", "ones"])
+
+    def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [np.packbits(2 * sum(np.frombuffer(x, np.int64) for x in parts) > n).tobytes() for n, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.binary())], names=["band", "vote"])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = distances(_matrix(batch.column(2), BITS // 8), _matrix(batch.column(3), BITS // 8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["band", "node", "far"])
+
+    counted = crowded.select("band", "odd").mapInArrow(count, "band long, n long, ones binary")
+    votes = counted.groupBy("band").agg(F.sum("n").alias("n"), F.collect_list("ones").alias("ones")).mapInArrow(majority, "band long, vote binary")
+    votes = staged.put("votes", votes)
+    ranked = crowded.join(votes, "band").select("band", "node", "odd", "vote").mapInArrow(nearest, "band long, node binary, far long")
+    chosen = staged.put("chosen", ranked.groupBy("band").agg(F.min_by("node", F.struct("far", "node")).alias("pivot")))
+    pairs = crowded.join(chosen, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    out = staged.put("pivots", pairs.distinct())
+    staged.drop("many", "crowded", "votes", "chosen")
+    return out
+
+
 def blocks(rows: DataFrame) -> DataFrame:
-    """(band, nodes, labels, odds, probes): up to BLOCK rows of one band value; probes flags rows outside the largest component."""
+    """band, place, probing and lists of nodes, labels, sketches, sizes, probes: up to BLOCK rows of one band value."""
+    mixed = rows.withColumn("turn", F.xxhash64("node"))
+    # probes first, so that they share few blocks; a frequent band value spans partitions
+    dealt = mixed.repartitionByRange("band", "rest", "turn").sortWithinPartitions("band", "rest", "turn").drop("turn")
+    names = ["node", "label", "marks", "odd", "whole", "n_shingles", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: pa.Table | None = None
+
+        def emit(x: pa.Table) -> pa.RecordBatch:
+            band = x.column("band").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)] if len(band) else []
+            spans = [(lo, min(lo + BLOCK, b)) for a, b in zip(edges, edges[1:]) for lo in range(a, b, BLOCK)]
+            ends = pa.array([0, *[b for _, b in spans]], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x.column(c).combine_chunks()) for c in names]
+            probing = [not all(x.column("rest").slice(a, b - a).to_pylist()) for a, b in spans]
+            place = x.column("place").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array([band[a] for a, _ in spans], pa.int64()), pa.array([place[a] for a, _ in spans], pa.int32()), pa.array(probing, pa.bool_()), *lists], names=["band", "place", "probing", *names])
+
         for batch in batches:
-            now = [batch.column(0).to_numpy(), _matrix(batch.column(1), 24), _matrix(batch.column(2), 24), _matrix(batch.column(3), BITS // 8), batch.column(4).to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, 1)]
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now)]
-            last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            last = max(last, len(now[0]) - BLOCK)
-            held = [x[last:].copy() for x in now]
-            yield emit([x[:last] for x in now])
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            band = held.column("band").to_numpy()
+            last = int(np.searchsorted(band, band[-1])) if len(band) else 0
+            last += (len(band) - last) // BLOCK * BLOCK
+            yield emit(held.slice(0, last))
+            held = held.slice(last)
         if held is not None:
             yield emit(held)
 
-    def emit(x: list[np.ndarray]) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(x[0], prepend=x[0][:1] ^ 1)) if len(x[0]) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(x[0]))
-        spans = [(lo, min(lo + BLOCK, b)) for a, b in zip(cuts, ends) for lo in range(a, b, BLOCK)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0][a] for a, _ in spans], pa.int64()), *[pa.array([part[a:b].tobytes() for a, b in spans], pa.binary()) for part in x[1:]]], names=["band", "nodes", "labels", "odds", "probes"])
+    fields = "band long, place int, probing boolean, node array<binary>, label array<binary>, marks array<binary>, odd array<binary>, whole array<binary>, n_shingles array<long>, rest array<boolean>"
+    return dealt.select("band", "place", *names).mapInArrow(run, fields)
 
-    mixed = rows.withColumn("turn", F.xxhash64("node"))
-    # probes first, so that they share few blocks
-    dealt = mixed.repartitionByRange("band", "probe", "turn").sortWithinPartitions("band", F.desc("probe"), "turn")
-    return dealt.select("band", "node", "label", "odd", "probe").mapInArrow(run, "band long, nodes binary, labels binary, odds binary, probes binary")
 
+class Side:
+    """One block's rows, with whole sketches by width."""
 
-def across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a probe in a left block and a row of a right block, of other components, that pass the sketches."""
+    def __init__(self, node: pa.Array, label: pa.Array, marks: pa.Array, odd: pa.Array, whole: pa.Array, sizes: pa.Array):
+        self.node, self.label, self.odd = _matrix(node, 24), _matrix(label, 24), _matrix(odd, BITS // 8)
+        self.marks = _matrix(marks, 4 * BANDS).view("<u4")
+        self.whole, self.sizes = [np.frombuffer(x, np.uint8) for x in whole.to_pylist()], sizes.to_numpy()
+        self.widths = np.array([len(x) for x in self.whole])
+        self.by_width = {w: np.stack([self.whole[k] for k in np.flatnonzero(self.widths == w)]) for w in np.unique(self.widths)}
+
+    def excess(self, whole: np.ndarray, size: int, rows: np.ndarray, threshold: float) -> np.ndarray:
+        """Of one sketch against some rows."""
+        out = np.empty(len(rows))
+        for width, held in self.by_width.items():
+            mine = np.flatnonzero(self.widths[rows] == width)
+            if len(mine):
+                common = min(width, len(whole))
+                place = np.searchsorted(np.flatnonzero(self.widths == width), rows[mine])
+                x = distances(folded(whole, common), folded(held[place], common))
+                out[mine] = excess(x, common, self.sizes[rows[mine]] + size, threshold)
+        return out
+
+
+def across(dealt: DataFrame, threshold: float, only_best: bool) -> DataFrame:
+    """Pairs of a probe and a row of another component that pass both sketches; with only_best,
+    the one of each probe whose sketches differ least."""
     limit = most_bits(threshold)
-    joined = left.select("band", *[F.col(c).alias(f"l_{c}") for c in ("nodes", "labels", "odds", "probes")]).join(right.select("band", *[F.col(c).alias(f"r_{c}") for c in ("nodes", "labels", "odds")]), "band").drop("band")
+    names = ["node", "label", "marks", "odd", "whole", "n_shingles", "rest"]
+    left = dealt.where("probing").select("band", "place", *[F.col(c).alias(f"l_{c}") for c in names])
+    joined = left.join(dealt.select("band", *names[:-1]), "band").drop("band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[float, bytes]] = {}  # of this task's probes
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                of = [np.frombuffer(x, np.uint8) for x in row]
-                probe = of[3].astype(bool)
-                ln, ll, lo = of[0].reshape(-1, 24)[probe], of[1].reshape(-1, 24)[probe], of[2].reshape(-1, BITS // 8)[probe]
-                rn, rl, ro = of[4].reshape(-1, 24), of[5].reshape(-1, 24), of[6].reshape(-1, BITS // 8)
-                for n, label, odd in zip(ln, ll, lo):
-                    hit = np.flatnonzero((distances(odd, ro) <= limit) & (rl != label).any(axis=1))
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays(_pair_rows(np.broadcast_to(n, (len(hit), 24)), rn[hit]).columns[:2], names=["a", "b"])
+            for k in range(batch.num_rows):
+                place, row = batch.column(0)[k].as_py(), [batch.column(c)[k].values for c in range(1, batch.num_columns)]
+                left, right = Side(*row[:6]), Side(*row[7:])
+                for j in np.flatnonzero(~row[6].to_numpy(zero_copy_only=False)):
+                    near = np.flatnonzero((distances(left.odd[j], right.odd) <= limit) & (right.label != left.label[j]).any(axis=1))
+                    near = near[np.argmax(right.marks[near] == left.marks[j], axis=1) == place]
+                    if not len(near):
+                        continue
+                    over = right.excess(left.whole[j], left.sizes[j], near, threshold)
+                    ratio = over / (right.sizes[near] + left.sizes[j])
+                    keep = np.flatnonzero(over <= 0)
+                    if only_best and len(keep):
+                        k_best = keep[np.lexsort((keep, ratio[keep]))[0]]
+                        probe, own = left.node[j].tobytes(), (float(ratio[k_best]), right.node[near[k_best]].tobytes())
+                        best[probe] = min(best.get(probe, own), own)
+                    elif len(keep):
+                        hit = near[keep]
+                        pair = _pair_rows(np.broadcast_to(left.node[j], (len(hit), 24)), right.node[hit])
+                        yield pa.RecordBatch.from_arrays([*pair.columns[:2], _fixed(np.broadcast_to(left.node[j], (len(hit), 24))), pa.array(ratio[keep])], names=["a", "b", "probe", "ratio"])
+        if best:
+            probes, partners = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 24) for x in (best, [p for _, p in best.values()]))
+            yield pa.RecordBatch.from_arrays([*_pair_rows(probes, partners).columns[:2], _fixed(probes), pa.array([r for r, _ in best.values()])], names=["a", "b", "probe", "ratio"])
+
+    found = joined.mapInArrow(run, "a binary, b binary, probe binary, ratio double")
+    if only_best:
+        found = found.groupBy("probe").agg(F.min_by(F.struct("a", "b"), F.struct("ratio", "a", "b")).alias("p")).select("p.a", "p.b")
+    return found.select("a", "b").distinct()
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose whole sketches allow the threshold."""
 
-    return joined.mapInArrow(run, "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)]):
+                width = min(len(x), len(y))
+                x, y = (folded(np.frombuffer(s, np.uint8), width) for s in (x, y))
+                keep.append(excess(distances(x, y), width, np.float64(n), threshold) <= 0)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    a = classes.select(F.col("node").alias("a"), F.col("whole").alias("whole_a"), F.col("n_shingles").alias("n_a"))
+    b = classes.select(F.col("node").alias("b"), F.col("whole").alias("whole_b"), F.col("n_shingles").alias("n_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "whole_a", "whole_b", F.col("n_a") + F.col("n_b")).mapInArrow(run, "a binary, b binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -321,31 +465,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.7
     """doc_id, n_shingles, component_id, kept of every document."""
     staged = Staging(spark, "minhash")
     rows = staged.put("rows", sketch(docs))
-    grouped = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    grouped = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "marks", "odd", "whole")])
     classes = staged.put("classes", grouped.withColumn("node", node_of(F.col("doc_id"), F.col("set_key"))))
-    alone = classes.withColumn("label", F.col("node"))
-
-    edges = staged.put("edges", chain(_banded(alone, 0, CHAIN), threshold))
-    pairs = staged.put("pairs", edges.where("a is not null").select("a", "b").unionAll(seams(spark, edges, threshold)).distinct())
-    links = staged.put("links", confirm(pairs, texts_of(docs, classes, pairs), threshold))
-    labels = components(staged, links, "first")
-
-    labelled = staged.put("labelled", classes.join(labels, "node", "left").select("node", "bands", "odd", F.coalesce("label", "node").alias("label")))
-    banded = _banded(labelled, 0, BANDS)
-    several = banded.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
-    rest = banded.join(staged.put("several", several), "band")
-    largest = rest.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    rest = rest.join(staged.put("largest", largest), "band").withColumn("probe", F.col("label") != F.col("largest"))
-    dealt = staged.put("blocks", blocks(rest))
-    probing = dealt.where(F.locate("01", F.hex("probes")) > 0)
-    more = across(probing, dealt, threshold).join(pairs, ["a", "b"], "left_anti")
-    more = staged.put("more", more)
-    found = staged.put("found", confirm(more, texts_of(docs, classes, more), threshold))
-    labels = components(staged, links.unionAll(found), "second")
+
+    edges = staged.put("edges", chain(_banded(classes, 0, CHAIN, "odd"), threshold))
+    central = pivots(staged, _banded(classes, 0, CHAIN, "odd"))
+    near = edges.where("a is not null").select("a", "b").unionAll(seams(spark, edges, threshold)).unionAll(central).distinct()
+    pairs = staged.put("pairs-0", plausible(near, classes, threshold))
+    links = staged.put("links-0", confirm(pairs, texts_of(docs, classes, pairs), threshold))
+    staged.drop("edges", "pivots", "pairs-0")
+    labels = components(staged, links, "components-0")
+    # band values with several components; later rounds only merge components, so no other opens
+    named = classes.join(labels, "node", "left").select("node", "bands", F.xxhash64(F.coalesce("label", "node")).alias("label"))
+    several = _banded(named, 0, BANDS, "label").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
+    placed = classes.select(F.posexplode("bands").alias("place", "band"), "node").join(staged.put("several", several), "band")
+    opened = staged.put("opened", placed.select("band", "node", "place"))
+    for turn in (1, 2):
+        at = staged.put("at", (opened.where(F.col("place") < CHAIN) if turn == 1 else opened).join(labels, "node", "left").select("band", "place", "node", F.coalesce("label", "node").alias("label")))
+        sizes = at.groupBy("band", "label").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").select("band", "largest")
+        rest = at.join(staged.put("largest", largest), "band").select("band", "place", "node", "label", (F.col("label") == F.col("largest")).alias("rest"))
+        dealt = staged.put("blocks", blocks(rest.join(classes.select("node", "marks", "odd", "whole", "n_shingles"), "node")))
+        pairs = staged.put("pairs", across(dealt, threshold, only_best=turn == 1))
+        found = staged.put(f"links-{turn}", confirm(pairs, texts_of(docs, classes, pairs), threshold))
+        links = links.unionAll(found)
+        staged.drop("at", "largest", "blocks", "pairs")
+        labels = components(staged, links, f"components-{turn}")
 
     final = classes.join(labels, "node", "left").select(F.col("set_key").alias("class_key"), id_of(F.coalesce("label", "node")).alias("least"))
     final = staged.put("final", final)
-    staged.drop("edges", "pairs", "links", "found", "labelled", "several", "largest", "blocks", "more", "classes")
+    staged.drop("links-0", "links-1", "links-2", "several", "opened", "classes")
     out = rows.select("doc_id", "n_shingles", "set_key").join(final, F.col("set_key") == F.col("class_key"), "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
