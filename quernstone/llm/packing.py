@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Staging
+from .common import Staging, lean
 from .tokens import byte_characters
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: i
                         out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 1 else pa.int64()) for i, x in enumerate(rows)], names=["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, PIECES)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), PIECES)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -110,30 +110,26 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
         left, rank = counts[length], 0
         while left:
             k = bisect_left(sizes, length)
-            if k == len(sizes):  # no open bin has room: open as many as the length fills evenly
-                per = size // length
-                count = -(-left // per)
-                for slot in range(per):
-                    n = min(left, count)
-                    if not n:
-                        break
-                    runs.append((length, rank, n, opened, slot * length))
-                    rank, left = rank + n, left - n
-                    if slot == per - 1 or not left:
-                        release(size - (slot + 1) * length, opened, n)
-                        release(size - slot * length, opened + n, count - n)
+            if k == len(sizes):  # no open bin has room: open as many as are needed
+                free, first, count = size, opened, -(-left // (size // length))
                 opened += count
-                break
-            free = sizes[k]
-            first, count = room[free].pop()
-            if not room[free]:
-                del room[free]
-                sizes.pop(k)
-            n = min(left, count)
-            runs.append((length, rank, n, first, size - free))
-            release(free - length, first, n)
-            release(free, first + n, count - n)
-            rank, left = rank + n, left - n
+            else:
+                free = sizes[k]
+                first, count = room[free].pop()
+                if not room[free]:
+                    del room[free]
+                    sizes.pop(k)
+            # a bin that took the length fits it more tightly than before, so it is filled before the next
+            slots = free // length
+            full = min(count, left // slots)
+            for bins, n in ((full, slots), (min(1, count - full), min(slots, left - full * slots))):
+                if bins and n:
+                    for slot in range(n):
+                        runs.append((length, rank, bins, first, size - free + slot * length))
+                        rank += bins
+                    release(free - n * length, first, bins)
+                    first, count, left = first + bins, count - bins, left - bins * n
+            release(free, first, count)
     return runs
 
 
@@ -164,4 +160,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, size: in
             run = table[np.searchsorted(keys, length * (1 << 40) + rank, side="right") - 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, SLOTS)
+    return ranked.mapInArrow(lean(place), SLOTS)

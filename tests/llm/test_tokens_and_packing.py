@@ -77,9 +77,13 @@ def test_plan_fills_every_slot_once(counts):
             assert offset == at
             at += length
         assert at <= 32
-    total = sum(k * v for k, v in counts.items())
-    if total:
-        assert len(used) <= 11 / 9 * max(-(-total // 32), 1) + 4  # the bound of decreasing fits
+    bins: list[int] = []  # best-fit decreasing, piece by piece
+    for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+        fits = [room for room in bins if room >= length]
+        if fits:
+            bins.remove(min(fits))
+        bins.append((min(fits) if fits else 32) - length)
+    assert len(used) == len(bins)
 
 
 def test_pieces():
