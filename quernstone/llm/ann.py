@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, lean
 from .vectors import BLOCK_SCHEMA, best, checked, cut_blocks, matrix, queries_of
 
 SAMPLE = 16_384
@@ -162,9 +162,9 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
         dealt = df.withColumn("turn", F.xxhash64("vec_id")).repartitionByRange("list", "turn").sortWithinPartitions("list", "turn").drop("turn")
         return dealt.mapInArrow(lambda batches: cut_blocks(batches, most), BLOCK_SCHEMA)
 
-    indexed = staged.put("index", rows.mapInArrow(encode, fields))
+    indexed = staged.put("index", rows.mapInArrow(lean(encode), fields))
     blocks = staged.put("blocks", packed(indexed, BLOCK))
-    asked = staged.put("queries", packed(queries_of(rows, wanted).mapInArrow(probe, fields), QUERY_BLOCK))
+    asked = staged.put("queries", packed(queries_of(rows, wanted).mapInArrow(lean(probe), fields), QUERY_BLOCK))
     staged.drop("index")
     pairs = asked.select("list", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")).join(blocks, "list")
 
@@ -174,5 +174,5 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
                 found = search_block(index, of, np.frombuffer(q_ids, "<i8"), np.frombuffer(q).reshape(-1, d), np.frombuffer(ids, "<i8"), np.frombuffer(x).reshape(-1, d), np.frombuffer(codes, np.uint8).reshape(-1, len(index.spans)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("list", "q_ids", "q_rows", "ids", "rows", "extra").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = pairs.select("list", "q_ids", "q_rows", "ids", "rows", "extra").mapInArrow(lean(run), "query_id long, vec_id long, score double")
     return best(found, k)

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once by one Python worker, in bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Arrow batches to and from Python workers, in bytes.
+BATCH = "8m"
 U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # -- staged tables -----------------------------------------------------------
@@ -36,11 +39,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Keeps Arrow batches of whole texts small, as worker memory grows with them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return spark
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back to the system at its end: workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 class Staging:
     """Tables written to the shared folder, to cut lineage and to survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = bounded(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
@@ -131,7 +156,7 @@ class Rolling:
         out = np.ones(1, U64)
         while len(out) < n:
             out = np.concatenate([out, out * U64(pow(base, len(out), 1 << 64))])
-        return out
+        return out[:n].copy()
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         n = len(data)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staging, chunks, fresh, text_buffer
+from .common import Staging, chunks, fresh, lean, text_buffer
 
 SLOTS = 1 << 14
 EVIDENCE = 60.0
@@ -76,7 +76,7 @@ def count_trigrams(df: DataFrame, text: Column, declared: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.where(at == SLOTS, -1, at), pa.int32()), pa.array(row[at], pa.int64())], names=["language", "slot", "n"])
 
     some = df.select(text.cast("string"), declared.cast("string")).where(declared.isNotNull())
-    return some.mapInArrow(run, "language string, slot int, n long").groupBy("language", "slot").agg(F.sum("n").alias("n"))
+    return some.mapInArrow(lean(run), "language string, slot int, n long").groupBy("language", "slot").agg(F.sum("n").alias("n"))
 
 
 def text_models(counts: DataFrame, most: int = 200) -> tuple[list[str], np.ndarray]:
@@ -111,7 +111,7 @@ def text_likelihoods(df: DataFrame, text: str, logs: np.ndarray, name: str) -> D
                 out += [x if ok else None for x, ok in zip(sums.tolist(), letters.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def host_of(url: Column) -> Column:

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Rolling, Staging, chunks, mix, stream, text_buffer, word_spans
+from .common import LOWER, Rolling, Staging, U64, chunks, lean, mix, stream, text_buffer, word_spans
 from .components import components
 
 WIDTH = 5
@@ -182,7 +182,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), key, flat, _fixed(bands.astype("<u4").view(np.uint8).reshape(hi - lo, -1)), _fixed(odd), pa.array(whole_sketches(found, sizes), pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "marks", "odd", "whole"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary, odd binary, whole binary")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary, odd binary, whole binary")
 
 
 def node_of(doc_id: Column, set_key: Column) -> Column:
@@ -233,7 +233,7 @@ def chain(rows: DataFrame, threshold: float) -> DataFrame:
             part = pa.array([_partition()] * 2, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.binary()), pa.nulls(2, pa.binary()), pa.array(np.append(head[0], tail[0])), _fixed(np.vstack([head[1], tail[1]])), _fixed(np.vstack([head[2], tail[2]])), part, pa.array([0, 1], pa.int32())], names=EDGE)
 
-    return _spread(rows).select("band", "node", "odd").mapInArrow(run, "a binary, b binary, band long, node binary, odd binary, part int, side int")
+    return _spread(rows).select("band", "node", "odd").mapInArrow(lean(run), "a binary, b binary, band long, node binary, odd binary, part int, side int")
 
 
 EDGE = ["a", "b", "band", "node", "odd", "part", "side"]
@@ -294,10 +294,10 @@ def pivots(staged: Staging, banded: DataFrame) -> DataFrame:
             far = distances(_matrix(batch.column(2), BITS // 8), _matrix(batch.column(3), BITS // 8))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["band", "node", "far"])
 
-    counted = crowded.select("band", "odd").mapInArrow(count, "band long, n long, ones binary")
-    votes = counted.groupBy("band").agg(F.sum("n").alias("n"), F.collect_list("ones").alias("ones")).mapInArrow(majority, "band long, vote binary")
+    counted = crowded.select("band", "odd").mapInArrow(lean(count), "band long, n long, ones binary")
+    votes = counted.groupBy("band").agg(F.sum("n").alias("n"), F.collect_list("ones").alias("ones")).mapInArrow(lean(majority), "band long, vote binary")
     votes = staged.put("votes", votes)
-    ranked = crowded.join(votes, "band").select("band", "node", "odd", "vote").mapInArrow(nearest, "band long, node binary, far long")
+    ranked = crowded.join(votes, "band").select("band", "node", "odd", "vote").mapInArrow(lean(nearest), "band long, node binary, far long")
     chosen = staged.put("chosen", ranked.groupBy("band").agg(F.min_by("node", F.struct("far", "node")).alias("pivot")))
     pairs = crowded.join(chosen, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     out = staged.put("pivots", pairs.distinct())
@@ -337,7 +337,7 @@ def blocks(rows: DataFrame) -> DataFrame:
             yield emit(held)
 
     fields = "band long, place int, probing boolean, node array<binary>, label array<binary>, marks array<binary>, odd array<binary>, whole array<binary>, n_shingles array<long>, rest array<boolean>"
-    return dealt.select("band", "place", *names).mapInArrow(run, fields)
+    return dealt.select("band", "place", *names).mapInArrow(lean(run), fields)
 
 
 class Side:
@@ -397,7 +397,7 @@ def across(dealt: DataFrame, threshold: float, only_best: bool) -> DataFrame:
             probes, partners = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 24) for x in (best, [p for _, p in best.values()]))
             yield pa.RecordBatch.from_arrays([*_pair_rows(probes, partners).columns[:2], _fixed(probes), pa.array([r for r, _ in best.values()])], names=["a", "b", "probe", "ratio"])
 
-    found = joined.mapInArrow(run, "a binary, b binary, probe binary, ratio double")
+    found = joined.mapInArrow(lean(run), "a binary, b binary, probe binary, ratio double")
     if only_best:
         found = found.groupBy("probe").agg(F.min_by(F.struct("a", "b"), F.struct("ratio", "a", "b")).alias("p")).select("p.a", "p.b")
     return found.select("a", "b").distinct()
@@ -417,7 +417,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
     a = classes.select(F.col("node").alias("a"), F.col("whole").alias("whole_a"), F.col("n_shingles").alias("n_a"))
     b = classes.select(F.col("node").alias("b"), F.col("whole").alias("whole_b"), F.col("n_shingles").alias("n_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "whole_a", "whole_b", F.col("n_a") + F.col("n_b")).mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "whole_a", "whole_b", F.col("n_a") + F.col("n_b")).mapInArrow(lean(run), "a binary, b binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -439,7 +439,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a binary, b binary")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -458,7 +458,7 @@ def texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 
     rows = docs.select(docs["doc_id"].cast("long").alias("own_id"), docs["text"])
     held = rows.join(wanted, F.col("own_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-    return held.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+    return held.mapInArrow(lean(run), "node binary, text string").dropDuplicates(["node"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Rolling, Staging, chunks, mix, stream, word_spans
+from .common import LOWER, Rolling, Staging, U64, chunks, lean, mix, stream, word_spans
 
 BACKOFF = 0.4
 UNSEEN = 0.5
@@ -74,7 +74,7 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
         if texts:
             yield out()
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "chunk long, bytes long, words long, ids array<long>, ends array<long>, body binary")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), "chunk long, bytes long, words long, ids array<long>, ends array<long>, body binary")
 
 
 class Grams:
@@ -123,7 +123,7 @@ def sent(packs: DataFrame, slices: int) -> DataFrame:
                     rows = [(k, hashes[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "chunk", "kind", "hashes", "counts"])
 
-    return packs.select("chunk", "bytes", "ends", "body").mapInArrow(run, "slice long, chunk long, kind int, hashes binary, counts binary")
+    return packs.select("chunk", "bytes", "ends", "body").mapInArrow(lean(run), "slice long, chunk long, kind int, hashes binary, counts binary")
 
 
 def summed(rows: DataFrame, slices: int) -> DataFrame:
@@ -153,7 +153,7 @@ def summed(rows: DataFrame, slices: int) -> DataFrame:
             yield from table(held)
 
     dealt = rows.repartition(max(1, slices), "slice", "kind").sortWithinPartitions("slice", "kind")
-    return dealt.mapInArrow(run, "slice long, chunk long, kind int, totals binary")
+    return dealt.mapInArrow(lean(run), "slice long, chunk long, kind int, totals binary")
 
 
 def packed(totals: np.ndarray) -> bytes:
@@ -220,5 +220,5 @@ def score(spark: SparkSession, docs: DataFrame, chunk: int = CHUNK, part: int =
                 rows = scored(Grams(body, ends, size), len(ids), *kinds, corpus)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x) for x in rows]], names=["doc_id", "n_words", "n_bigram", "n_word", "n_unseen", "log_score"])
 
-    return joined.mapInArrow(run, SCORES)
+    return joined.mapInArrow(lean(run), SCORES)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, lean
 
 PATHS, WORDS, FIGURES, HIDDEN = 192, 48, 12, 24
 WIDTH = PATHS + WORDS + FIGURES
@@ -434,4 +434,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", model: Labe
                 texts = main_texts(model, [x or "" for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())]))
+    return pages.mapInArrow(lean(run), T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())]))

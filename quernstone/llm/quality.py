@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Rolling, chunks, fresh, mix, text_buffer, word_spans
+from .common import Rolling, U64, bounded, chunks, fresh, lean, mix, text_buffer, word_spans
 
 WORDS = 1 << 15
 BINS = 8
@@ -191,7 +191,7 @@ def _examples(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
                 packed = [index[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary()), label.slice(lo, hi - lo)], names=["words", "stats", "label"])
 
-    got = sorted(rows.mapInArrow(run, "words binary, stats binary, label double").collect())
+    got = sorted(rows.mapInArrow(lean(run), "words binary, stats binary, label double").collect())
     index = [np.frombuffer(r[0], "<i4") for r in got]
     stats = np.array([np.frombuffer(r[1]) for r in got]).reshape(len(got), len(STATISTICS))
     return index, stats, np.array([r[2] for r in got], np.float64)
@@ -213,6 +213,7 @@ def score(docs: DataFrame, model: Machine, text: str = "text", name: str = "scor
     """docs with a score column; all other columns stay."""
     name = fresh(docs, name)
     at = docs.columns.index(text)
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +223,7 @@ def score(docs: DataFrame, model: Machine, text: str = "text", name: str = "scor
                 out[lo:hi] = model.scores(*features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Rolling, Staging, chunks, fresh, text_buffer
+from .common import Rolling, Staging, U64, chunks, fresh, lean, text_buffer
 
 LENGTH = 400
 TRIGGER = 16
@@ -125,7 +125,7 @@ def _cell_names(docs: DataFrame, length: int) -> DataFrame:
                 *_, core, whole = cells(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
                 yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole)], names=["core", "whole"])
 
-    return docs.select("text").mapInArrow(run, "core long, whole long")
+    return docs.select("text").mapInArrow(lean(run), "core long, whole long")
 
 
 def _cell_places(docs: DataFrame, length: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _cell_places(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[lo:hi][doc], hashes[lo:hi][doc], start * 128 + n, core, whole)], names=["id", "hash", "place", "core", "whole"])
 
     key, hashed = _keyed(docs)
-    return docs.select(key.alias("id"), hashed.alias("hash"), "text").mapInArrow(run, "id long, hash long, place long, core long, whole long")
+    return docs.select(key.alias("id"), hashed.alias("hash"), "text").mapInArrow(lean(run), "id long, hash long, place long, core long, whole long")
 
 
 def _windows(units: DataFrame, length: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _windows(units: DataFrame, length: int) -> DataFrame:
                 often = np.repeat(np.array([u["often"] for u in listed], bool), n)
                 yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(name), pa.array(np.full(len(start), doc_id)), pa.array(np.full(len(start), hashed)), pa.array(start), pa.array(often)], names=["core", "name", "id", "hash", "start", "often"])
 
-    return units.mapInArrow(run, "core long, name long, id long, hash long, start long, often boolean")
+    return units.mapInArrow(lean(run), "core long, name long, id long, hash long, start long, often boolean")
 
 
 def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -243,7 +243,7 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFr
             columns[at], columns[last] = pa.array(texts, batch.schema.field(at).type), pa.array(runs, kind)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return beside.mapInArrow(run, schema)
+    return beside.mapInArrow(lean(run), schema)
 
 
 def digests(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -260,4 +260,4 @@ def digests(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in rows[:3]], pa.array(rows[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     typed = beside.select(F.col("doc_id").cast("long").alias("doc_id"), *beside.columns[1:])
-    return typed.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return typed.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import models
 
-from .common import fresh
+from .common import fresh, lean
 
 #: Remembered pieces of one worker.
 CACHE = 400_000
@@ -148,7 +148,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
                     names=[*part.schema.names, ids_name, ends_name],
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -162,7 +162,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
             texts = [None if x is None else own.text(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -179,4 +179,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     decoded_as.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded_as, pa.string()), pa.array(decoded_as, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

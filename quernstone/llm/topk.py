@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, lean
 from .vectors import BLOCK_SCHEMA, best, checked, cut_blocks, matrix, queries_of
 
 GROUP = 4096
@@ -109,7 +109,7 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
 
     def ranges(df: DataFrame, most: int) -> DataFrame:
         """Blocks of `most` rows that are neighbours by id, numbered."""
-        dealt = df.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(forward, fields)
+        dealt = df.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(lean(forward), fields)
         return dealt.mapInArrow(lambda batches: cut_blocks(batches, most), BLOCK_SCHEMA).withColumn("list", F.monotonically_increasing_id())
 
     groups = staged.put("ranges", ranges(rows, GROUP))
@@ -126,7 +126,7 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
                 found = search_range(q_ids, q, low, ids, x, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found[:3]], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("q_ids", "q_rows", "ids", "rows").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.select("q_ids", "q_rows", "ids", "rows").mapInArrow(lean(run), "query_id long, vec_id long, score long")
     return best(found, k)
 
 
