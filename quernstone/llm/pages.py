@@ -141,7 +141,7 @@ def _slot(word: str, size: int) -> int:
 
 @lru_cache(maxsize=1 << 14)
 def _path_slots(path: tuple[str, ...]) -> np.ndarray:
-    return np.unique([_slot(x, PATHS) for x in path[-40:]]) if path else np.zeros(0, np.int64)
+    return np.array(sorted({_slot(x, PATHS) for x in set(path)}), np.int64)
 
 
 def vectors(found: list[Block]) -> np.ndarray:
@@ -149,11 +149,11 @@ def vectors(found: list[Block]) -> np.ndarray:
     n = len(found)
     x = np.zeros((n, WIDTH), np.float32)
     for k, block in enumerate(found):
-        x[k, _path_slots(block.path)] = 1
+        # very long paths are not remembered, so that deep pages fill no memory
+        x[k, _path_slots(block.path) if len(block.path) <= 64 else _path_slots.__wrapped__(block.path)] = 1
         text = block.text
-        words = text.split(" ", 24)[:24]
-        for w in words:
-            x[k, PATHS + _slot(w.lower(), WORDS)] += 1 / len(words)
+        words = text.lower().split(" ")
+        x[k, PATHS : PATHS + WORDS] = np.bincount([_slot(w, WORDS) for w in words], minlength=WORDS) / len(words)
         size = len(text)
         count = text.count(" ") + 1
         stops = text.count(".") + text.count("!") + text.count("?") + text.count(",")
@@ -289,6 +289,9 @@ _BOILER = {
 _MAIN = [('<article>', "</article>"), ('<article class="post">', "</article>"), ('<main>', "</main>"), ('<main id="main"><article>', "</article></main>"), ('<div class="content">', "</div>"), ('<div id="content">', "</div>"), ('<div class="article-body">', "</div>"), ('<div class="entry-content">', "</div>"), ('<section class="story">', "</section>"), ('<div class="post-content"><div>', "</div></div>"), ('<div role="main">', "</div>"), ('<div itemprop="articleBody">', "</div>"), ("<div>", "</div>"), ("", "")]
 
 
+_NEUTRAL = ["row", "col", "inner", "wrap", "outer", "box", "grid", "block", "item", "layout", "cell", "flex", "container", "unit", "md", "holder"]
+
+
 def _word(r: random.Random) -> str:
     return "".join(r.choice(_PARTS) for _ in range(r.randint(1, 4)))
 
@@ -319,6 +322,12 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
         main.add(" ".join(entities.unescape(text).split()))
         return text
 
+    def nested(inner: str, closed: bool = True) -> str:
+        """inner within many divs, which may stay open."""
+        n = r.randint(4, 24)
+        opened = "".join(f'<div class="{" ".join(r.choices(_NEUTRAL, k=r.randint(1, 4)))}">' for _ in range(n))
+        return opened + inner + "</div>" * (n if closed else r.randint(0, n - 1))
+
     def boiler(kind: str) -> str:
         tag, names = _BOILER[kind]
         if r.random() < 0.4:
@@ -335,11 +344,13 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
             inner = f"&copy; {_word(r)}.example.com &middot; {_prose(r, r.randint(2, 14))}"
         elif kind == "comments" or form < 0.65:
             wrap = ("<div class=\"comment\"><p>", "</p></div>") if kind == "comments" and form < 0.7 else ("<p>", "</p>")
-            inner = "".join(f"{wrap[0]}{_prose(r, r.randint(2, 50))}{wrap[1]}" for _ in range(r.randint(1, 4)))
+            inner = "".join(f"{wrap[0]}{_prose(r, r.randint(2, 50) if r.random() < 0.85 else r.randint(50, 400))}{wrap[1]}" for _ in range(r.randint(1, 4)))
             if r.random() < 0.4:
                 inner = f"<h3>{_prose(r, r.randint(1, 4))}</h3>" + inner
         else:
-            inner = _prose(r, r.randint(2, 20))
+            inner = _prose(r, r.randint(2, 20) if r.random() < 0.85 else r.randint(20, 300))
+        if r.random() < 0.12:
+            inner = nested(inner, tag in ("div", "ul", "section") or r.random() < 0.5)
         return f"<{tag}{name}>{inner}</{tag}>"
 
     def article() -> str:
@@ -349,7 +360,7 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
         for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14])):
             k = r.random()
             if k < 0.72:
-                text = said(r.choice([1, 2, 6, 15, 40, 90]))
+                text = said(r.choice([1, 2, 6, 15, 40, 90]) if r.random() < 0.93 else r.randint(100, 400))
                 out.append(f"<p>{text}</p>" if r.random() < 0.8 else f"<p><b>{text}<br>")
             elif k < 0.8:
                 out.append(f"<h2>{said(r.randint(1, 6))}</h2>")
@@ -371,7 +382,12 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
         after.append(boiler("footer"))
     r.shuffle(before)
     opened, closed = r.choice(_MAIN)
-    body = f"{''.join(before)}{opened}{article()}{closed}{''.join(after)}"
+    story = article()
+    if r.random() < 0.12:
+        story = nested(story)
+    body = f"{''.join(before)}{opened}{story}{closed}{''.join(after)}"
+    if r.random() < 0.12:
+        body = nested(body, r.random() < 0.5)
     if r.random() < 0.3:
         body = f'<div class="{r.choice(["wrap", "page", "container", "site"])}">{body}</div>'
     return f"<!DOCTYPE html><html><head><title>{_word(r)}</title><style>p{{}}</style></head><body>{body}</body></html>", main

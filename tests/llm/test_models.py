@@ -123,6 +123,16 @@ def test_unseen_pages():
     assert right / total > 0.985
 
 
+def test_whole_blocks_and_paths_count():
+    opening = "One more word of an opening that two blocks share. " * 5
+    x = pages.vectors([pages.Block(opening + "alpha beta gamma delta", ("p",)), pages.Block(opening + "kappa sigma theta omega", ("p",))])
+    words = slice(pages.PATHS, pages.PATHS + pages.WORDS)
+    assert len(x) == 2 and not np.array_equal(x[0, words], x[1, words]) and np.allclose(x[:, words].sum(axis=1), 1)
+    for k in (10, 60, 3000):
+        inner = ("div", ".row", ".col") * k
+        assert not np.array_equal(*pages.vectors([pages.Block("a", ("nav", ".menu", *inner)), pages.Block("a", ("article", ".story", *inner))])[:, : pages.PATHS])
+
+
 def test_extract(spark):
     filled = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title here</h1><p>" + "Some words. " * 40 + "</p></article><footer>&copy; 2020 x</footer></body></html>"
     df = spark.createDataFrame([(1, "u", filled), (2, "u", ""), (3, None, None), (4, "u", "<p" * 10), (4, "u", "<div>" * 3000 + "deep")], "page_id long, url string, html string").withColumn("text", F.lit("mine"))
