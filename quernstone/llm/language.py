@@ -11,6 +11,10 @@ All tables are counts over all rows, by grouped aggregation:
 3. The posterior is the normalised product. Class UNKNOWN has uniform trigrams, for texts that
    no learned language explains.
 
+Every declared language is learned, however rare. A declaration is its primary subtag, in lower
+case: en, en-US and en_GB are en; empty ones and UNKNOWN's name count as null. Models of more
+than BLOCK languages are applied a block at a time, each to the written result of the one before,
+so that neither driver nor worker holds more than a block; a row then holds a number a language.
 Only rows with a declared language teach the text models; without any, everything is UNKNOWN.
 Counts by task are summed as (language, slot) rows, so that no key gathers more than one row
 a task. Host tables are joined after being written, so that Spark knows their size.
@@ -34,6 +38,8 @@ from .common import Staging, chunks, fresh, lean, text_buffer
 
 SLOTS = 1 << 14
 EVIDENCE = 60.0
+#: Classes whose text models are in memory at once (SLOTS doubles each), and by task their counts.
+BLOCK = 128
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -58,6 +64,12 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def count_trigrams(df: DataFrame, text: Column, declared: Column) -> DataFrame:
     """(language, slot, n): texts of each declared language that hold each trigram; slot -1 counts texts."""
 
+    def emptied(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, row in total.items():
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.where(at == SLOTS, -1, at), pa.int32()), pa.array(row[at], pa.int64())], names=["language", "slot", "n"])
+        total.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -67,49 +79,73 @@ def count_trigrams(df: DataFrame, text: Column, declared: Column) -> DataFrame:
                 found, _ = trigrams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 doc, slot = found // SLOTS, found % SLOTS
                 names = sorted(set(said[lo:hi]))
-                number = np.array([names.index(x) for x in said[lo:hi]])
-                table = np.bincount(number[doc] * SLOTS + slot, minlength=len(names) * SLOTS).reshape(-1, SLOTS)
-                for name, row, texts in zip(names, table, np.bincount(number, minlength=len(names))):
-                    total[name] = total.get(name, 0) + np.append(row, texts)
-        for name, row in total.items():
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.where(at == SLOTS, -1, at), pa.int32()), pa.array(row[at], pa.int64())], names=["language", "slot", "n"])
+                place = {x: k for k, x in enumerate(names)}
+                number = np.array([place[x] for x in said[lo:hi]])
+                held, texts = number[doc], np.bincount(number, minlength=len(names))
+                for first in range(0, len(names), BLOCK):
+                    some = names[first : first + BLOCK]
+                    if len(names) > BLOCK:
+                        ours = (held >= first) & (held < first + BLOCK)
+                        key = (held[ours] - first) * SLOTS + slot[ours]
+                    else:
+                        key = held * SLOTS + slot
+                    table = np.bincount(key, minlength=len(some) * SLOTS).reshape(-1, SLOTS)
+                    for name, row, n in zip(some, table, texts[first:]):
+                        total[name] = total.get(name, 0) + np.append(row, n)
+                    if len(total) > BLOCK:
+                        yield from emptied(total)
+        yield from emptied(total)
 
     some = df.select(text.cast("string"), declared.cast("string")).where(declared.isNotNull())
     return some.mapInArrow(lean(run), "language string, slot int, n long").groupBy("language", "slot").agg(F.sum("n").alias("n"))
 
 
-def text_models(counts: DataFrame, most: int = 200) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities by class and slot). The `most` commonest declarations are languages."""
-    top = [r[0] for r in counts.where("slot = -1").orderBy(F.desc("n"), "language").limit(most).collect()]
-    names = sorted(top)
-    logs = np.full((len(names) + 1, SLOTS), -np.log(SLOTS))
-    if names:
-        packed = counts.where(F.col("language").isin(names) & (F.col("slot") >= 0)).groupBy("language").agg(F.collect_list(F.struct("slot", "n")).alias("c"))
-        for row in packed.collect():  # at most `most` rows of SLOTS counts
-            n = np.zeros(SLOTS)
-            n[[x[0] for x in row["c"]]] = [x[1] for x in row["c"]]
-            logs[names.index(row["language"])] = np.log((n + 0.1) / (n.sum() + 0.1 * SLOTS))
-    return [*names, UNKNOWN], logs
+def declaration(said: Column) -> Column:
+    """The primary subtag of a declared language in lower case; null where there is none."""
+    primary = F.lower(F.regexp_extract(said.cast("string"), r"^\s*([^\s_-]*)", 1))
+    return F.when(~primary.isin("", UNKNOWN), primary)
+
+
+def text_models(counts: DataFrame) -> tuple[list[str], Iterator[np.ndarray]]:
+    """(classes, their log-probabilities by class and slot in blocks of BLOCK classes); every declared language is one."""
+    names = sorted(r[0] for r in counts.where("slot = -1").select("language").collect())
+    classes = [*names, UNKNOWN]
+
+    def blocks() -> Iterator[np.ndarray]:
+        for lo in range(0, len(classes), BLOCK):
+            some = [x for x in classes[lo : lo + BLOCK] if x != UNKNOWN]
+            logs = np.full((len(classes[lo : lo + BLOCK]), SLOTS), -np.log(SLOTS))
+            if some:
+                found = counts.where(F.col("language").isin(some) & (F.col("slot") >= 0)).select("language", "slot", "n").toArrow()  # at most BLOCK * SLOTS rows
+                place = {x: k for k, x in enumerate(some)}
+                n = np.zeros((len(some), SLOTS))
+                n[[place[x] for x in found["language"].to_pylist()], found["slot"].to_numpy()] = found["n"].to_numpy()
+                logs[: len(some)] = np.log((n + 0.1) / (n.sum(axis=1, keepdims=True) + 0.1 * SLOTS))
+            yield logs
+
+    return classes, blocks()
 
 
 def text_likelihoods(df: DataFrame, text: str, logs: np.ndarray, name: str) -> DataFrame:
     """df with array<double> of log-likelihoods by class; null where the text has no letter."""
     at = df.columns.index(text)
     by_slot = np.ascontiguousarray(logs.T)
+    rows = max(1, (1 << 20) // len(logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(at))
-            out: list = []
-            for lo, hi in chunks(offsets):
-                found, letters = trigrams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                doc = found // SLOTS
-                n = np.bincount(doc, minlength=hi - lo)
-                scale = np.minimum(1.0, EVIDENCE / np.maximum(n, 1))
-                sums = np.stack([np.bincount(doc, by_slot[found % SLOTS, k], hi - lo) for k in range(len(logs))], axis=1) * scale[:, None]
-                out += [x if ok else None for x, ok in zip(sums.tolist(), letters.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names, name])
+            for first, last in chunks(offsets):
+                for lo in range(first, last, rows):
+                    hi = min(lo + rows, last)
+                    found, letters = trigrams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    doc = found // SLOTS
+                    n = np.bincount(doc, minlength=hi - lo)
+                    scale = np.minimum(1.0, EVIDENCE / np.maximum(n, 1))
+                    sums = np.stack([np.bincount(doc, by_slot[found % SLOTS, k], hi - lo) for k in range(len(logs))], axis=1) * scale[:, None]
+                    starts = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(logs))
+                    out = pa.ListArray.from_arrays(starts, pa.array(sums.ravel()), mask=pa.array(~letters))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, out], names=[*batch.schema.names, name])
 
     return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
@@ -148,14 +184,27 @@ def identify(spark: SparkSession, df: DataFrame, text: str = "text", declared: C
     own = {k: fresh(df, f"_lid_{k}") for k in ("text", "said", "suffix", "host", "ll")}
     if text not in df.columns:
         raise ValueError(f"no column {text}")
-    work = df.withColumns({own["said"]: F.lower((declared if declared is not None else null).cast("string")), own["suffix"]: suffix if suffix is not None else null, own["host"]: host if host is not None else null})
+    work = df.withColumns({own["said"]: declaration(declared if declared is not None else null), own["suffix"]: suffix if suffix is not None else null, own["host"]: host if host is not None else null})
     staged = Staging(spark, "language")
     counts = staged.put("trigrams", count_trigrams(work, work[text], F.col(own["said"])))
-    classes, logs = text_models(counts)
-    scored = text_likelihoods(work, text, logs, own["ll"])
+    classes, models = text_models(counts)
+    if len(classes) <= BLOCK:
+        logs = next(models)
+        scored = text_likelihoods(work, text, logs, own["ll"])
+        slim = text_likelihoods(work.select(text, own["said"], own["suffix"], own["host"]), text, logs, own["ll"])
+    else:
+        more = fresh(work, "_lid_more")
+        scored = work
+        for k, logs in enumerate(models):
+            part = text_likelihoods(scored, text, logs, more if k else own["ll"])
+            if k:
+                part = part.withColumn(own["ll"], F.concat(own["ll"], more)).drop(more)
+            scored = staged.put(f"block{k}", part)
+            if k:
+                staged.drop(f"block{k - 1}")
+        slim = scored
 
     # what rows classed by their text alone say about the other evidence
-    slim = text_likelihoods(work.select(text, own["said"], own["suffix"], own["host"]), text, logs, own["ll"])
     best = F.array_position(F.col(own["ll"]), F.array_max(own["ll"])).cast("int") - 1
     tallies = staged.put("tallies", slim.where(F.col(own["ll"]).isNotNull()).groupBy(best.alias("k"), F.col(own["said"]).alias("said"), F.col(own["suffix"]).alias("suffix"), F.col(own["host"]).alias("host")).agg(F.count("*").alias("n")))
     overall = np.ones(len(classes))
@@ -164,17 +213,20 @@ def identify(spark: SparkSession, df: DataFrame, text: str = "text", declared: C
     share = overall / overall.sum()
     share[-1] = min(share[-1], 1e-3)
 
+    def numbers(values: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(x)) for x in values])
+
     def evidence(column: str) -> DataFrame:
         """(value, array of log P(value | class) by class), add-one smoothed."""
         seen = tallies.where(F.col(column).isNotNull()).groupBy(column, "k").agg(F.sum("n").alias("n"))
         by = seen.groupBy(column).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
-        smooth = [F.log((F.coalesce(F.col("m")[F.lit(k)], F.lit(0)) + F.lit(0.5)) / F.lit(float(overall[k]) + 1.0)) for k in range(len(classes))]
-        return by.select(F.col(column).alias(f"_lid_by_{column}"), F.array(*smooth).alias(f"_lid_log_{column}"))
+        smooth = F.transform(numbers(overall + 1.0), lambda n, k: F.log((F.coalesce(F.col("m")[k], F.lit(0)) + F.lit(0.5)) / n))
+        return by.select(F.col(column).alias(f"_lid_by_{column}"), smooth.alias(f"_lid_log_{column}"))
 
-    flat = F.array(*[F.lit(float(x)) for x in share])
+    flat = numbers(share)
 
     def prior(own_counts: Column, total: Column, above: Column) -> Column:
-        return F.array(*[(F.coalesce(own_counts[F.lit(k)], F.lit(0)) + F.lit(pull) * above[k]) / (total + F.lit(pull)) for k in range(len(classes))])
+        return F.transform(above, lambda x, k: (F.coalesce(own_counts[k], F.lit(0)) + F.lit(pull) * x) / (total + F.lit(pull)))
 
     def grouped(key: Column, name: str) -> DataFrame:
         seen = tallies.where(F.col("host").isNotNull()).groupBy(key.alias(name), "k").agg(F.sum("n").alias("n"))
@@ -186,10 +238,10 @@ def identify(spark: SparkSession, df: DataFrame, text: str = "text", declared: C
     fused = scored
     for column, side in (("said", evidence("said")), ("suffix", evidence("suffix")), ("host", hosts)):
         fused = fused.join(staged.put(column, side), F.col(own[column]) == F.col(f"_lid_by_{column}"), "left")
-    zero = F.array(*[F.lit(0.0)] * len(classes))
-    base = F.array(*[F.lit(float(np.log(x))) for x in share])
-    logs_of = [F.coalesce(F.col(own["ll"]), zero), F.coalesce(F.col("_lid_log_said"), zero), F.coalesce(F.col("_lid_log_suffix"), zero), F.coalesce(F.col("_lid_log_host"), base)]
-    total = F.array(*[logs_of[0][k] + logs_of[1][k] + logs_of[2][k] + logs_of[3][k] for k in range(len(classes))])
+    zero, base = numbers(np.zeros(len(classes))), numbers(np.log(share))
+    total = F.coalesce(F.col(own["ll"]), zero)
+    for other in (F.coalesce(F.col("_lid_log_said"), zero), F.coalesce(F.col("_lid_log_suffix"), zero), F.coalesce(F.col("_lid_log_host"), base)):
+        total = F.zip_with(total, other, lambda x, y: x + y)
     top = F.array_max("_lid_total")
     fused = fused.withColumn("_lid_total", total)
     at = F.array_position(F.col("_lid_total"), top).cast("int")

@@ -61,6 +61,28 @@ def test_languages_and_wrong_declarations(spark):
     assert all(r.language == "mine" for r in rows) and np.mean([r.accepted for r in rows]) > 0.98
 
 
+def test_every_declared_language_is_learned(spark, docs_of):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts, langs = [], []
+    for k in range(230):
+        words = ["".join(r.choices(letters, k=r.randint(4, 8))) for _ in range(25)]
+        code = "l" + letters[k // 26] + letters[k % 26]
+        said = (code, f"{code.upper()}-XX", f" {code}_yy", None) if k < 200 else (f"{code}-Latn", code, None)
+        for x in said:
+            texts.append(" ".join(r.choices(words, k=60)))
+            langs.append((x, code))
+    ids = list(range(len(texts)))
+    docs = docs_of(texts).drop("lang").join(spark.createDataFrame([(i, *x) for i, x in zip(ids, langs)], "doc_id long, lang string, true string"), "doc_id")
+    rows = language.identify_documents(spark, docs).collect()
+    assert len(rows) == len(texts) and all(x.language == x.true and x.accepted for x in rows)
+
+
+@pytest.mark.parametrize("said, primary", [("en", "en"), ("EN-us", "en"), (" pt_BR", "pt"), ("", None), ("und", None), (None, None), ("-x", None)])
+def test_declarations(spark, said, primary):
+    assert spark.range(1).select(language.declaration(F.lit(said).cast("string"))).first()[0] == primary
+
+
 def test_pages(spark):
     rows = language.identify_pages(spark, spark.read.parquet(f"{SF}/pages.parquet")).select("html", "language").collect()
     assert np.mean([f'lang="{r.language}"' in r.html for r in rows]) > 0.95
