@@ -135,9 +135,16 @@ def training_run(spark: SparkSession, settings: Settings, output: str) -> dict |
     return config
 
 
+#: Settings that are checked and documented, but that no stage of a crop run carries out.
+NOT_INCLUDED = ("mask_faces", "mask_background", "mask_clothing", "follow_symlinks", "upscale")
+
+
 def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, staging: str, decode: Callable[[bytes], object] = pixels.decode) -> dict:
     """Runs everything up to the manifest and returns the statistics. root, output and staging are URIs."""
     s = settings.checked()
+    missing = [name for name in NOT_INCLUDED if getattr(s, name)]
+    if missing:
+        raise NotImplementedError(f"crop_run has no stage for {', '.join(missing)}")
     photos = scan.scan(spark, root, exclude=s.exclude, skip=[], limit=s.limit)
     manifest_path = f"{output}/manifest.jsonl"
     system = spark._jvm.org.apache.hadoop.fs.Path(manifest_path).getFileSystem(spark._jsc.hadoopConfiguration())

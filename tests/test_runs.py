@@ -137,3 +137,10 @@ def test_whole_photos(spark, photos):
     root, output, staging = paths(photos)
     stats = runs.crop_run(spark, settings(skip_detection=True), root, output, staging)
     assert stats["written"] == 3 and stats["error"] == 1 and stats["too_small"] == 2
+
+
+@pytest.mark.parametrize("name", ["mask_faces", "mask_background", "mask_clothing", "follow_symlinks", "upscale"])
+def test_settings_without_a_stage_are_refused(name, spark, photos):
+    with pytest.raises(NotImplementedError, match=name):
+        runs.crop_run(spark, settings(**{name: True}), *paths(photos))
+    assert not (photos / "out").exists()
