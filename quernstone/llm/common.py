@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- staged tables -----------------------------------------------------------
 
 
+#: Removes the shuffle files of a finished write; the written table takes their place.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine), a temporary folder.
+    Where the session names none, a temporary folder if all runs on this machine, else an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _own_folder()
     return named.rstrip("/")
 
 
+@lru_cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
+
+
 def bounded(spark: SparkSession) -> SparkSession:
     """Keeps Arrow batches of whole texts small, as worker memory grows with them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
@@ -62,27 +71,36 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 class Staging:
-    """Tables written to the shared folder, to cut lineage and to survive lost executors."""
+    """Tables written to the shared folder, to cut lineage and to survive lost executors.
+
+    Lazy results read some of them, so what is not dropped goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = bounded(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes df and returns the written table."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """Writes df and returns the written table; the shuffle files of the write go with its end."""
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        root, files = self._at()
+        files.deleteOnExit(root)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Removes tables that no plan reads any more, and lets Spark find the shuffle files of finished plans."""
-        jvm = self.spark._jvm
+        """Removes tables that no plan reads any more."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        time.sleep(0.3)  # the bridge passes dropped references on in the background
-        jvm.System.gc()
+            path, files = self._at(f"/{name}")
+            files.delete(path, True)
+
+    def _at(self, name: str = "") -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
 def fresh(df: DataFrame, name: str) -> str:

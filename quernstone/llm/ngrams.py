@@ -1,22 +1,26 @@
 """Language-model scores by stupid backoff, over n-gram count tables partitioned by hash.
 
-Every document is scored by the bigrams and words of all other documents (its own counts are
-taken off), so that a text does not vouch for itself:
+Every document is scored by the n-grams of all other documents (its own counts are taken off),
+so that a text does not vouch for itself. With `order` 2:
 
     S(w | v) = c(v w) / c(v)                where another document has v w,
                BACKOFF * c(w) / N           where another document has w,
                BACKOFF * UNSEEN / (N + 1)   else.
 
 v is the word before, or START for the first word; N counts the words of all other documents.
+A higher order begins with longer contexts (of fewer words near the start) and backs off in the
+same way, by BACKOFF each time.
 
-1. Documents are written as chunks of about CHUNK bytes of text (compressed), to be read twice.
-2. Each chunk explodes its n-grams to 64-bit hashes and sends every distinct one with its count
-   to the slice of the hash range it falls in. A frequent n-gram thus comes once from a chunk.
-3. Each slice, of about SLICE bytes of text's n-grams, adds up its count table and joins it to
-   the n-grams that were sent, which returns the corpus count of each, by chunk.
-4. A chunk and its counts are joined, and the scores are summed per document.
+1. Documents are written as chunks of about CHUNK bytes of text (compressed), to be read again.
+2. Each chunk is exploded into n-grams: rows (gram, chunk, n), the gram as a 64-bit hash. A
+   frequent n-gram comes once from a chunk, so that no key has more rows than there are chunks.
+3. The rows are partitioned by gram. Grouped by gram, they give the count table; joined to it,
+   they bring each chunk the counts of those of its n-grams that other chunks have too. The hash
+   range is done in PASSES parts, one after the other, so that the shuffle files of one part
+   are on disk at a time.
+4. A chunk meets its counts, sorted by gram behind it, and the scores are summed per document.
 
-The number of slices grows with the text, so that slices stay of one size; no count is capped.
+Rows are at most the distinct n-grams of each chunk: they grow as the text does.
 
 Words are runs of other than white space with A-Z lower-cased. Defined results: a null, empty
 or blank text has no words and score 0. Repeated rows are documents of their own. Ids may be
@@ -37,9 +41,12 @@ from .common import LOWER, Rolling, Staging, U64, chunks, lean, mix, stream, wor
 
 BACKOFF = 0.4
 UNSEEN = 0.5
+ORDER = 2
 CHUNK = 8 << 20
+#: Text whose n-grams one task of a pass counts, in bytes; passes over the hash range.
 SLICE = 16 << 20
-SCORES = "doc_id long, n_words long, n_bigram long, n_word long, n_unseen long, log_score double"
+PASSES = 4
+NAMES = {1: "n_word", 2: "n_bigram", 3: "n_trigram"}
 
 _START = U64(0x243F6A8885A308D3)
 _pair = stream(17, 2) | U64(1)
@@ -78,24 +85,34 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
 
 
 class Grams:
-    """The words of a chunk: hashes of each word, of the pair that ends in it, and of what stands before it."""
+    """The n-grams of a chunk up to some order, as hashes at the word that each ends in.
 
-    def __init__(self, body: bytes, ends: list[int], size: int):
+    of[m]: hashes of the m-grams, at the words `at[m]`; START counts as a word before the first.
+    """
+
+    def __init__(self, body: bytes, ends: list[int], size: int, order: int):
         global _words
         _words = _words or Rolling(61, LOWER)
         data = np.frombuffer(pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
         offsets = np.concatenate([[0], np.asarray(ends, np.int64)])
         start, end, self.doc = word_spans(data, offsets)
         # short ranges one after the other keep the powers small
-        hashed = np.concatenate([self._hash(data, offsets, start, end, lo, hi) for lo, hi in chunks(offsets)] or [np.zeros(0, U64)])
-        first = np.ones(len(hashed), bool)
+        word = np.concatenate([self._hash(data, offsets, start, end, lo, hi) for lo, hi in chunks(offsets)] or [np.zeros(0, U64)])
+        n = len(word)
+        first = np.ones(n, bool)
         first[1:] = self.doc[1:] != self.doc[:-1]
-        before = np.empty_like(hashed)
-        before[1:] = hashed[:-1]
-        before[first] = _START
-        self.word, self.before = hashed, before
-        self.pair = mix(before * _pair[0] + hashed * _pair[1])
-        self.starts = int(first.sum())
+        place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        self.first, self.starts = first, int(first.sum())
+        self.of, self.at = {1: word}, {1: np.arange(n)}
+        for m in range(2, order + 1):
+            # what stands before a word: the (m-1)-gram that ends in the one before it
+            before = np.full(n, _START) if m == 2 else np.zeros(n, U64)
+            inner = self.at[m - 1][:-1] if len(self.at[m - 1]) and self.at[m - 1][-1] == n - 1 else self.at[m - 1]
+            before[inner + 1] = self.of[m - 1][: len(inner)]
+            if m == 2:
+                before[first] = _START
+            self.at[m] = np.flatnonzero(place >= m - 2)
+            self.of[m] = mix(before[self.at[m]] * _pair[0] + word[self.at[m]] * _pair[1])
 
     @staticmethod
     def _hash(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -103,71 +120,37 @@ class Grams:
         some = slice(*np.searchsorted(start, [a, b]))
         return _words.ranges(_words.prefix(data[a:b]), start[some] - a, end[some] - a)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct words with START, their counts, distinct pairs, their counts), sorted."""
-        words, n = np.unique(np.append(self.word, np.full(self.starts, _START)), return_counts=True)
-        pairs, m = np.unique(self.pair, return_counts=True)
-        return words, n, pairs, m
+    def counts(self, part: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(distinct hashes, their counts) of each order, in one part of the hash range."""
+        for m, hashes in self.of.items():
+            if m == 1:
+                hashes = np.append(hashes, np.full(self.starts, _START))
+            yield np.unique(hashes[(hashes >> U64(32)) * U64(parts) >> U64(32) == U64(part)], return_counts=True)
 
 
-def sent(packs: DataFrame, slices: int) -> DataFrame:
-    """slice, chunk, kind (1 words, 2 pairs), n words of text, hashes, counts: what a chunk has in a slice."""
-    edges = np.array([(k << 64) // slices for k in range(1, slices)], dtype=U64)
+def exploded(packs: DataFrame, order: int, part: int, parts: int) -> DataFrame:
+    """gram, chunk, n: the distinct n-grams of each chunk, in one part of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, size, ends, body in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                words, n, pairs, m = Grams(body, ends, size).counts()
-                for kind, hashes, counts in ((1, words, n), (2, pairs, m)):
-                    at = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-                    rows = [(k, hashes[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "chunk", "kind", "hashes", "counts"])
-
-    return packs.select("chunk", "bytes", "ends", "body").mapInArrow(lean(run), "slice long, chunk long, kind int, hashes binary, counts binary")
-
-
-def summed(rows: DataFrame, slices: int) -> DataFrame:
-    """slice, chunk, kind, totals: the corpus counts of what each chunk sent, in its order."""
-
-    def table(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        hashes = [np.frombuffer(r["hashes"], U64) for r in held]
-        counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in held]).astype(np.int64)
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(place, counts, len(distinct)).astype(np.int64)[place]
-        at = 0
-        for r, h in zip(held, hashes):
-            yield pa.RecordBatch.from_arrays([pa.array([r["slice"]], pa.int64()), pa.array([r["chunk"]], pa.int64()), pa.array([r["kind"]], pa.int32()), pa.array([packed(totals[at : at + len(h)])], pa.binary())], names=["slice", "chunk", "kind", "totals"])
-            at += len(h)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
-                if key is not None and key != (row["slice"], row["kind"]):
-                    yield from table(held)
-                    held = []
-                key = (row["slice"], row["kind"])
-                held.append(row)
-        if held:
-            yield from table(held)
-
-    dealt = rows.repartition(max(1, slices), "slice", "kind").sortWithinPartitions("slice", "kind")
-    return dealt.mapInArrow(lean(run), "slice long, chunk long, kind int, totals binary")
+                for hashes, n in Grams(body, ends, size, order).counts(part, parts):
+                    for lo in range(0, len(hashes), 1 << 17):
+                        some = hashes[lo : lo + (1 << 17)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), chunk)), pa.array(n[lo : lo + (1 << 17)].astype(np.int64))], names=["gram", "chunk", "n"])
 
+    return packs.select("chunk", "bytes", "ends", "body").mapInArrow(lean(run), "gram long, chunk long, n long")
 
-def packed(totals: np.ndarray) -> bytes:
-    """Counts as bytes, with 255 for a larger one that follows in full at the end."""
-    small = np.minimum(totals, 255).astype(np.uint8)
-    large = totals[totals >= 255].astype("<i8")
-    return np.int64(len(totals)).tobytes() + small.tobytes() + large.tobytes()
 
+def shared(grams: DataFrame, partitions: int) -> DataFrame:
+    """chunk, gram, elsewhere: how often other chunks have a chunk's n-gram, where any does.
 
-def unpacked(raw: bytes) -> np.ndarray:
-    n = int(np.frombuffer(raw[:8], "<i8")[0])
-    out = np.frombuffer(raw[8 : 8 + n], np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw[8 + n :], "<i8")
-    return out
+    Both sides of the join read one exchange.
+    """
+    dealt = grams.where("gram is not null").repartition(partitions, "gram")
+    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    counts = counts.where("low <> high").select("gram", "total")
+    return dealt.join(counts, "gram").select("chunk", "gram", (F.col("total") - F.col("n")).alias("elsewhere"))
 
 
 def own_counts(doc: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
@@ -178,47 +161,90 @@ def own_counts(doc: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
     return n[inverse]
 
 
-def scored(grams: Grams, documents: int, word_totals: np.ndarray, pair_totals: np.ndarray, corpus: int) -> tuple[np.ndarray, ...]:
-    """(words, by bigram, by word, unseen, log score) of each document of a chunk."""
-    words, _, pairs, _ = grams.counts()
-    doc = grams.doc
-    of_word, of_before, of_pair = (np.searchsorted(words, grams.word), np.searchsorted(words, grams.before), np.searchsorted(pairs, grams.pair))
-    n = np.bincount(doc, minlength=documents)
-    own_word = own_counts(doc, of_word, len(words))
-    # what stands before occurs in its document as often as a word, or once as START
-    inside = np.unique(doc * np.int64(len(words)) + of_word, return_counts=True)
-    key = doc * np.int64(len(words)) + of_before
-    at = np.minimum(np.searchsorted(inside[0], key), max(0, len(inside[0]) - 1))
-    own_before = np.where(inside[0][at] == key, inside[1][at], 0) if len(key) else np.zeros(0, np.int64)
-    own_before = own_before + (grams.before == _START)
-    c_pair = pair_totals[of_pair] - own_counts(doc, of_pair, len(pairs))
-    c_word = word_totals[of_word] - own_word
-    c_before = word_totals[of_before] - own_before
-    rest = (corpus - n)[doc]
-    hit, known = c_pair > 0, c_word > 0
-    share = np.where(hit, c_pair / np.maximum(c_before, 1), np.where(known, BACKOFF * c_word / np.maximum(rest, 1), BACKOFF * UNSEEN / (rest + 1)))
-    per = [np.bincount(doc, x, documents).astype(np.int64) for x in (hit, ~hit & known, ~hit & ~known)]
-    return n, *per, np.bincount(doc, np.log(share), documents).astype(np.float64)
-
-
-def score(spark: SparkSession, docs: DataFrame, chunk: int = CHUNK, part: int = SLICE) -> DataFrame:
-    """doc_id, n_words, n_bigram, n_word, n_unseen, log_score (natural logarithm, summed) of every document."""
+def scored(grams: Grams, documents: int, known: np.ndarray, elsewhere: np.ndarray, corpus: int) -> tuple[np.ndarray, ...]:
+    """(words, by order from the highest, unseen, log score) of each document of a chunk.
+
+    known, elsewhere: sorted hashes that other chunks have too, and their counts there.
+    """
+    doc, order = grams.doc, max(grams.of)
+
+    def others(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Counts in other documents, by position."""
+        distinct, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+            n = n + np.where(known[at] == distinct, elsewhere[at], 0)
+        return n[place] - own_counts(own, place, len(distinct))
+
+    words = np.bincount(doc, minlength=documents)
+    rest = (corpus - words)[doc]
+    left = {}  # counts in other documents, by order and word
+    for m, hashes in grams.of.items():
+        left[m] = np.zeros(len(doc), np.int64)
+        left[m][grams.at[m]] = others(hashes, doc[grams.at[m]])
+    start = grams.starts + int(elsewhere[known == _START].sum())
+    share, factor, open_ = np.ones(len(doc)), np.ones(len(doc)), np.ones(len(doc), bool)
+    per = []
+    for m in range(order, 1, -1):
+        tried = np.zeros(len(doc), bool)
+        tried[grams.at[m]] = True
+        tried &= open_
+        hit = tried & (left[m] > 0)
+        before = np.zeros(len(doc), np.int64)
+        before[1:] = left[m - 1][:-1]
+        if m == 2:
+            before[grams.first] = start - 1
+        share[hit] = factor[hit] * left[m][hit] / before[hit]
+        factor[tried & ~hit] *= BACKOFF
+        open_ &= ~hit
+        per.append(hit)
+    seen = open_ & (left[1] > 0)
+    share[seen] = factor[seen] * left[1][seen] / rest[seen]
+    unseen = open_ & ~seen
+    share[unseen] = factor[unseen] * UNSEEN / (rest[unseen] + 1)
+    per = [np.bincount(doc, x, documents).astype(np.int64) for x in (*per, seen, unseen)]
+    return words, *per, np.bincount(doc, np.log(share), documents).astype(np.float64)
+
+
+def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, part: int = SLICE, passes: int = PASSES) -> DataFrame:
+    """doc_id, n_words, the words found by each order, n_unseen, log_score (natural logarithm, summed) of every document."""
+    if order < 1:
+        raise ValueError("the order is at least 1")
     staged = Staging(spark, "ngrams")
     packs = staged.put("chunks", chunked(docs, chunk))
     size, corpus = packs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    slices = max(1, -(-size // part))
-    gathered = staged.put("totals", summed(sent(packs, slices), slices))
-    staged.drop()  # what was sent is summed: its shuffle files can go
-    lists = gathered.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "slice", "totals"))).alias("totals"))
-    joined = packs.join(lists, "chunk", "left").select("bytes", "ids", "ends", "body", "totals")
+    partitions = max(1, -(-size // (part * passes)))
+    rows = packs.select("chunk", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("elsewhere"), F.struct("bytes", "ids", "ends", "body").alias("pack"))
+    for k in range(passes):
+        found = staged.put(f"shared-{k}", shared(exploded(packs, order, k, passes), partitions))
+        rows = rows.unionAll(found.select("chunk", "gram", "elsewhere", F.lit(None).cast(rows.schema["pack"].dataType)))
+    names = ["doc_id", "n_words", *[NAMES.get(m, f"n_{m}gram") for m in range(order, 0, -1)], "n_unseen", "log_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                size, ids, ends, body, totals = (c[k].as_py() for c in batch.columns)
-                kinds = [np.concatenate([np.zeros(0, np.int64), *[unpacked(t["totals"]) for t in totals or () if t["kind"] == kind]]) for kind in (1, 2)]
-                rows = scored(Grams(body, ends, size), len(ids), *kinds, corpus)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x) for x in rows]], names=["doc_id", "n_words", "n_bigram", "n_word", "n_unseen", "log_score"])
+        pack, known, elsewhere = None, [], []
 
-    return joined.mapInArrow(lean(run), SCORES)
+        def out() -> pa.RecordBatch:
+            hashes, counts = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (known, elsewhere))
+            hashes = hashes.view(U64)
+            sorted_ = np.argsort(hashes, kind="stable")
+            values = scored(Grams(pack["body"], pack["ends"], pack["bytes"], order), len(pack["ids"]), hashes[sorted_], counts[sorted_], corpus)
+            return pa.RecordBatch.from_arrays([pa.array(pack["ids"], pa.int64()), *[pa.array(x) for x in values]], names=names)
+
+        for batch in batches:
+            heads = np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False)).tolist()
+            for k, (a, b) in enumerate(zip([0, *heads], [*heads, batch.num_rows])):
+                if k:  # a chunk begins
+                    if pack is not None:
+                        yield out()
+                    pack, known, elsewhere = batch.column(2)[a].as_py(), [], []
+                    a += 1
+                if b > a:
+                    known.append(batch.column(0).slice(a, b - a).to_numpy())
+                    elsewhere.append(batch.column(1).slice(a, b - a).to_numpy())
+        if pack is not None:
+            yield out()
 
+    # behind each chunk's text its counts
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("gram")).select("gram", "elsewhere", "pack")
+    kinds = {"doc_id": "long", "log_score": "double"}
+    return dealt.mapInArrow(lean(run), ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names))

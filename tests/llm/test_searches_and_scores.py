@@ -127,12 +127,43 @@ def test_scores_equal_brute_force(spark, docs_of, chunk, part):
     texts = [" ".join(r.choice(["a", "B", "c", "dd", "é", "word%d" % r.randrange(200)]) for _ in range(r.choice([0, 1, 2, 30, 300]))) for _ in range(60)]
     texts += ["the same text here"] * 8 + [None, "", " \n\t", "only once", "x" * 30_000]
     ids = [*range(len(texts) - 1), None]
-    got = ngrams.score(spark, docs_of(texts, ids=ids), chunk, part).collect()
+    got = ngrams.score(spark, docs_of(texts, ids=ids), 2, chunk, part).collect()
     key = lambda t: tuple(-1 if x is None else x for x in t[:5])
     got, want = sorted(map(tuple, got), key=key), sorted(((i, *row) for i, row in zip(ids, brute(texts))), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5] for g in got], [w[5] for w in want])
 
 
+def test_trigrams_back_off_twice(spark, docs_of):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["a", "b", "c", "dd", "e%d" % r.randrange(40)]) for _ in range(r.choice([0, 1, 2, 3, 80]))) for _ in range(40)] + [None, "a a a a"]
+    docs = [[None, *t.split()] if t else [] for t in texts]
+    grams = [Counter(tuple(d[i - m + 1 : i + 1]) for m in (1, 2, 3) for i in range(m - 1, len(d))) for d in docs]
+    total, n = sum(grams, Counter()), sum(max(0, len(d) - 1) for d in docs)
+    want = []
+    for i, d in enumerate(docs):
+        kinds, s = [0, 0, 0, 0], 0.0
+        left = lambda g: total[g] - grams[i][g]
+        for j in range(1, len(d)):
+            factor = 1.0
+            for m in (3, 2, 1):
+                if j - m + 1 < 0:
+                    continue
+                g = tuple(d[j - m + 1 : j + 1])
+                if left(g):
+                    s += math.log(factor * left(g) / (left(g[:-1]) if m > 1 else n - len(d) + 1))
+                    kinds[3 - m] += 1
+                    break
+                if m > 1:
+                    factor *= 0.4
+            else:
+                s += math.log(factor * 0.5 / (n - len(d) + 2))
+                kinds[3] += 1
+        want.append((i, max(0, len(d) - 1), *kinds, s))
+    got = sorted(map(tuple, ngrams.score(spark, docs_of(texts), 3, 200, 300).collect()))
+    assert [g[:6] for g in got] == [w[:6] for w in want]
+    assert np.allclose([g[6] for g in got], [w[6] for w in want])
+
+
 def test_scores_of_no_documents(spark, docs_of):
     assert ngrams.score(spark, docs_of([])).count() == 0
