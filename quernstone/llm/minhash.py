@@ -5,19 +5,20 @@
    the minima folded into a bitmap by parity. The XOR of two sketches has about
    n/2 (1 - exp(-4 k (1 - J) / n)) bits, which gives the similarity J back.
 2. Documents of one set key are one class; only classes go on.
-3. Classes of one band value are candidates. First round, over the first CHAIN bands: in a random
-   order of each value's classes, neighbours are compared; and where a value has CROWD classes or
-   more, all are compared with their pivot, the class nearest to the majority of their odd
-   sketches' bits (the original, where all are copies of one). Then, in every band value whose
-   classes are still in several components, all classes outside the largest of these (probes)
-   are compared with all its classes, in blocks: in the second round, over the first CHAIN bands,
-   each probe keeps its best partner, in the third, over all bands, every partner. A pair is tested
-   in the first band that it shares. A pair of one component needs no test, so nothing is lost,
-   and large groups of copies never make all pairs.
-4. A pair passes if its odd sketches are within MARGIN of the threshold, and then if odd
-   sketches of the whole sets (4 bits a shingle) are within SIGMAS deviations of it. What
-   passes is confirmed on the full sets.
-5. Components by rounds of joins; every document gets the smallest id of its component.
+3. First round, over the first CHAIN bands, to bring large groups together cheaply: classes of one
+   band value are sorted in a random order, and within a task neighbours are compared, and in
+   crowds of CROWD or more (up to MOST at once) all with their pivot, the class nearest to the
+   majority of their odd sketches' bits (the original, where all are copies of one). Each class
+   keeps its nearest partner and its least pivot. What this round misses, the second finds.
+4. Second round, over all bands: in every band value whose classes are still in several components,
+   all classes outside the largest of these (probes) are compared with all its classes, in blocks.
+   A pair of one component needs no test, so nothing is lost, and large groups of copies never
+   make all pairs. A pair is tested in the first band that it shares. It passes if its odd sketches
+   are within MARGIN of the threshold, and then if odd sketches of the whole sets (4 bits a shingle)
+   are within SIGMAS deviations of it. Of the pairs of a probe with one component that are beyond
+   the threshold by SIGMAS deviations, one is enough.
+5. What passes is confirmed on the full sets. Components by contraction, in the second round of
+   the first round's components; every document gets the smallest id of its component.
 
 With 24 bands of 3, a pair at exactly 0.75 shares no band with probability 2e-6.
 
@@ -42,13 +43,15 @@ from .common import LOWER, Rolling, Staging, U64, chunks, lean, mix, stream, tex
 from .components import components
 
 WIDTH = 5
-BANDS, ROWS, CHAIN = 24, 3, 6
+BANDS, ROWS, CHAIN = 24, 3, 8
 MINS = 96
 BITS = 512
-MARGIN = 0.25
+MARGIN, CLOSE = 0.25, 0.05
 SIGMAS = 5.5
 BLOCK = 64
-CROWD = 16
+CROWD, MOST = 16, 4096
+#: Slots of the table of wanted ids that is sent to all tasks: its size bound.
+SLOTS = 1 << 18
 LAST = (1 << 63) - 1
 
 _words: Rolling | None = None
@@ -129,7 +132,12 @@ def folded(rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def excess(x: np.ndarray, width: int, total: np.ndarray, threshold: float) -> np.ndarray:
-    """By how much XOR counts of whole sketches exceed what a pair at the threshold may have.
+    """By how much XOR counts of whole sketches exceed the most that a pair at the threshold may have."""
+    return excesses(x, width, total, threshold)[0]
+
+
+def excesses(x: np.ndarray, width: int, total: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """By how much XOR counts of whole sketches exceed the most and the least that a pair at the threshold may have.
 
     total: sums of the two set sizes. A pair at the threshold differs in d = total (1 - t)/(1 + t)
     shingles, whose parity bits have this mean and this deviation.
@@ -138,7 +146,8 @@ def excess(x: np.ndarray, width: int, total: np.ndarray, threshold: float) -> np
     d = total * (1 - threshold) / (1 + threshold)
     shrunk = np.exp(-2 * d / n)
     mean, variance = n / 2 * (1 - shrunk), n / 4 * (1 - shrunk**2) - d * shrunk**2
-    return x - mean - SIGMAS * np.sqrt(np.maximum(variance, 0)) - 1
+    spread = SIGMAS * np.sqrt(np.maximum(variance, 0)) + 1
+    return x - mean - spread, x - mean + spread
 
 
 def similarity(distance: np.ndarray) -> np.ndarray:
@@ -153,9 +162,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ONES[a ^ b].sum(axis=-1, dtype=np.int64)
 
 
-def most_bits(threshold: float) -> int:
-    """The largest XOR count that a pair at the threshold may have, with the margin."""
-    return int(BITS / 2 * (1 - np.exp(-4 * MINS * (1 - threshold + MARGIN) / BITS)))
+def most_bits(threshold: float, margin: float) -> int:
+    """The largest XOR count of odd sketches that a pair within the margin below the threshold may have."""
+    return int(BITS / 2 * (1 - np.exp(-4 * MINS * (1 - threshold + margin) / BITS)))
 
 
 def _fixed(x: np.ndarray) -> pa.Array:
@@ -185,10 +194,14 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary, odd binary, whole binary")
 
 
+def _sorted(doc_id: Column) -> Column:
+    """8 bytes that sort by id; a null id is the largest."""
+    return F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(LAST)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
 def node_of(doc_id: Column, set_key: Column) -> Column:
     """24 bytes that sort by id, then by set."""
-    flipped = F.coalesce(doc_id, F.lit(LAST)).bitwiseXOR(F.lit(-(1 << 63)))
-    return F.concat(F.unhex(F.lpad(F.hex(flipped), 16, "0")), set_key)
+    return F.concat(_sorted(doc_id), set_key)
 
 
 def id_of(node: Column) -> Column:
@@ -196,117 +209,59 @@ def id_of(node: Column) -> Column:
     return F.nullif(value.cast("long"), F.lit(LAST))
 
 
-def _banded(classes: DataFrame, first: int, last: int, *more: str) -> DataFrame:
-    """band, node and further columns, of the bands first to last - 1."""
-    return classes.select(F.explode(F.slice("bands", first + 1, last - first)).alias("band"), "node", *more)
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """Sorted by band and a random order of nodes; a frequent band value spans partitions."""
-    mixed = rows.withColumn("turn", F.xxhash64("band", "node"))
-    return mixed.repartitionByRange("band", "turn").sortWithinPartitions("band", "turn")
-
-
-def chain(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of neighbours within each band value that pass the sketches.
-
-    The last row of a partition meets the first of the next by a second, tiny pass over two rows
-    of each partition.
-    """
-    limit = most_bits(threshold)
+def partners(classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of near neighbours and pivots within the values of the first CHAIN bands."""
+    limit = most_bits(threshold, CLOSE)
+    rows = classes.select(F.explode(F.slice("bands", 1, CHAIN)).alias("band"), "node", "odd").withColumn("turn", F.xxhash64("band", "node"))
+    # a frequent band value spans partitions; other bands sort its classes in another order
+    dealt = rows.repartitionByRange("band", "turn").sortWithinPartitions("band", "turn").select("band", "node", "odd")
+
+    def found(band: np.ndarray, node: np.ndarray, odd: np.ndarray) -> pa.RecordBatch:
+        x = np.flatnonzero(band[1:] == band[:-1])
+        far = distances(odd[x], odd[x + 1])
+        x, far = x[far <= limit], far[far <= limit]
+        own, other, by, central = [x, x + 1], [x + 1, x], [far, far], [np.zeros(2 * len(x), bool)]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(band)) + 1, [len(band)]])
+        for k in np.flatnonzero(np.diff(edges) >= CROWD):
+            for lo in range(edges[k], edges[k + 1], MOST):
+                hi = min(lo + MOST, edges[k + 1])
+                bits = np.zeros(BITS, np.int64)
+                for at in range(lo, hi, 256):
+                    bits += np.unpackbits(odd[at : min(at + 256, hi)], axis=1).sum(axis=0, dtype=np.int64)
+                pivot = lo + int(np.argmin(distances(odd[lo:hi], np.packbits(2 * bits > hi - lo))))
+                far = distances(odd[lo:hi], odd[pivot])
+                near = np.flatnonzero(far <= limit)
+                near = near[near != pivot - lo]
+                own.append(near + lo)
+                other.append(np.full(len(near), pivot))
+                by.append(far[near])
+                central.append(np.ones(len(near), bool))
+        own, other = np.concatenate(own), np.concatenate(other)
+        return pa.RecordBatch.from_arrays([_fixed(node[own]), _fixed(node[other]), pa.array(np.concatenate(by)), pa.array(np.concatenate(central))], names=["node", "partner", "far", "central"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = tail = None
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, node, odd = batch.column(0).to_numpy(), _matrix(batch.column(1), 24), _matrix(batch.column(2), BITS // 8)
-            if tail is not None:
-                band, node, odd = np.append(tail[0], band), np.vstack([tail[1], node]), np.vstack([tail[2], odd])
-            else:
-                head = (band[:1], node[:1], odd[:1])
-            tail = (band[-1:], node[-1:], odd[-1:])
-            near = np.flatnonzero(band[1:] == band[:-1])
-            near = near[distances(odd[near], odd[near + 1]) <= limit]
-            yield _pair_rows(node[near], node[near + 1])
-        if head is not None:
-            part = pa.array([_partition()] * 2, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.binary()), pa.nulls(2, pa.binary()), pa.array(np.append(head[0], tail[0])), _fixed(np.vstack([head[1], tail[1]])), _fixed(np.vstack([head[2], tail[2]])), part, pa.array([0, 1], pa.int32())], names=EDGE)
-
-    return _spread(rows).select("band", "node", "odd").mapInArrow(lean(run), "a binary, b binary, band long, node binary, odd binary, part int, side int")
-
-
-EDGE = ["a", "b", "band", "node", "odd", "part", "side"]
-
-
-def _partition() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-def _pair_rows(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """Pairs with the smaller node first."""
-    n = len(x)
-    swap = np.array([a.tobytes() > b.tobytes() for a, b in zip(x, y)], bool).reshape(-1, 1)
-    a, b = np.where(swap, y, x), np.where(swap, x, y)
-    return pa.RecordBatch.from_arrays([_fixed(a.reshape(-1, 24)), _fixed(b.reshape(-1, 24)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=EDGE)
-
-
-def seams(spark: SparkSession, edges: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across partitions, from two rows of each partition."""
-    limit = most_bits(threshold)
-    rows = sorted(edges.where("part is not null").select("part", "side", "band", "node", "odd").collect(), key=lambda r: (r["part"], r["side"]))
-    found = []
-    for x, y in zip(rows[1::2], rows[2::2]):
-        if x["band"] == y["band"] and distances(np.frombuffer(x["odd"], np.uint8), np.frombuffer(y["odd"], np.uint8)) <= limit:
-            a, b = sorted([bytes(x["node"]), bytes(y["node"])])
-            found.append((a, b))
-    return spark.createDataFrame(found, "a binary, b binary")
-
-
-def pivots(staged: Staging, banded: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each class in a crowded band value with the value's pivot; banded: band, node, odd.
-
-    Bits are counted per task and band value, so that a frequent value is counted in many tasks,
-    and a value gathers one row from each of these.
-    """
-    many = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("band")
-    crowded = staged.put("crowded", _spread(banded.join(staged.put("many", many), "band")).select("band", "node", "odd"))
-
-    def runs(band: np.ndarray) -> list[tuple[int, int]]:
-        edges = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)] if len(band) else []
-        return list(zip(edges, edges[1:]))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            band, bits = batch.column(0).to_numpy(), np.unpackbits(_matrix(batch.column(1), BITS // 8), axis=1)
-            spans = runs(band)
-            yield pa.RecordBatch.from_arrays([pa.array([band[a] for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array([bits[a:b].sum(axis=0, dtype=np.int64).tobytes() for a, b in spans], pa.binary())], names=["band", "n", "ones"])
-
-    def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes = [np.packbits(2 * sum(np.frombuffer(x, np.int64) for x in parts) > n).tobytes() for n, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.binary())], names=["band", "vote"])
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = distances(_matrix(batch.column(2), BITS // 8), _matrix(batch.column(3), BITS // 8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["band", "node", "far"])
-
-    counted = crowded.select("band", "odd").mapInArrow(lean(count), "band long, n long, ones binary")
-    votes = counted.groupBy("band").agg(F.sum("n").alias("n"), F.collect_list("ones").alias("ones")).mapInArrow(lean(majority), "band long, vote binary")
-    votes = staged.put("votes", votes)
-    ranked = crowded.join(votes, "band").select("band", "node", "odd", "vote").mapInArrow(lean(nearest), "band long, node binary, far long")
-    chosen = staged.put("chosen", ranked.groupBy("band").agg(F.min_by("node", F.struct("far", "node")).alias("pivot")))
-    pairs = crowded.join(chosen, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    out = staged.put("pivots", pairs.distinct())
-    staged.drop("many", "crowded", "votes", "chosen")
-    return out
+            now = [batch.column(0).to_numpy(), _matrix(batch.column(1), 24), _matrix(batch.column(2), BITS // 8)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last value may go on
+            last += (len(held[0]) - last) // MOST * MOST
+            if last:
+                yield found(*[x[:last] for x in held])
+                held = [x[last:] for x in held]
+        if held is not None and len(held[0]):
+            yield found(*held)
+
+    near = dealt.mapInArrow(lean(run), "node binary, partner binary, far long, central boolean")
+    kept = near.groupBy("node").agg(F.min(F.struct("far", "partner"))["partner"].alias("nearest"), F.min(F.when(F.col("central"), F.col("partner"))).alias("pivot"))
+    pairs = kept.select("node", F.explode(F.array_compact(F.array("nearest", "pivot"))).alias("partner"))
+    return pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """band, place, probing and lists of nodes, labels, sketches, sizes, probes: up to BLOCK rows of one band value."""
+    """band, place, probing and lists of nodes, components, sketches, sizes, probes: up to BLOCK rows of one band value."""
     mixed = rows.withColumn("turn", F.xxhash64("node"))
     # probes first, so that they share few blocks; a frequent band value spans partitions
     dealt = mixed.repartitionByRange("band", "rest", "turn").sortWithinPartitions("band", "rest", "turn").drop("turn")
@@ -336,7 +291,7 @@ def blocks(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield emit(held)
 
-    fields = "band long, place int, probing boolean, node array<binary>, label array<binary>, marks array<binary>, odd array<binary>, whole array<binary>, n_shingles array<long>, rest array<boolean>"
+    fields = "band long, place int, probing boolean, node array<binary>, label array<long>, marks array<binary>, odd array<binary>, whole array<binary>, n_shingles array<long>, rest array<boolean>"
     return dealt.select("band", "place", *names).mapInArrow(lean(run), fields)
 
 
@@ -344,121 +299,124 @@ class Side:
     """One block's rows, with whole sketches by width."""
 
     def __init__(self, node: pa.Array, label: pa.Array, marks: pa.Array, odd: pa.Array, whole: pa.Array, sizes: pa.Array):
-        self.node, self.label, self.odd = _matrix(node, 24), _matrix(label, 24), _matrix(odd, BITS // 8)
+        self.node, self.label, self.odd = _matrix(node, 24), label.to_numpy(), _matrix(odd, BITS // 8)
         self.marks = _matrix(marks, 4 * BANDS).view("<u4")
         self.whole, self.sizes = [np.frombuffer(x, np.uint8) for x in whole.to_pylist()], sizes.to_numpy()
         self.widths = np.array([len(x) for x in self.whole])
         self.by_width = {w: np.stack([self.whole[k] for k in np.flatnonzero(self.widths == w)]) for w in np.unique(self.widths)}
 
-    def excess(self, whole: np.ndarray, size: int, rows: np.ndarray, threshold: float) -> np.ndarray:
+    def excesses(self, whole: np.ndarray, size: int, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Of one sketch against some rows."""
-        out = np.empty(len(rows))
+        most, least = np.empty(len(rows)), np.empty(len(rows))
         for width, held in self.by_width.items():
             mine = np.flatnonzero(self.widths[rows] == width)
             if len(mine):
                 common = min(width, len(whole))
                 place = np.searchsorted(np.flatnonzero(self.widths == width), rows[mine])
                 x = distances(folded(whole, common), folded(held[place], common))
-                out[mine] = excess(x, common, self.sizes[rows[mine]] + size, threshold)
-        return out
+                most[mine], least[mine] = excesses(x, common, self.sizes[rows[mine]] + size, threshold)
+        return most, least
 
 
-def across(dealt: DataFrame, threshold: float, only_best: bool) -> DataFrame:
-    """Pairs of a probe and a row of another component that pass both sketches; with only_best,
-    the one of each probe whose sketches differ least."""
-    limit = most_bits(threshold)
+def across(dealt: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a probe and a row of another component that pass both sketches; of those
+    of one component that are surely linked to the probe, one."""
+    limit = most_bits(threshold, MARGIN)
     names = ["node", "label", "marks", "odd", "whole", "n_shingles", "rest"]
     left = dealt.where("probing").select("band", "place", *[F.col(c).alias(f"l_{c}") for c in names])
     joined = left.join(dealt.select("band", *names[:-1]), "band").drop("band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple[float, bytes]] = {}  # of this task's probes
+        sure: dict[tuple[bytes, int], tuple[float, bytes]] = {}  # the best of a probe and component
+        open_: dict[tuple[bytes, int], list[bytes]] = {}
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            rows = [(probe, label, other, False) for (probe, label), others in open_.items() if (probe, label) not in sure for other in others]
+            rows += [(probe, label, other, True) for (probe, label), (_, other) in sure.items()]
+            sure.clear()
+            open_.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.bool_()))], names=["probe", "label", "other", "sure"])
+
         for batch in batches:
             for k in range(batch.num_rows):
                 place, row = batch.column(0)[k].as_py(), [batch.column(c)[k].values for c in range(1, batch.num_columns)]
                 left, right = Side(*row[:6]), Side(*row[7:])
                 for j in np.flatnonzero(~row[6].to_numpy(zero_copy_only=False)):
-                    near = np.flatnonzero((distances(left.odd[j], right.odd) <= limit) & (right.label != left.label[j]).any(axis=1))
+                    near = np.flatnonzero((distances(left.odd[j], right.odd) <= limit) & (right.label != left.label[j]))
                     near = near[np.argmax(right.marks[near] == left.marks[j], axis=1) == place]
                     if not len(near):
                         continue
-                    over = right.excess(left.whole[j], left.sizes[j], near, threshold)
-                    ratio = over / (right.sizes[near] + left.sizes[j])
-                    keep = np.flatnonzero(over <= 0)
-                    if only_best and len(keep):
-                        k_best = keep[np.lexsort((keep, ratio[keep]))[0]]
-                        probe, own = left.node[j].tobytes(), (float(ratio[k_best]), right.node[near[k_best]].tobytes())
-                        best[probe] = min(best.get(probe, own), own)
-                    elif len(keep):
-                        hit = near[keep]
-                        pair = _pair_rows(np.broadcast_to(left.node[j], (len(hit), 24)), right.node[hit])
-                        yield pa.RecordBatch.from_arrays([*pair.columns[:2], _fixed(np.broadcast_to(left.node[j], (len(hit), 24))), pa.array(ratio[keep])], names=["a", "b", "probe", "ratio"])
-        if best:
-            probes, partners = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 24) for x in (best, [p for _, p in best.values()]))
-            yield pa.RecordBatch.from_arrays([*_pair_rows(probes, partners).columns[:2], _fixed(probes), pa.array([r for r, _ in best.values()])], names=["a", "b", "probe", "ratio"])
-
-    found = joined.mapInArrow(lean(run), "a binary, b binary, probe binary, ratio double")
-    if only_best:
-        found = found.groupBy("probe").agg(F.min_by(F.struct("a", "b"), F.struct("ratio", "a", "b")).alias("p")).select("p.a", "p.b")
-    return found.select("a", "b").distinct()
-
-
-def plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose whole sketches allow the threshold."""
+                    most, least = right.excesses(left.whole[j], left.sizes[j], near, threshold)
+                    probe = left.node[j].tobytes()
+                    for i in np.flatnonzero(most <= 0):
+                        key, other = (probe, int(right.label[near[i]])), right.node[near[i]].tobytes()
+                        if least[i] <= 0:
+                            own = (float(most[i] / (right.sizes[near[i]] + left.sizes[j])), other)
+                            sure[key] = min(sure.get(key, own), own)
+                        elif key not in sure:
+                            open_.setdefault(key, []).append(other)
+                            held += 1
+            if held > 1 << 17:
+                yield out()
+                held = 0
+        yield out()
+
+    found = joined.mapInArrow(lean(run), "probe binary, label long, other binary, sure boolean")
+    # tasks that share a probe and a component may each have found one that is sure
+    kept = found.groupBy("probe", "label", F.when(~F.col("sure"), F.col("other")).alias("open")).agg(F.min("other").alias("other"))
+    return kept.select(F.least("probe", "other").alias("a"), F.greatest("probe", "other").alias("b")).distinct()
+
+
+def confirm(staged: Staging, pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full sets have the similarity.
+
+    Only texts whose id falls in a slot that some pair wants are read on; the slots are at most SLOTS.
+    """
+    share = round(threshold * 100)
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).withColumn("side", F.col("node") != F.col("a"))
+    slot = lambda own: F.pmod(F.xxhash64(own), F.lit(SLOTS))
+    wanted = staged.put("slots", sides.select(slot(F.substring("node", 1, 8)).alias("slot")).distinct())
+    rows = docs.select(_sorted(docs["doc_id"].cast("long")).alias("own"), docs["text"]).withColumn("slot", slot(F.col("own")))
+    rows = rows.join(F.broadcast(wanted), "slot", "left_semi").select("own", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y, n in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)]):
-                width = min(len(x), len(y))
-                x, y = (folded(np.frombuffer(s, np.uint8), width) for s in (x, y))
-                keep.append(excess(distances(x, y), width, np.float64(n), threshold) <= 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    a = classes.select(F.col("node").alias("a"), F.col("whole").alias("whole_a"), F.col("n_shingles").alias("n_a"))
-    b = classes.select(F.col("node").alias("b"), F.col("whole").alias("whole_b"), F.col("n_shingles").alias("n_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "whole_a", "whole_b", F.col("n_a") + F.col("n_b")).mapInArrow(lean(run), "a binary, b binary")
-
+            data, offsets = text_buffer(batch.column(1))
+            own = _matrix(batch.column(0), 8)
+            for lo, hi in chunks(offsets):
+                found, sizes = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                node = _fixed(np.hstack([own[lo:hi], set_keys(found, sizes)]))
+                yield pa.RecordBatch.from_arrays([node, batch.column(1).slice(lo, hi - lo)], names=["node", "text"])
 
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity; texts (node, text)."""
-    share = round(threshold * 100)
+    # rows that repeat an id and a set are one
+    texts = rows.mapInArrow(lean(named), "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the first side of a pair whose second comes next
         for batch in batches:
-            sides = [text_buffer(batch.column(k)) for k in (2, 3)]
-            keep = np.zeros(batch.num_rows, bool)
-            for lo, hi in chunks(sides[0][1] + sides[1][1]):
-                sets = []
-                for data, offsets in sides:
-                    found, sizes = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    sets.append(np.split(found, np.cumsum(sizes)[:-1]))
-                for k, (x, y) in enumerate(zip(*sets)):
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            n = batch.num_rows // 2 * 2
+            held = batch.slice(n) if n < batch.num_rows else None
+            data, offsets = text_buffer(batch.column(2).slice(0, n))
+            keep = np.zeros(n // 2, bool)
+            for lo, hi in chunks(offsets[::2]):
+                some = offsets[2 * lo : 2 * hi + 1]
+                found, sizes = shingles(data[some[0] : some[-1]], some - some[0])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for k in range(hi - lo):
+                    x, y = (found[ends[j] : ends[j + 1]] for j in (2 * k, 2 * k + 1))
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[lo + k] = 100 * both >= share * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a binary, b binary")
-
-
-def texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the classes in pairs: the text of a row with the class's id and set."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    wanted = classes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("wanted_id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            node = _matrix(batch.column(0), 24)
-            for lo, hi in chunks(offsets):
-                found, sizes = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                keys = set_keys(found, sizes)
-                yield batch.slice(lo, hi - lo).filter(pa.array((keys == node[lo:hi, 8:]).all(axis=1)))
+            first = batch.slice(0, n).take(pa.array(np.flatnonzero(keep) * 2))
+            yield first.select([0, 1])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("own_id"), docs["text"])
-    held = rows.join(wanted, F.col("own_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-    return held.mapInArrow(lean(run), "node binary, text string").dropDuplicates(["node"])
+    met = sides.join(texts, "node").select("a", "b", "side", "text")
+    dealt = met.repartition("a", "b").sortWithinPartitions("a", "b", "side").select("a", "b", "text")
+    return dealt.mapInArrow(lean(run), "a binary, b binary")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -466,35 +424,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.7
     staged = Staging(spark, "minhash")
     rows = staged.put("rows", sketch(docs))
     grouped = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "marks", "odd", "whole")])
-    classes = staged.put("classes", grouped.withColumn("node", node_of(F.col("doc_id"), F.col("set_key"))))
-
-    edges = staged.put("edges", chain(_banded(classes, 0, CHAIN, "odd"), threshold))
-    central = pivots(staged, _banded(classes, 0, CHAIN, "odd"))
-    near = edges.where("a is not null").select("a", "b").unionAll(seams(spark, edges, threshold)).unionAll(central).distinct()
-    pairs = staged.put("pairs-0", plausible(near, classes, threshold))
-    links = staged.put("links-0", confirm(pairs, texts_of(docs, classes, pairs), threshold))
-    staged.drop("edges", "pivots", "pairs-0")
-    labels = components(staged, links, "components-0")
-    # band values with several components; later rounds only merge components, so no other opens
+    classes = staged.put("classes", grouped.select("*", node_of(F.col("doc_id"), F.col("set_key")).alias("node")).drop("doc_id"))
+
+    pairs = staged.put("pairs-1", partners(classes, threshold))
+    links = staged.put("links-1", confirm(staged, pairs, docs, threshold))
+    labels = components(staged, links, "components-1")
+
+    # band values with several components; components are told apart by a hash of their labels
     named = classes.join(labels, "node", "left").select("node", "bands", F.xxhash64(F.coalesce("label", "node")).alias("label"))
-    several = _banded(named, 0, BANDS, "label").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
-    placed = classes.select(F.posexplode("bands").alias("place", "band"), "node").join(staged.put("several", several), "band")
-    opened = staged.put("opened", placed.select("band", "node", "place"))
-    for turn in (1, 2):
-        at = staged.put("at", (opened.where(F.col("place") < CHAIN) if turn == 1 else opened).join(labels, "node", "left").select("band", "place", "node", F.coalesce("label", "node").alias("label")))
-        sizes = at.groupBy("band", "label").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").select("band", "largest")
-        rest = at.join(staged.put("largest", largest), "band").select("band", "place", "node", "label", (F.col("label") == F.col("largest")).alias("rest"))
-        dealt = staged.put("blocks", blocks(rest.join(classes.select("node", "marks", "odd", "whole", "n_shingles"), "node")))
-        pairs = staged.put("pairs", across(dealt, threshold, only_best=turn == 1))
-        found = staged.put(f"links-{turn}", confirm(pairs, texts_of(docs, classes, pairs), threshold))
-        links = links.unionAll(found)
-        staged.drop("at", "largest", "blocks", "pairs")
-        labels = components(staged, links, f"components-{turn}")
-
-    final = classes.join(labels, "node", "left").select(F.col("set_key").alias("class_key"), id_of(F.coalesce("label", "node")).alias("least"))
-    final = staged.put("final", final)
-    staged.drop("links-0", "links-1", "links-2", "several", "opened", "classes")
+    named = staged.put("named", named)
+    tally = named.select(F.explode("bands").alias("band"), "label").groupBy("band", "label").agg(F.count("*").alias("n"))
+    several = tally.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count("*").alias("n")).where("n > 1").select("band", "largest")
+    placed = named.select(F.posexplode("bands").alias("place", "band"), "node", "label").join(several, "band")
+    at = placed.select("band", "place", "node", "label", (F.col("label") == F.col("largest")).alias("rest"))
+    dealt = staged.put("blocks", blocks(at.join(classes.select("node", "marks", "odd", "whole", "n_shingles"), "node")))
+    pairs = staged.put("pairs-2", across(dealt, threshold))
+    found = staged.put("links-2", confirm(staged, pairs, docs, threshold))
+    for x in "ab":
+        found = found.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")), x, "left").withColumn(x, F.coalesce(f"{x}_label", x)).drop(f"{x}_label")
+    merged = components(staged, found, "components-2").select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+
+    final = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label")).join(merged, "label", "left")
+    final = staged.put("final", final.select(F.col("set_key").alias("class_key"), id_of(F.coalesce("beyond", "label")).alias("least")))
+    staged.drop("pairs-1", "links-1", "components-1", "named", "blocks", "pairs-2", "links-2", "slots", "components-2", "classes")
     out = rows.select("doc_id", "n_shingles", "set_key").join(final, F.col("set_key") == F.col("class_key"), "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

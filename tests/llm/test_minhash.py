@@ -63,6 +63,16 @@ def test_equals_brute_force(spark, docs_of, seed, copies):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (size, component, i == component)
 
 
+def test_second_round_finds_all_that_the_first_misses(spark, docs_of, monkeypatch):
+    texts = corpus(3, 60)
+    texts.append(" ".join(f"w{k % 7000}" for k in range(60_000)))  # a very long text and its near copy
+    texts.append(texts[-1] + " one more word")
+    monkeypatch.setattr(minhash, "partners", lambda classes, threshold: spark.createDataFrame([], "a binary, b binary"))
+    got = {r.doc_id: r for r in minhash.near_duplicates(spark, docs_of(texts).withColumnsRenamed({"lang": "node", "source": "label"})).collect()}
+    want = brute(texts, list(range(len(texts))))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == want
+
+
 def test_repeated_and_null_ids(spark, docs_of):
     text = "a b c d e f g"
     got = minhash.near_duplicates(spark, docs_of([text, text, text, "other words", "x y", "x y"], ids=[3, 3, None, 3, None, None])).collect()
