@@ -1,13 +1,15 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Coarse centroids (about the square root of the number of rows) and the codebooks of residuals
-are trained by k-means on SAMPLE rows at most, in the order of a hash of the id; every row is
-indexed. The number of probes is measured on the sample: the least with which TRIALS of its rows
-find the share TARGET of their nearest others (few in clustered data, many in shapeless data). An index row is its list, its code of one byte a subspace, and its vector. Lists are cut
+Coarse centroids (the square root of the number of rows, at most SAMPLE) and the codebooks of
+residuals are trained by k-means on SAMPLE rows at most, in the order of a hash of the id; every
+row is indexed. The first rows in that order, up to TRIALS or a quarter of the sample, are kept
+out of the training. Their nearest others among all rows are found by brute force, in one pass,
+and the number of probes is the least with which TARGET of these are in a probed list (few in
+clustered data, many in shapeless data). An index row is its list, its code of one byte a subspace, and its vector. Lists are cut
 into blocks of BLOCK rows after a range sort on (list, hash), so that a list that holds a third of
 all rows lies in many tasks. A query probes the lists with the nearest centroids; blocks of
 queries meet blocks of rows by an equi-join on the list. Within a pair of blocks, asymmetric
-distance tables give each row's estimate, the RERANK best rows are scored exactly, and the
+distance tables give each row's estimate, the RERANK best rows of each block are scored exactly, and the
 best k stay; a window takes the best k over all blocks.
 
 Nearness is the largest cosine of the original vectors in double precision, so unit vectors
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Staging, lean
@@ -31,8 +34,8 @@ from .vectors import BLOCK_SCHEMA, best, checked, cut_blocks, matrix, queries_of
 SAMPLE = 16_384
 BLOCK = 2048
 QUERY_BLOCK = 256
-RERANK = 96
-TARGET = 0.95
+RERANK = 40
+TARGET = 0.96
 TRIALS = 256
 CODES = 256
 
@@ -64,26 +67,22 @@ class Index:
     def __init__(self, sample: np.ndarray, rows: int):
         sample = unit(sample)
         d = sample.shape[1]
-        self.centres = kmeans(sample, max(1, int(rows**0.5)) if rows > 4 * BLOCK else max(1, rows // BLOCK))
+        self.centres = kmeans(sample, max(1, round(rows**0.5)))
         rest = sample - self.centres[nearest(sample, self.centres)]
         parts = next(m for m in (16, 8, 4, 2, 1) if d % m == 0)
         self.spans = [(a, a + d // parts) for a in range(0, d, d // parts)]
         self.books = [kmeans(rest[:, a:b], CODES, 5) for a, b in self.spans]
         self.probes = len(self.centres)
-        self.probes = self.enough(sample)
 
-    def enough(self, sample: np.ndarray, k: int = 5) -> int:
-        """Probes for the share TARGET of the nearest others, in the sample."""
-        of = nearest(sample, self.centres)
+    def enough(self, trials: np.ndarray, near: list[np.ndarray]) -> int:
+        """Probes that reach the share TARGET of each trial's nearest others."""
         ranks = []
-        for j in np.unique(np.linspace(0, len(sample) - 1, TRIALS).astype(int)):
-            score = sample @ sample[j]
-            score[j] = -np.inf
+        for lists, own in zip(self.probe(trials), near):
             order = np.empty(len(self.centres), int)
-            order[self.probe(sample[j : j + 1])[0]] = np.arange(len(self.centres))
-            ranks.append(order[of[np.argpartition(-score, min(k, len(score) - 1))[:k]]])
-        ranks = np.sort(np.concatenate(ranks))
-        return int(ranks[min(len(ranks) - 1, int(np.ceil(len(ranks) * TARGET)))]) + 1
+            order[lists] = np.arange(len(self.centres))
+            ranks.append(order[nearest(own, self.centres)])
+        ranks = np.sort(np.concatenate([np.zeros(0, int), *ranks]))
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(len(ranks) * TARGET)))]) + 1 if len(ranks) else len(self.centres)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = unit(x)
@@ -129,6 +128,33 @@ def search_block(index: Index, of: int, q_ids: np.ndarray, q: np.ndarray, ids: n
     return out
 
 
+def brute(rows: DataFrame, trials: np.ndarray, d: int, k: int) -> list[np.ndarray]:
+    """The k unit vectors nearest to each trial among all rows but its equals: a bounded set of queries, the best few by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, vectors = np.zeros((len(trials), 0)), np.zeros((len(trials), 0, d))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                x = unit(matrix(batch.column(1).slice(lo, BLOCK), d))
+                score = trials @ x.T
+                score[score > 1 - 1e-12] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                scores = np.concatenate([scores, np.take_along_axis(score, top, 1)], axis=1)
+                vectors = np.concatenate([vectors, x[top]], axis=1)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                scores, vectors = np.take_along_axis(scores, top, 1), np.take_along_axis(vectors, top[:, :, None], 1)
+        for j in range(len(trials)):
+            keep = np.isfinite(scores[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), j)), pa.array(scores[j, keep]), pa.array([v.tobytes() for v in vectors[j, keep]], pa.binary())], names=["trial", "score", "row"])
+
+    found = rows.mapInArrow(lean(run), "trial long, score double, row binary")
+    w = W.partitionBy("trial").orderBy(F.desc("score"), "row")
+    near: list[list] = [[] for _ in trials]
+    for r in found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("trial", "row").collect():  # at most TRIALS * k
+        near[r["trial"]].append(np.frombuffer(r["row"]))
+    return [np.array(x).reshape(-1, d) for x in near]
+
+
 def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found; queries are the rows where `wanted`."""
     staged = Staging(spark, "ann")
@@ -139,7 +165,10 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
     if not n:
         return spark.createDataFrame([], empty)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()  # bounded
-    index = Index(np.array([r[0] for r in sample], np.float64), n)
+    sample = np.array([r[0] for r in sample], np.float64)
+    held = min(TRIALS, len(sample) // 4)
+    trials, index = unit(sample[:held]), Index(sample[held:], n)
+    index.probes = index.enough(trials, brute(rows, trials, d, k))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

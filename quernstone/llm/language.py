@@ -181,7 +181,7 @@ def identify(spark: SparkSession, df: DataFrame, text: str = "text", declared: C
     null = F.lit(None).cast("string")
     names_in = list(df.columns)
     lang, sure, ok = fresh(df, "language"), fresh(df, "confidence"), fresh(df, "accepted")
-    own = {k: fresh(df, f"_lid_{k}") for k in ("text", "said", "suffix", "host", "ll")}
+    own = {k: fresh(df, f"_lid_{k}") for k in ("text", "said", "suffix", "host", "ll", "total", *(f"{x}_{c}" for x in ("by", "log") for c in ("said", "suffix", "host")))}
     if text not in df.columns:
         raise ValueError(f"no column {text}")
     work = df.withColumns({own["said"]: declaration(declared if declared is not None else null), own["suffix"]: suffix if suffix is not None else null, own["host"]: host if host is not None else null})
@@ -221,7 +221,7 @@ def identify(spark: SparkSession, df: DataFrame, text: str = "text", declared: C
         seen = tallies.where(F.col(column).isNotNull()).groupBy(column, "k").agg(F.sum("n").alias("n"))
         by = seen.groupBy(column).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
         smooth = F.transform(numbers(overall + 1.0), lambda n, k: F.log((F.coalesce(F.col("m")[k], F.lit(0)) + F.lit(0.5)) / n))
-        return by.select(F.col(column).alias(f"_lid_by_{column}"), smooth.alias(f"_lid_log_{column}"))
+        return by.select(F.col(column).alias(own[f"by_{column}"]), smooth.alias(own[f"log_{column}"]))
 
     flat = numbers(share)
 
@@ -234,19 +234,19 @@ def identify(spark: SparkSession, df: DataFrame, text: str = "text", declared: C
 
     parents = grouped(parent_of(F.col("host")), "parent").select("parent", prior(F.col("_m_parent"), F.col("_t_parent"), flat).alias("_above"))
     hosts = grouped(F.col("host"), "host").withColumn("parent", parent_of(F.col("host"))).join(parents, "parent", "left")
-    hosts = hosts.select(F.col("host").alias("_lid_by_host"), F.transform(prior(F.col("_m_host"), F.col("_t_host"), F.col("_above")), lambda x: F.log(x)).alias("_lid_log_host"))
+    hosts = hosts.select(F.col("host").alias(own["by_host"]), F.transform(prior(F.col("_m_host"), F.col("_t_host"), F.col("_above")), lambda x: F.log(x)).alias(own["log_host"]))
     fused = scored
     for column, side in (("said", evidence("said")), ("suffix", evidence("suffix")), ("host", hosts)):
-        fused = fused.join(staged.put(column, side), F.col(own[column]) == F.col(f"_lid_by_{column}"), "left")
+        fused = fused.join(staged.put(column, side), F.col(own[column]) == F.col(own[f"by_{column}"]), "left")
     zero, base = numbers(np.zeros(len(classes))), numbers(np.log(share))
     total = F.coalesce(F.col(own["ll"]), zero)
-    for other in (F.coalesce(F.col("_lid_log_said"), zero), F.coalesce(F.col("_lid_log_suffix"), zero), F.coalesce(F.col("_lid_log_host"), base)):
+    for other in (F.coalesce(F.col(own["log_said"]), zero), F.coalesce(F.col(own["log_suffix"]), zero), F.coalesce(F.col(own["log_host"]), base)):
         total = F.zip_with(total, other, lambda x, y: x + y)
-    top = F.array_max("_lid_total")
-    fused = fused.withColumn("_lid_total", total)
-    at = F.array_position(F.col("_lid_total"), top).cast("int")
+    top = F.array_max(own["total"])
+    fused = fused.withColumn(own["total"], total)
+    at = F.array_position(F.col(own["total"]), top).cast("int")
     found = F.when(F.col(own["ll"]).isNull(), UNKNOWN).otherwise(F.element_at(F.array(*[F.lit(c) for c in classes]), at))
-    chance = 1 / F.aggregate(F.transform("_lid_total", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
+    chance = 1 / F.aggregate(F.transform(own["total"], lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
     fused = fused.withColumns({lang: found, sure: chance})
     return fused.select(*names_in, lang, sure, ((F.col(lang) != UNKNOWN) & (F.col(sure) >= least)).alias(ok))
 

@@ -168,12 +168,12 @@ def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
     if length < CELL + TRIGGER:
         raise ValueError(f"passages must have at least {CELL + TRIGGER} bytes")
     staged = Staging(spark, "repeats")
-    again = _cell_names(docs, length).groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
-    again = staged.put("again", again.where("n > 1").select("core", (F.col("low") != F.col("high")).alias("mixed")))
-    hits = staged.put("hits", _cell_places(docs, length).join(again, "core"))
-    mixed = hits.where("mixed")
-    units = mixed.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "hash", "place")).alias("at"))
-    units = staged.put("units", units.select("core", "whole", (F.col("n") > 1).alias("often"), "at.*"))
+    names = _cell_names(docs, length).groupBy("core", "whole").agg(F.count("*").alias("n"))
+    by_core = names.groupBy("core").agg(F.sum("n").alias("all"), F.count("*").alias("wholes")).where("all > 1")
+    again = names.join(by_core, "core").select("core", "whole", (F.col("n") > 1).alias("often"), (F.col("wholes") > 1).alias("mixed"))
+    hits = staged.put("hits", _cell_places(docs, length).join(staged.put("again", again), ["core", "whole"]))
+    units = hits.where("mixed").groupBy("core", "whole").agg(F.min(F.struct("id", "hash", "place")).alias("at"), F.first("often").alias("often"))
+    units = staged.put("units", units.select("core", "whole", "often", "at.*"))
 
     listed = units.groupBy("id", "hash").agg(F.collect_list(F.struct("core", "place", "often")).alias("units"))
     listed = staged.put("listed", listed)
@@ -187,9 +187,8 @@ def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
     found = windows.where(~F.col("often")).join(named, ["core", "name"]).select("id", "hash", "start", (F.col("start") + length).alias("end"))
     cell = F.shiftright("place", 7)
     end = cell + F.col("place").bitwiseAND(F.lit(127)) - 1 + length
-    often = units.where("often").select("core", "whole")
-    repeated = hits.where(~F.col("mixed")).unionAll(mixed.join(often, ["core", "whole"]).select(hits.columns))
-    spans = repeated.select("id", "hash", cell.alias("start"), end.alias("end")).unionAll(found)
+    # where a core has one whole, that whole occurs as often as the core
+    spans = hits.where("often").select("id", "hash", cell.alias("start"), end.alias("end")).unionAll(found)
     out = staged.put("spans", spans.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     staged.drop("again", "hits", "units", "listed", "windows", "named")
     return out
@@ -215,9 +214,10 @@ def _beside(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFram
     """docs with the spans of each row, and that column's name."""
     name = fresh(docs, "repeated_spans")
     key, hashed = _keyed(docs)
-    found = marks(spark, docs, length).select(F.col("id").alias("_repeats_id"), F.col("hash").alias("_repeats_hash"), F.col("spans").alias(name))
-    own = docs.withColumns({"_repeats_own_id": key, "_repeats_own_hash": hashed})
-    joined = own.join(found, (F.col("_repeats_own_id") == F.col("_repeats_id")) & (F.col("_repeats_own_hash") == F.col("_repeats_hash")), "left")
+    own_id, own_hash, span_id, span_hash = (fresh(docs, x) for x in ("own_id", "own_hash", "span_id", "span_hash"))
+    found = marks(spark, docs, length).select(F.col("id").alias(span_id), F.col("hash").alias(span_hash), F.col("spans").alias(name))
+    own = docs.withColumns({own_id: key, own_hash: hashed})
+    joined = own.join(found, (F.col(own_id) == F.col(span_id)) & (F.col(own_hash) == F.col(span_hash)), "left")
     return joined.select(*docs.columns, name), name
 
 
