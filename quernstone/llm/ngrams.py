@@ -18,7 +18,7 @@ same way, by BACKOFF each time.
    they bring each chunk the counts of those of its n-grams that other chunks have too. The hash
    range is done in PASSES parts, one after the other, so that the shuffle files of one part
    are on disk at a time.
-4. A chunk meets its counts, sorted by gram behind it, and the scores are summed per document.
+4. A chunk meets the lists of its counts, and the scores are summed per document.
 
 Rows are at most the distinct n-grams of each chunk: they grow as the text does.
 
@@ -44,8 +44,8 @@ UNSEEN = 0.5
 ORDER = 2
 CHUNK = 8 << 20
 #: Text whose n-grams one task of a pass counts, in bytes; passes over the hash range.
-SLICE = 16 << 20
-PASSES = 4
+SLICE = 8 << 20
+PASSES = 2
 NAMES = {1: "n_word", 2: "n_bigram", 3: "n_trigram"}
 
 _START = U64(0x243F6A8885A308D3)
@@ -143,14 +143,16 @@ def exploded(packs: DataFrame, order: int, part: int, parts: int) -> DataFrame:
 
 
 def shared(grams: DataFrame, partitions: int) -> DataFrame:
-    """chunk, gram, elsewhere: how often other chunks have a chunk's n-gram, where any does.
+    """chunk, grams, elsewhere: what other chunks have too of each chunk's n-grams, and how often.
 
-    Both sides of the join read one exchange.
+    Both sides of the join read one exchange. A chunk's lists are bounded by the chunk; packed by
+    task, they are moved without a row for each n-gram.
     """
     dealt = grams.where("gram is not null").repartition(partitions, "gram")
     counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     counts = counts.where("low <> high").select("gram", "total")
-    return dealt.join(counts, "gram").select("chunk", "gram", (F.col("total") - F.col("n")).alias("elsewhere"))
+    met = dealt.join(counts, "gram").select("chunk", "gram", (F.col("total") - F.col("n")).alias("elsewhere"))
+    return met.groupBy("chunk").agg(F.collect_list("gram").alias("grams"), F.collect_list("elsewhere").alias("elsewhere"))
 
 
 def own_counts(doc: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
@@ -214,37 +216,35 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, chunk: int =
     packs = staged.put("chunks", chunked(docs, chunk))
     size, corpus = packs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     partitions = max(1, -(-size // (part * passes)))
-    rows = packs.select("chunk", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("elsewhere"), F.struct("bytes", "ids", "ends", "body").alias("pack"))
+    rows = packs.withColumns({"grams": F.lit(None).cast("array<long>"), "elsewhere": F.lit(None).cast("array<long>")}).drop("words")
     for k in range(passes):
         found = staged.put(f"shared-{k}", shared(exploded(packs, order, k, passes), partitions))
-        rows = rows.unionAll(found.select("chunk", "gram", "elsewhere", F.lit(None).cast(rows.schema["pack"].dataType)))
+        rows = rows.unionByName(found, allowMissingColumns=True)
     names = ["doc_id", "n_words", *[NAMES.get(m, f"n_{m}gram") for m in range(order, 0, -1)], "n_unseen", "log_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, known, elsewhere = None, [], []
+        pack, lists = None, []
 
         def out() -> pa.RecordBatch:
-            hashes, counts = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (known, elsewhere))
-            hashes = hashes.view(U64)
-            sorted_ = np.argsort(hashes, kind="stable")
-            values = scored(Grams(pack["body"], pack["ends"], pack["bytes"], order), len(pack["ids"]), hashes[sorted_], counts[sorted_], corpus)
-            return pa.RecordBatch.from_arrays([pa.array(pack["ids"], pa.int64()), *[pa.array(x) for x in values]], names=names)
+            known, elsewhere = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([g for g, _ in lists], [e for _, e in lists]))
+            known = known.view(U64)
+            order_ = np.argsort(known, kind="stable")
+            size, ids, ends, body = pack
+            values = scored(Grams(body, ends, size, order), len(ids), known[order_], elsewhere[order_], corpus)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x) for x in values]], names=names)
 
         for batch in batches:
-            heads = np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False)).tolist()
-            for k, (a, b) in enumerate(zip([0, *heads], [*heads, batch.num_rows])):
-                if k:  # a chunk begins
+            for k in range(batch.num_rows):
+                if batch.column(3)[k].is_valid:  # a chunk begins
                     if pack is not None:
                         yield out()
-                    pack, known, elsewhere = batch.column(2)[a].as_py(), [], []
-                    a += 1
-                if b > a:
-                    known.append(batch.column(0).slice(a, b - a).to_numpy())
-                    elsewhere.append(batch.column(1).slice(a, b - a).to_numpy())
+                    pack, lists = [batch.column(c)[k].as_py() for c in range(4)], []
+                else:
+                    lists.append(tuple(batch.column(c)[k].values.to_numpy() for c in (4, 5)))
         if pack is not None:
             yield out()
 
-    # behind each chunk's text its counts
-    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("gram")).select("gram", "elsewhere", "pack")
+    # behind each chunk's text its lists
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("body").isNull()).select("bytes", "ids", "ends", "body", "grams", "elsewhere")
     kinds = {"doc_id": "long", "log_score": "double"}
     return dealt.mapInArrow(lean(run), ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names))
