@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,8 +30,9 @@ OPENERS = (
     r"description\s*:\s*",
 )
 PEEL = r"^\s*(?:" + "|".join(OPENERS) + ")+"
-#: Openings that keep their capital: an acronym, or two capitalised words.
+# Openings that keep their capital (an acronym, or two capitalised words), and commas in a row.
 NAMES = r"^(?:[A-Z]{2,}|[A-Z][a-z]+\s+[A-Z])"
+COMMAS = r"\s*,(?:\s*,)+"
 
 # Names of framings by label, and limits of the padding for faces.
 SHOTS = {"person": "full body shot", "upper": "upper body shot", "torso": "torso shot", "legs": "shot of the legs", "hands": "shot of the hands"}
@@ -49,6 +50,11 @@ FULL_TONE = "vivid saturated colors"
 SIDE_LIGHT, CONTRAST = 0.09, 0.26
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column, unicode: bool = False) -> Column:
     """White space as one space, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+" if unicode else r"\s+", " "))
@@ -78,13 +84,16 @@ def drop(text: Column, patterns: Sequence[str]) -> Column:
 def dedupe(text: Column) -> Column:
     """Comma-separated phrases, each once: the first of those alike but for case and final full stops."""
     phrases = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-    keys = F.transform(phrases, lambda p: F.regexp_replace(F.lower(p), r"\.+$", ""))
-    return F.array_join(F.filter(phrases, lambda p, i: F.array_position(keys, keys[i]) == i + 1), ", ")
+    keyed = F.transform(phrases, lambda p, i: F.struct(F.regexp_replace(F.lower(p), r"\.+$", "").alias("key"), i.alias("place"), p.alias("phrase")))
+    # sorted by key and place, the first of each key is kept; then back in their places
+    first = let(F.array_sort(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["key"] != F.get(s, i - 1)["key"])))
+    placed = F.array_sort(F.transform(first, lambda x: F.struct(x["place"].alias("place"), x["phrase"].alias("phrase"))))
+    return F.array_join(placed["phrase"], ", ")
 
 
 def tidy(text: Column) -> Column:
     """Commas and white space once each; no commas, semicolons or full stops at the ends."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*,(?:\s*,)+", ",")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), COMMAS, ",")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     out = F.regexp_replace(out, r"^[ ,;]+|[ ,;]+$", "")
     return F.trim(F.regexp_replace(out, r"\.+$", ""))

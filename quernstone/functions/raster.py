@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quernstone.functions.captions import let
+
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -16,8 +20,7 @@ def mean(values: Column) -> Column:
 
 def spread(values: Column) -> Column:
     """Population standard deviation."""
-    m = mean(values)
-    return F.sqrt(mean(F.transform(values, lambda x: (x - m) * (x - m))))
+    return F.sqrt(variance(values))
 
 
 def columns(values: Column, width: int, first: int, last: int) -> Column:
@@ -46,8 +49,7 @@ def laplacian(values: Column, width: int, height: int) -> Column:
 
 
 def variance(values: Column) -> Column:
-    m = mean(values)
-    return mean(F.transform(values, lambda x: (x - m) * (x - m)))
+    return let(values, lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: (x - m) * (x - m)))))
 
 
 def inner_fraction(padding: float) -> float:
@@ -71,8 +73,8 @@ def sigmoid(values: Column, most: float = 80.0) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    powers = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = let(values, lambda v: let(F.array_max(v), lambda most: F.transform(v, lambda x: F.exp(x - most))))
+    return let(powers, lambda p: let(total(p), lambda t: F.transform(p, lambda x: x / t)))
 
 
 def ramp(values: Column, low: float = 0.3, width: float = 0.4) -> Column:
@@ -137,16 +139,39 @@ def oval(width: int, height: int, x: Column, y: Column, w: Column, h: Column, ma
 
 
 def components(on: Column, width: int, height: int) -> Column:
-    """8-connected labels of a 0/1 raster (0: off), by spreading the largest index; for small rasters."""
-    n = width * height
-    start = F.transform(on, lambda v, i: F.when(v > 0, i + 1).otherwise(0))
-
-    def spreads(labels: Column) -> Column:
-        def pixel(v: Column, i: Column) -> Column:
-            r, c = F.floor(i / width).cast("int"), (i % width).cast("int")
-            near = [F.when((r + dr >= 0) & (r + dr < height) & (c + dc >= 0) & (c + dc < width), F.get(labels, ((r + dr) * width + c + dc).cast("int"))) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-            return F.when(v > 0, F.greatest(*near)).otherwise(0)
-
-        return F.transform(labels, pixel)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda labels, _: spreads(labels))
+    """8-connected labels of a 0/1 raster (0: off; else the largest index plus one of its blob).
+
+    Arrow batches of rasters at once: every pixel takes the largest label around it until none
+    changes, and then that of its label, so that labels travel far in few sweeps. Null for a null
+    raster, and an error for one of another size.
+    """
+
+    @F.pandas_udf("array<int>")
+    def labels(rasters: pd.Series) -> pd.Series:
+        there = rasters.notna()
+        out = pd.Series([None] * len(rasters), dtype=object)
+        if there.any():
+            lit = np.stack([np.asarray(r, np.int32).reshape(height, width) for r in rasters[there]]) > 0
+            found = blobs(lit).reshape(len(lit), -1)
+            out[there.to_numpy()] = pd.Series(list(found), index=out.index[there.to_numpy()])
+        return out
+
+    return labels(on)
+
+
+def blobs(lit: np.ndarray) -> np.ndarray:
+    """Labels of many rasters (n, height, width) of booleans."""
+    n, height, width = lit.shape
+    own = np.where(lit, np.arange(1, height * width + 1, dtype=np.int32).reshape(height, width), 0)
+    while True:
+        wide = np.pad(own, ((0, 0), (1, 1), (1, 1)))
+        near = own
+        for dy in (0, 1, 2):
+            for dx in (0, 1, 2):
+                near = np.maximum(near, wide[:, dy : dy + height, dx : dx + width])
+        near = np.where(lit, near, 0).reshape(n, -1)
+        # the label's own pixel may know a larger one
+        near = np.where(near > 0, np.take_along_axis(near, np.maximum(near - 1, 0), 1), 0).reshape(lit.shape).astype(np.int32)
+        if np.array_equal(near, own):
+            return own
+        own = near

@@ -73,6 +73,16 @@ def run_stats(crops: DataFrame, skips: DataFrame, images: DataFrame) -> DataFram
     return events.agg(count("scanned"), count("written"), F.count_if("clamped").alias("clamped"), *map(count, REASONS))
 
 
+def stats_of_fates(images: DataFrame, fates: DataFrame) -> DataFrame:
+    """The row of `run_stats` from the fate of every region (image_id, fate, clamped), in one join:
+    "written" or a reason. An image without regions is one without a detection."""
+    of = lambda name: F.count_if(F.col("fate") == name).alias(name)
+    own = images.select("image_id").join(fates, "image_id", "left").groupBy("image_id").agg(
+        of("written"), F.count_if((F.col("fate") == "written") & F.col("clamped")).alias("clamped"), F.count_if(F.col("fate").isNull()).alias("no_detection"), *map(of, REASONS[1:])
+    )
+    return own.agg(F.count("*").alias("scanned"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("written", "clamped", *REASONS)])
+
+
 def by_tier(crops: DataFrame) -> DataFrame:
     return crops.groupBy("tier").agg(F.count("*").alias("n"))
 

@@ -276,7 +276,8 @@ def _(spark, sf):
 @query("run_stats", f"""WITH {_CROPS} SELECT (SELECT count(*) FROM images) AS scanned, (SELECT count(*) FROM crops) AS written, (SELECT count(*) FROM crops WHERE clamped) AS clamped,
   count(*) FILTER (reason = 'no_detection') AS no_detection, 0::BIGINT AS multi, count(*) FILTER (reason = 'too_small') AS too_small, count(*) FILTER (reason = 'blurry') AS blurry, 0::BIGINT AS no_face, 0::BIGINT AS error FROM skips""")
 def _(spark, sf):
-    return numbering.run_stats(crops(spark, sf), skips(spark, sf), fx.images(spark, sf))
+    fate = F.when(F.col("reject").isNotNull(), "too_small").when(F.col("sharp") < 10.0, "blurry").otherwise("written")
+    return numbering.stats_of_fates(fx.images(spark, sf), geo.plan_crops(kept(spark, sf)).select("image_id", fate.alias("fate"), "clamped"))
 
 
 @query("by_tier", f"WITH {_CROPS} SELECT tier, count(*) AS n FROM crops GROUP BY tier")
@@ -314,8 +315,7 @@ _LAP = "list_transform(range(64), lambda i: " + " + ".join(_AT.format(r=f"({_R}
 @query("sharpness_8x8", f"""WITH {fx.RASTERS}, l AS (SELECT vec_id, {_LAP} AS lap FROM rasters), m AS (SELECT *, {_SUM.format('lap')} / 64 AS m FROM l)
 SELECT vec_id, {_SUM.format('list_transform(lap, lambda x: (x - m) * (x - m))')} / 64 AS sharpness FROM m""")
 def _(spark, sf):
-    rows = fx.rasters(spark, sf).withColumn("lap", raster.laplacian(F.col("luma"), 8, 8)).withColumn("m", raster.mean(F.col("lap")))
-    return rows.select("vec_id", raster.mean(F.transform("lap", lambda x: (x - F.col("m")) * (x - F.col("m")))).alias("sharpness"))
+    return fx.rasters(spark, sf).select("vec_id", raster.variance(raster.laplacian(F.col("luma"), 8, 8)).alias("sharpness"))
 
 
 @query("inner_window", f"WITH {fx.RASTERS} SELECT vec_id, len(list_filter(range(64), lambda i: i // 8 >= 1 AND i // 8 < 7 AND i % 8 >= 1 AND i % 8 < 7))::INTEGER AS n, {_SUM.format('list_transform(list_filter(range(64), lambda i: i // 8 >= 1 AND i // 8 < 7 AND i % 8 >= 1 AND i % 8 < 7), lambda i: luma[i + 1])')} AS total FROM rasters")
@@ -336,9 +336,7 @@ def _(spark, sf):
 
 def _light(spark, sf):
     luma = F.col("luma")
-    rows = fx.rasters(spark, sf).withColumn("mean", raster.mean(luma))
-    dev = raster.mean(F.transform(luma, lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
-    return rows.withColumns({"spread": F.sqrt(dev), "left": raster.mean(raster.columns(luma, 8, 0, 2)), "right": raster.mean(raster.columns(luma, 8, 6, 8))})
+    return fx.rasters(spark, sf).withColumns({"mean": raster.mean(luma), "spread": raster.spread(luma), "left": raster.mean(raster.columns(luma, 8, 0, 2)), "right": raster.mean(raster.columns(luma, 8, 6, 8))})
 
 
 _LIGHTING = "CASE WHEN mean < 0.25e0 THEN 'dim low-key lighting' WHEN mean < 0.45e0 THEN 'moody lighting' WHEN mean < 0.68e0 THEN 'even lighting' ELSE 'bright lighting' END || CASE WHEN abs(l - r) > 0.09e0 THEN CASE WHEN l - r > 0 THEN ' from the left' ELSE ' from the right' END WHEN spread > 0.26e0 THEN ' with strong contrast' ELSE '' END"
@@ -369,10 +367,10 @@ def _(spark, sf):
     return fx.rasters(spark, sf).select("vec_id", F.transform(got, lambda x: F.rint(x * 1e9) / 1e9).alias("matte"))
 
 
-@query("softmax_ramp", f"""WITH {fx.RASTERS}, p AS (SELECT vec_id, list_transform(logits[1:18], lambda x: exp(9e0 * x - list_max(list_transform(logits[1:18], lambda z: 9e0 * z)))) AS e FROM rasters),
+@query("softmax_ramp", f"""WITH {fx.RASTERS}, p AS (SELECT vec_id, list_transform(logits, lambda x: exp(9e0 * x - list_max(list_transform(logits, lambda z: 9e0 * z)))) AS e FROM rasters),
 s AS (SELECT *, {_SUM.format('e')} AS t FROM p) SELECT vec_id, list_transform(e, lambda x: round_even(greatest(0e0, least(1e0, (x / t - 0.3e0) / 0.4e0)) * 1e9, 0) / 1e9) AS matte FROM s""")
 def _(spark, sf):
-    rows = fx.rasters(spark, sf).select("vec_id", F.transform(F.slice("logits", 1, 18), lambda x: 9.0 * x).alias("v"))
+    rows = fx.rasters(spark, sf).select("vec_id", F.transform("logits", lambda x: 9.0 * x).alias("v"))
     rows = rows.withColumn("matte", raster.ramp(raster.softmax(F.col("v"))))
     return rows.select("vec_id", F.transform("matte", lambda x: F.rint(x * 1e9) / 1e9).alias("matte"))
 
@@ -532,7 +530,7 @@ def _(spark, sf):
 _SEG = "string_split(ltrim(path, '/'), '/')"
 
 
-@query("path_scan_filter", f"WITH {fx.PATHS} SELECT page_id, path FROM paths WHERE NOT regexp_matches(path, '/\\.') AND regexp_matches(lower(path), '[^/](\\.jpg|\\.jpeg|\\.png|\\.webp|\\.bmp|\\.tif|\\.tiff|\\.gif|\\.jfif|\\.jpe)$') AND NOT regexp_matches(path, '-(mask|cond)label\\.[^./]*$')")
+@query("path_scan_filter", f"WITH {fx.PATHS} SELECT page_id, path FROM paths WHERE NOT regexp_matches(path, '/\\.') AND regexp_matches(lower(path), '[^/](\\.jpg|\\.jpeg|\\.jpe|\\.png|\\.webp|\\.bmp|\\.tif|\\.tiff|\\.gif|\\.ppm)$') AND NOT regexp_matches(path, '-(mask|cond)label\\.[^./]*$')")
 def _(spark, sf):
     path = F.col("path")
     return fx.paths(spark, sf).where(scan.is_visible(path) & scan.is_image(path) & ~scan.is_side_file(path))
@@ -584,10 +582,10 @@ def _(spark, sf):
     return manifest.remaining(_sources(spark, sf), fx.log(spark, sf))
 
 
-@query("partial_resume", f"WITH {fx.LOG}, faces AS (SELECT DISTINCT 'u' || user_id AS source, unnest(range(1 + user_id % 3)) AS face_index FROM events) SELECT source, face_index FROM faces f WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.source = f.source AND l.face_index = f.face_index)")
+@query("partial_resume", f"WITH {fx.LOG}, faces AS (SELECT DISTINCT 'u' || user_id AS source, unnest(range(1 + user_id % 7)) AS face_index FROM events) SELECT source, face_index FROM faces f WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.source = f.source AND l.face_index = f.face_index)")
 def _(spark, sf):
     users = fx.table(spark, sf, "events").select("user_id").distinct()
-    faces = users.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("user_id") % 3)).alias("face_index"))
+    faces = users.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("user_id") % 7)).alias("face_index"))
     return manifest.unsaved(faces, fx.log(spark, sf))
 
 

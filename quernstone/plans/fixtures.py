@@ -100,7 +100,7 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAPTION_OPENERS = ("This image shows ", "A close-up photo of ", "There is ", "the picture depicts ", "Sure, Caption: ", "In this photo, ", "", "")
 _OPENER_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(CAPTION_OPENERS)) + " END"
 CAPTIONS = f"""captions AS (
-  SELECT doc_id, {_OPENER_SQL} || replace(substr(text, 1, 160), '.', ',') || CASE WHEN doc_id % 3 = 0 THEN ', soft light, Soft Light., , soft light' ELSE '' END AS raw
+  SELECT doc_id, {_OPENER_SQL} || replace(text, '.', ',') || CASE WHEN doc_id % 3 = 0 THEN ', soft light, Soft Light., , soft light' ELSE '' END AS raw
   FROM documents)"""
 
 
@@ -108,26 +108,26 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     opener = F.element_at(F.array(*[F.lit(x) for x in CAPTION_OPENERS]), (F.col("doc_id") % 8 + 1).cast("int"))
     tail = F.when(F.col("doc_id") % 3 == 0, ", soft light, Soft Light., , soft light").otherwise("")
-    return d.select("doc_id", F.concat(opener, F.replace(F.substring("text", 1, 160), F.lit("."), F.lit(",")), tail).alias("raw"))
+    return d.select("doc_id", F.concat(opener, F.replace("text", F.lit("."), F.lit(",")), tail).alias("raw"))
 
 
-_SUFFIX_SQL = "CASE page_id % 8 WHEN 0 THEN '/a.jpg' WHEN 1 THEN '/B.PNG' WHEN 2 THEN '/.hidden.png' WHEN 3 THEN '/0001-masklabel.png' WHEN 4 THEN '/notes.txt' WHEN 5 THEN '/.git/x.png' ELSE '/c.webp' END"
+_SUFFIX_SQL = "CASE page_id % 10 WHEN 0 THEN '/a.jpg' WHEN 1 THEN '/B.PNG' WHEN 2 THEN '/.hidden.png' WHEN 3 THEN '/0001-masklabel.png' WHEN 4 THEN '/notes.txt' WHEN 5 THEN '/.git/x.png' WHEN 6 THEN '/d.ppm' WHEN 7 THEN '/e.jfif' ELSE '/c.webp' END"
 PATHS = f"""paths AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') || {_SUFFIX_SQL}, '/+', '/', 'g') AS path FROM pages)"""
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    names = F.element_at(F.array(*[F.lit(x) for x in ("/a.jpg", "/B.PNG", "/.hidden.png", "/0001-masklabel.png", "/notes.txt", "/.git/x.png", "/c.webp", "/c.webp")]), (F.col("page_id") % 8 + 1).cast("int"))
+    names = F.element_at(F.array(*[F.lit(x) for x in ("/a.jpg", "/B.PNG", "/.hidden.png", "/0001-masklabel.png", "/notes.txt", "/.git/x.png", "/d.ppm", "/e.jfif", "/c.webp", "/c.webp")]), (F.col("page_id") % 10 + 1).cast("int"))
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "")
     return p.select("page_id", F.regexp_replace(F.concat(bare, names), "/+", "/").alias("path"))
 
 
 LOG = """log AS (
-  SELECT 'u' || user_id AS source, event_id % 3 AS face_index, 1 + user_id % 3 AS faces_in_image, event_id AS "index" FROM events WHERE event_id % 25 = 0)"""
+  SELECT 'u' || user_id AS source, event_id % 61 AS face_index, 1 + user_id % 7 AS faces_in_image, event_id AS "index" FROM events)"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest as an interrupted run leaves it."""
-    e = table(spark, sf_dir, "events").where("event_id % 25 = 0")
-    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), (F.col("event_id") % 3).alias("face_index"), (1 + F.col("user_id") % 3).alias("faces_in_image"), F.col("event_id").alias("index"))
+    """A manifest as an interrupted run leaves it: some faces are there, some are not, some are none of the image's."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), (F.col("event_id") % 61).alias("face_index"), (1 + F.col("user_id") % 7).alias("faces_in_image"), F.col("event_id").alias("index"))
