@@ -175,7 +175,19 @@ def isolated(matte: np.ndarray, box: tuple[float, float, float, float], least: f
         reached = grown
     if not reached.any():
         return None
-    return np.where(reached, matte, 0.0)
+    # a hair more, so that the soft edge of the matte stays
+    return np.where(dilated(reached, max(1, min(on.shape) // 100)), matte, 0.0)
+
+
+def dilated(on: np.ndarray, radius: int) -> np.ndarray:
+    """Grown by a disc of that radius."""
+    h, w = on.shape
+    wide, out = np.pad(on, radius), np.zeros_like(on)
+    for dy in range(-radius, radius + 1):
+        reach = int(round(np.sqrt(radius * radius - dy * dy)))
+        for dx in range(-reach, reach + 1):
+            out |= wide[radius + dy : radius + dy + h, radius + dx : radius + dx + w]
+    return out
 
 
 def compose(shape: tuple[int, int], person: np.ndarray | None = None, clothing: np.ndarray | None = None, face: np.ndarray | None = None, background: float = 0.1, clothing_weight: float = 0.0) -> np.ndarray:

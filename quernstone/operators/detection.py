@@ -43,30 +43,31 @@ def detector(name: str) -> Callable[..., Detector]:
 
 
 def detect(images: DataFrame, name: str, decode: Callable[[bytes], object], **options: object) -> DataFrame:
-    """(image_id, regions array, error) of images (image_id, content); an image's error drops all its regions."""
+    """(image_id, regions array, offset_y, error) of images (image_id, content); an image's error drops all its regions."""
     import pandas as pd
 
     factory = detector(name)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = factory(**options)
+        offset = float(getattr(own, "offset_y", 0.0))
         for frame in frames:
             rows = []
             for image_id, content in zip(frame["image_id"], frame["content"]):
                 try:
-                    rows.append((image_id, own.detect(decode(content)), ""))
+                    rows.append((image_id, own.detect(decode(content)), offset, ""))
                 except Exception as error:  # contained: one bad photo must not stop a run
-                    rows.append((image_id, [], f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["image_id", "regions", "error"])
+                    rows.append((image_id, [], offset, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["image_id", "regions", "offset_y", "error"])
 
     kind = images.schema["image_id"].dataType.simpleString()
-    return images.select("image_id", "content").mapInPandas(run, f"image_id {kind}, regions array<{REGION}>, error string")
+    return images.select("image_id", "content").mapInPandas(run, f"image_id {kind}, regions array<{REGION}>, offset_y double, error string")
 
 
 def regions_of(detected: DataFrame) -> DataFrame:
     """One row for each region, in the detector's order; images with an error have none."""
-    rows = detected.where("error = ''").select("image_id", F.posexplode("regions").alias("det", "r"))
-    return rows.select("image_id", "det", "r.*")
+    rows = detected.where("error = ''").select("image_id", "offset_y", F.posexplode("regions").alias("det", "r"))
+    return rows.select("image_id", "det", "offset_y", "r.*")
 
 
 def by_score(regions: DataFrame, least: float) -> DataFrame:

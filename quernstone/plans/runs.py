@@ -10,21 +10,27 @@ anew. An error inside an image drops all its crops and becomes one skip.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone import __version__
-from quernstone.config import Settings
+from quernstone.config import TEMPLATE, Settings
 from quernstone.functions import captions as cap
 from quernstone.functions import geometry as geo
 from quernstone.functions import pixels, raster
-from quernstone.operators import detection, manifest, numbering
+from quernstone.operators import detection, manifest, masks, numbering
 from quernstone.sources import manifest as files
 from quernstone.sources import scan
 
+MARKS = "map<string,struct<x:double,y:double>>"
+
 _captioners: dict[str, Callable[..., object]] = {}
 
 
@@ -33,49 +39,94 @@ def register_captioner(name: str, factory: Callable[..., object]) -> None:
     _captioners[name] = factory
 
 
+#: What writes a crop: encode(image, quality) by file extension. Others than PNG are plug-ins.
+_encoders: dict[str, Callable[[object, int], bytes]] = {"png": lambda image, quality: pixels.encode_png(image)}
+
+
+def register_encoder(extension: str, encode: Callable[[object, int], bytes]) -> None:
+    _encoders[extension] = encode
+
+
+def _whole(s: Settings) -> bool:
+    return s.keep_size or s.no_crop or s.skip_detection
+
+
 def _plans(regions: DataFrame, s: Settings) -> DataFrame:
-    if s.keep_size or s.no_crop or s.skip_detection:
-        plan = geo.plan_whole(F.col("iw"), F.col("ih"), s.sizes, s.min_ratio) if s.no_crop else geo.plan_native(F.col("iw"), F.col("ih"), s.min_side, s.max_side)
-        out = regions.where("rank = 0").withColumns(plan)
-        return out.withColumns({"padded_side": F.col("base_side"), "fitted_side": F.col("base_side"), "crop_x": F.lit(0.0), "crop_y": F.lit(0.0), "clamped": F.lit(False), "extends": F.lit(False), "crop_w": F.col("iw"), "crop_h": F.col("ih")})
-    offset = s.offset_y if s.offset_y is not None else 0.0
-    out = geo.plan_crops(regions, padding=s.padding, sizes=s.sizes, min_ratio=s.min_ratio, mode=s.base_mode, offset_x=s.offset_x, offset_y=offset, edge=s.edge)
-    return out.withColumns({"crop_w": F.col("fitted_side"), "crop_h": F.col("fitted_side")})
+    """Plans of the chosen regions, with all their boxes beside whole images."""
+    if _whole(s):
+        iw, ih = F.col("iw"), F.col("ih")
+        if s.keep_size:
+            plan = geo.plan_native(iw, ih, s.min_side, s.max_side)
+        elif s.no_crop:
+            plan = geo.plan_whole(iw, ih, s.sizes, s.min_ratio)
+        else:
+            plan = {"tier": F.greatest(iw, ih).cast("int"), "base_side": F.greatest(iw, ih), "reject": F.lit(None).cast("string")}
+        out = detection.one_per_photo(regions).withColumns(plan)
+        return out.withColumns({"padded_side": F.col("base_side"), "fitted_side": F.col("base_side"), "crop_x": F.lit(0.0), "crop_y": F.lit(0.0), "clamped": F.lit(False), "extends": F.lit(False), "crop_w": iw, "crop_h": ih})
+    out = geo.plan_crops(regions, padding=s.padding, sizes=s.sizes, min_ratio=s.min_ratio, mode=s.base_mode, offset_x=s.offset_x, offset_y=F.col("offset_y"), edge=s.edge)
+    boxes = F.array(F.struct("rank", "x", "y", "w", "h"))
+    return out.withColumns({"crop_w": F.col("fitted_side"), "crop_h": F.col("fitted_side"), "boxes": boxes})
+
+
+CUT = "image_id string, rank int, sharpness double, body binary, mask binary, masked_faces int, background_mask string, masked_clothing double, fate string, error string"
+#: What a subject needs of pixels on either side to be measured alone.
+SUBJECT = 16
 
 
 def _cut(images: DataFrame, s: Settings, decode: Callable[[bytes], object]) -> DataFrame:
-    """image_id, rank, sharpness, body, error: the crops of each image (image_id, content, plans)."""
-    whole = s.keep_size or s.no_crop or s.skip_detection
-    fraction = 1.0 if whole else raster.inner_fraction(s.padding)
+    """CUT columns: the crops of each image (image_id, content, plans), measured, masked and encoded.
+
+    fate is "written", "blurry" or "no_face"; only the first has a body.
+    """
+    fraction = raster.inner_fraction(s.padding)
+    encode = _encoders[s.extension]
+    models = masks.needed(s.mask_faces, s.face_mask == "outline", s.mask_background, s.mask_clothing)
+    finder = detection.detector(masks.FACES) if s.mask_faces else None
+
+    def crop(image: object, p: dict, faces: object, own: dict) -> tuple:
+        left, top = round(p["crop_x"]), round(p["crop_y"])
+        right, bottom = max(left + 1, round(p["crop_x"] + p["crop_w"])), max(top + 1, round(p["crop_y"] + p["crop_h"]))
+        out = pixels.window(image, left, top, right, bottom, s.fill, s.fill_color)
+        longest = max(out.shape[:2])
+        out = pixels.resize(out, *[max(1, round(n * p["tier"] / longest)) for n in out.shape[1::-1]])
+        sx, sy = out.shape[1] / (right - left), out.shape[0] / (bottom - top)
+        boxes = [((b["x"] - left) * sx, (b["y"] - top) * sy, b["w"] * sx, b["h"] * sy) for b in p["boxes"]]
+        if _whole(s):
+            x, y, w, h = boxes[0]
+            x0, y0, x1, y1 = max(0, int(x)), max(0, int(y)), min(out.shape[1], int(x + w)), min(out.shape[0], int(y + h))
+            subject = out[y0:y1, x0:x1] if min(x1 - x0, y1 - y0) >= SUBJECT else out
+            sharpness = round(pixels.sharpness(subject), 1)
+        else:
+            sharpness = round(pixels.sharpness(out, fraction), 1)
+        if not s.skip_detection and sharpness < s.min_sharpness:
+            return sharpness, None, None, 0, None, 0.0, "blurry"
+        if not s.masks:
+            return sharpness, encode(out, s.quality), None, 0, None, 0.0, "written"
+        found = [(f["x"], f["y"], f["w"], f["h"]) for f in faces.detect(out) if f["score"] >= s.mask_min_score] if faces else None
+        if found == [] and s.mask_missing == "skip":
+            return sharpness, None, None, 0, None, 0.0, "no_face"
+        mask = masks.crop_mask(out, boxes, own, found, s.mask_margin, s.background_weight, s.clothing_weight)
+        return sharpness, encode(out, s.quality), pixels.encode_png(mask.weights), mask.faces, mask.background, mask.clothing, "written"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        faces, own = finder() if finder else None, {k: factory() for k, factory in models.items()}
         for frame in frames:
             rows = []
             for image_id, content, plans in zip(frame["image_id"], frame["content"], frame["plans"]):
                 try:
-                    image, own = decode(bytes(content)), []
-                    for p in plans:
-                        left, top = round(p["crop_x"]), round(p["crop_y"])
-                        right, bottom = max(left + 1, round(p["crop_x"] + p["crop_w"])), max(top + 1, round(p["crop_y"] + p["crop_h"]))
-                        crop = pixels.window(image, left, top, right, bottom, s.fill, s.fill_color)
-                        longest = max(crop.shape[:2])
-                        size = [max(1, round(n * p["tier"] / longest)) for n in crop.shape[1::-1]]
-                        crop = pixels.resize(crop, *size)
-                        own.append((image_id, p["rank"], pixels.sharpness(crop, fraction), pixels.encode_png(crop), ""))
-                    rows += own
+                    image = decode(bytes(content))
+                    rows += [(image_id, p["rank"], *crop(image, p, faces, own), "") for p in plans]
                 except Exception as error:  # contained: the image is skipped as a whole
-                    rows.append((image_id, None, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["image_id", "rank", "sharpness", "body", "error"])
+                    rows.append((image_id, *[None] * 8, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=[part.strip().split(" ")[0] for part in CUT.split(",")])
 
-    return images.mapInPandas(run, "image_id string, rank int, sharpness double, body binary, error string")
+    return images.mapInPandas(run, CUT)
 
 
 def _write(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Writes the files (path, body) below a folder that all executors reach."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         system, base = fs.FileSystem.from_uri(folder)
         for frame in frames:
             for path, body in zip(frame["path"], frame["body"]):
@@ -92,8 +143,6 @@ def _remove(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     """Deletes the files (path) below a folder; what is not there is no error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         system, base = fs.FileSystem.from_uri(folder)
         for frame in frames:
             n = 0
@@ -136,7 +185,24 @@ def training_run(spark: SparkSession, settings: Settings, output: str) -> dict |
 
 
 #: Settings that are checked and documented, but that no stage of a crop run carries out.
-NOT_INCLUDED = ("mask_faces", "mask_background", "mask_clothing", "follow_symlinks", "upscale")
+NOT_INCLUDED = ("follow_symlinks", "upscale")
+
+
+def _below(root: str, folder: str) -> list[str]:
+    """The folder's path under root, if it lies there."""
+    bare = [re.sub(r"^[a-z]+:/*", "/", x.rstrip("/")) for x in (root, folder)]
+    return [bare[1][len(bare[0]) + 1 :]] if bare[1].startswith(bare[0] + "/") else []
+
+
+def _free(spark: SparkSession, targets: DataFrame, folder: str) -> None:
+    """Raises if a file (path) of a new run is there already."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return
+    there = scan.listed(spark, folder).select("path")
+    taken = [r["path"] for r in targets.join(there, "path", "left_semi").limit(5).collect()]
+    if taken:
+        raise FileExistsError(f"already in {folder}: {', '.join(sorted(taken))}; overwrite, resume, or take an empty folder")
 
 
 def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, staging: str, decode: Callable[[bytes], object] = pixels.decode) -> dict:
@@ -145,7 +211,11 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     missing = [name for name in NOT_INCLUDED if getattr(s, name)]
     if missing:
         raise NotImplementedError(f"crop_run has no stage for {', '.join(missing)}")
-    photos = scan.scan(spark, root, exclude=s.exclude, skip=[], limit=s.limit)
+    if s.extension not in _encoders:
+        raise NotImplementedError(f"crop_run has no encoder for {s.extension}; register_encoder adds one")
+    mask_root = (s.mask_dir.expanduser().resolve().as_uri() if isinstance(s.mask_dir, Path) else s.mask_dir) if s.masks and s.mask_dir else None
+    skip = [*_below(root, output), *(_below(root, mask_root) if mask_root else [])]
+    photos = scan.scan(spark, root, exclude=s.exclude, skip=skip, limit=s.limit)
     manifest_path = f"{output}/manifest.jsonl"
     system = spark._jvm.org.apache.hadoop.fs.Path(manifest_path).getFileSystem(spark._jsc.hadoopConfiguration())
     exists = system.exists(spark._jvm.org.apache.hadoop.fs.Path(manifest_path))
@@ -173,27 +243,29 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     sizes = images.mapInPandas(measure, "image_id string, iw double, ih double, error string")
     if s.skip_detection:
         found = sizes.where("error = ''")
-        regions = detection.whole_image(found).join(found.select("image_id", "iw", "ih"), "image_id")
+        regions = detection.whole_image(found).join(found.select("image_id", "iw", "ih"), "image_id").withColumns({"landmarks": F.lit(None).cast(MARKS), "offset_y": F.lit(s.offset_y or 0.0)})
         failed = sizes.where("error <> ''").select("image_id", "error")
     else:
         detected = detection.detect(images, s.detector, decode, **s.detector_opts)
         regions = detection.by_score(detection.regions_of(detected), s.min_score).join(sizes.where("error = ''").select("image_id", "iw", "ih"), "image_id")
+        # a set offset counts, even 0; else the detector says how its boxes need recentring
+        regions = regions.withColumn("offset_y", detection.offset_y(s.offset_y, F.col("offset_y")))
         failed = detected.where("error <> ''").select("image_id", "error")
     chosen = detection.pick(regions, s.multi, s.max_per_image)
     plans = _plans(chosen, s)
-    # pass one: everything an image needs in one row, cut and measured, then written
-    grouped = plans.where("reject is null").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "crop_x", "crop_y", "crop_w", "crop_h", "tier"))).alias("plans"))
+    # pass one: everything an image needs in one row, cut, measured and masked, then written
+    grouped = plans.where("reject is null").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "crop_x", "crop_y", "crop_w", "crop_h", "tier", "boxes"))).alias("plans"))
     cut = _cut(images.join(grouped, "image_id"), s, decode)
     cut.write.mode("overwrite").parquet(f"{staging}/cut")
-    plans.select("image_id", "rank", "label", "score", "tier", "base_side", "fitted_side", "crop_x", "crop_y", "crop_w", "crop_h", "clamped", "extends", "reject").write.mode("overwrite").parquet(f"{staging}/plans")
+    plans.select("image_id", "rank", "label", "score", "landmarks", "offset_y", "tier", "base_side", "fitted_side", "crop_x", "crop_y", "crop_w", "crop_h", "clamped", "extends", "reject").write.mode("overwrite").parquet(f"{staging}/plans")
     cut, plans = spark.read.parquet(f"{staging}/cut"), spark.read.parquet(f"{staging}/plans")
     errors = failed.select("image_id", F.lit("error").alias("reason"), F.col("error").alias("detail")).unionByName(cut.where("error <> ''").select("image_id", F.lit("error").alias("reason"), F.col("error").alias("detail")))
-    sharp_enough = F.lit(True) if s.skip_detection or not s.min_sharpness else F.col("sharpness") >= s.min_sharpness
-    measured = plans.join(cut.where("error = ''").select("image_id", "rank", "sharpness"), ["image_id", "rank"])
-    kept = numbering.face_positions(measured.where(sharp_enough))
+    measured = plans.join(cut.where("error = ''").drop("body", "mask", "error").withColumn("masked", F.lit(s.masks)), ["image_id", "rank"])
+    kept = numbering.face_positions(measured.where("fate = 'written'"))
+    detail = F.when(F.col("fate") == "no_face", "no face found to mask").otherwise(F.format_string("sharpness %.1f below %.1f", F.col("sharpness"), F.lit(float(s.min_sharpness))))
     skips = (
         errors.unionByName(plans.where("reject is not null").select("image_id", F.lit("too_small").alias("reason"), F.col("reject").alias("detail")))
-        .unionByName(measured.where(~sharp_enough).select("image_id", F.lit("blurry").alias("reason"), F.col("sharpness").cast("string").alias("detail")))
+        .unionByName(measured.where("fate <> 'written'").select("image_id", F.col("fate").alias("reason"), detail.alias("detail")))
     )
     if not s.skip_detection:
         skips = skips.unionByName(detection.undetected(detected.where("error = ''").select("image_id"), regions).withColumn("detail", F.lit("")))
@@ -203,14 +275,17 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
         kept = kept.withColumn("source", F.col("image_id")).join(old.select("source", F.col("face_index")), ["source", "face_index"], "left_anti").drop("source")
     start = manifest.next_index(old, s.start_index).first()[0] if old is not None else s.start_index
     # pass two: numbers and names
-    numbered = numbering.number(kept, ["image_id", "face_index"], start=start)
+    numbered = numbering.number(kept.withColumn("walk", scan.walk_key(F.col("image_id"))), ["walk", "face_index"], start=start).drop("walk")
     names = numbering.names(F.col("index"), F.col("tier"), s.prefix, s.digits, s.extension, s.per_size_dirs)
     tenth = numbering.tenth
     rows = numbered.select(
         F.col("index").cast("long").alias("index"), F.col("image_id").alias("source"), names["image_file"].alias("image_file"),
         F.when(F.lit(s.captioner != "none"), names["caption_file"]).alias("caption_file"), "tier", "label", "score", tenth(F.col("base_side")).alias("base_side"), tenth(F.col("fitted_side")).alias("fitted_side"),
-        (F.rint(F.col("tier") / F.col("fitted_side") * 10000.0) / 10000.0).alias("scale"), tenth(F.col("sharpness")).alias("sharpness"), F.lit(s.padding).alias("padding"), F.lit(s.offset_y or 0.0).alias("offset_y"),
-        F.array(*[tenth(F.col(c)) for c in ("crop_x", "crop_y", "crop_w", "crop_h")]).alias("crop"), "clamped", F.col("extends").alias("extended"), F.col("face_index").cast("int").alias("face_index"), "faces_in_image", "rank",
+        (F.rint(F.col("tier") / F.col("fitted_side") * 10000.0) / 10000.0).alias("scale"), tenth(F.col("sharpness")).alias("sharpness"), F.lit(s.padding).alias("padding"), "offset_y",
+        F.array(*[tenth(F.col(c)) for c in ("crop_x", "crop_y", "crop_w", "crop_h")]).alias("crop"), "clamped", F.col("extends").alias("extended"), F.col("face_index").cast("int").alias("face_index"), "faces_in_image",
+        F.transform_values(F.coalesce("landmarks", F.expr(f"cast(map() as {MARKS})")), lambda _, m: F.array(tenth(m["x"]), tenth(m["y"]))).alias("landmarks"),
+        F.when(F.col("masked"), F.regexp_replace(names["image_file"], r"\.[^./]*$", ".png") if mask_root else names["mask_file"]).alias("mask_file"),
+        F.when(F.col("masked"), F.lit(str(s.mask_dir) if mask_root else None)).alias("mask_dir"), "masked_faces", "background_mask", "masked_clothing", "rank",
     )
     rows.write.mode("overwrite").parquet(f"{staging}/rows")
     rows = spark.read.parquet(f"{staging}/rows")
@@ -219,8 +294,15 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
         return stats
     if s.overwrite and exists:
         overwrite(spark, output)
-    bodies = rows.join(cut.select(F.col("image_id").alias("source"), "rank", "body"), ["source", "rank"]).select(F.col("image_file").alias("path"), "body")
-    bodies.mapInPandas(_write(output), "written long").agg(F.sum("written")).collect()
+    made = rows.join(cut.select(F.col("image_id").alias("source"), "rank", "body", "mask"), ["source", "rank"])
+    outputs = [(output, made.select(F.col("image_file").alias("path"), "body"))]
+    if s.masks:
+        outputs.append((mask_root or output, made.select(F.col("mask_file").alias("path"), F.col("mask").alias("body"))))
+    if not s.overwrite and old is None:
+        for folder, files_ in outputs:
+            _free(spark, files_.select("path"), folder)
+    for folder, files_ in outputs:
+        files_.mapInPandas(_write(folder), "written long").agg(F.sum("written")).collect()
     new = rows.drop("rank")
     full = spark.createDataFrame([], files.DDL).unionByName(new, allowMissingColumns=True)
     if old is not None:
@@ -229,18 +311,95 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     if stats["written"] or old is not None:
         files.replace(spark, spark.read.parquet(f"{staging}/manifest"), manifest_path)
     skipped = skips.select(F.col("image_id").alias("source"), "reason", "detail")
-    text = files.summary(__version__, s.as_dict(), spark.createDataFrame([(json.dumps(stats),)], "stats string"), skipped)
-    spark.createDataFrame([("manifest.json", bytearray(text.encode()))], "path string, body binary").mapInPandas(_write(output), "written long").collect()
+    target, base = fs.FileSystem.from_uri(output)
+    target.create_dir(base, recursive=True)
+    with target.open_output_stream(f"{base}/manifest.json") as out:
+        for piece in files.summary(__version__, s.as_dict(), stats, skipped):
+            out.write(piece.encode())
     return stats
 
 
-def caption_run(spark: SparkSession, settings: Settings, output: str, staging: str) -> int:
-    """Captions every crop whose text file is missing or blank, and rewrites the manifest; returns how many."""
+def _described(requests: DataFrame, s: Settings, decode: Callable[[bytes], object]) -> DataFrame:
+    """image_file, said: what a captioner says of each crop (its manifest fields and content).
+
+    A captioner gets each request with the decoded crop as "image"; a crop that cannot be read,
+    and one that its captioner fails on alone, costs one caption.
+    """
+    if s.captioner == "template" and s.captioner not in _captioners:
+        return _from_template(requests, s, decode)
+    factory = _captioners[s.captioner]
+
+    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = factory(s)
+        for frame in frames:
+            asked = frame.drop(columns="content").to_dict("records")
+            for request, body in zip(asked, frame["content"]):
+                try:
+                    request["image"] = decode(bytes(body))
+                except Exception:
+                    request["image"] = None
+            said = {}
+            live = [r for r in asked if r["image"] is not None]
+            for lo in range(0, len(live), max(1, s.caption_batch)):
+                some = live[lo : lo + max(1, s.caption_batch)]
+                try:
+                    texts = list(own.describe(some))
+                    if len(texts) != len(some):
+                        raise ValueError("as many texts as crops are needed")
+                except Exception:  # one by one, so that one bad crop costs one caption
+                    texts = []
+                    for request in some:
+                        try:
+                            texts += list(own.describe([request]))[:1] or [""]
+                        except Exception:
+                            texts.append("")
+                said |= {r["image_file"]: t for r, t in zip(some, texts)}
+            yield pd.DataFrame({"image_file": frame["image_file"], "said": [said.get(f, "") for f in frame["image_file"]]})
+
+    return requests.mapInPandas(describe, "image_file string, said string")
+
+
+def _from_template(requests: DataFrame, s: Settings, decode: Callable[[bytes], object]) -> DataFrame:
+    """Captions from measures of the pixels, the landmarks and the manifest, as column expressions."""
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, body in zip(frame["image_file"], frame["content"]):
+                try:
+                    image = decode(bytes(body))
+                except Exception:
+                    continue
+                grey = np.rint(pixels.luma(image)) / 255.0
+                third = max(1, grey.shape[1] // 3)
+                rows.append((name, grey.mean(), grey.std(), grey[:, :third].mean(), grey[:, -third:].mean(), (image.max(axis=2).astype(float) - image.min(axis=2)).mean() / 255.0))
+            yield pd.DataFrame(rows, columns=["image_file", "mean", "spread", "left", "right", "saturation"])
+
+    measured = requests.select("image_file", "content").mapInPandas(measure, "image_file string, mean double, spread double, left double, right double, saturation double")
+    rows = requests.drop("content").join(measured, "image_file")
+    x = lambda mark: F.col("landmarks")[mark][0]
+    tokens = {
+        "shot": cap.shot_type(F.col("label"), s.padding), "pose": cap.head_pose(F.col("label"), x("left_eye"), x("right_eye"), x("nose")),
+        "light": cap.lighting(F.col("mean"), F.col("spread"), F.col("left"), F.col("right")), "tone": cap.tone(F.col("saturation")),
+        "label": F.col("label"), "tier": F.col("tier").cast("string"), "index": F.col("index").cast("string"), "source": F.col("source"),
+    }
+    return rows.select("image_file", cap.fill(s.caption_template or TEMPLATE, tokens).alias("said"))
+
+
+def caption_run(spark: SparkSession, settings: Settings, output: str, staging: str, decode: Callable[[bytes], object] = pixels.decode) -> int:
+    """Captions every crop whose text file is missing or blank, and rewrites the manifest; returns how many.
+
+    "template" needs no model, "none" writes nothing; others are plug-ins of `register_captioner`.
+    """
     s = settings
+    if s.captioner == "none":
+        return 0
+    if s.captioner not in _captioners and s.captioner != "template":
+        raise ValueError(f"no captioner {s.captioner!r}; there are {', '.join(sorted({'none', 'template', *_captioners}))}")
     rows = files.read(spark, f"{output}/manifest.jsonl").drop("line")
     if s.caption_images:
         wanted = spark.createDataFrame([(x,) for x in s.caption_images], "image_file string")
-        missing = [r[0] for r in manifest.unknown(rows, wanted).collect()]
+        missing = [r[0] for r in manifest.unknown(rows, wanted).limit(5).collect()]
         if missing:
             raise ValueError(f"not in the manifest: {', '.join(missing)}")
         chosen = manifest.selected(rows, wanted)
@@ -252,26 +411,9 @@ def caption_run(spark: SparkSession, settings: Settings, output: str, staging: s
     chosen = chosen.drop("caption").withColumn("caption_file", manifest.caption_file(F.col("image_file")))
     state = manifest.pending(chosen, texts, "caption_file")
     todo = state.where("pending")
-    factory = _captioners[s.captioner]
-
-    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = factory(s)
-        for frame in frames:
-            requests = frame.to_dict("records")
-            try:
-                said = list(own.describe(requests))
-                if len(said) != len(requests):
-                    raise ValueError("as many texts as crops are needed")
-            except Exception:  # one by one, so that one bad crop costs one caption
-                said = []
-                for request in requests:
-                    try:
-                        said += list(own.describe([request]))[:1] or [""]
-                    except Exception:
-                        said.append("")
-            yield pd.DataFrame({"image_file": frame["image_file"], "said": said})
-
-    raw = todo.select("image_file", "label", "tier", "faces_in_image", "padding").mapInPandas(describe, "image_file string, said string")
+    content = scan.listed(spark, output, content=True).select(F.col("path").alias("image_file"), "content")
+    requests = todo.select("image_file", "index", "source", "label", "tier", "faces_in_image", "padding", "landmarks").join(content, "image_file")
+    raw = _described(requests, s, decode)
     text = cap.assemble(F.col("said"), s.trigger, s.caption_prefix, s.caption_suffix, s.caption_drop, s.caption_max_chars)
     raw = raw.select("image_file", F.when(F.trim("said") == "", "").otherwise(text).alias("new_caption"))  # nothing said: no caption
     raw.write.mode("overwrite").parquet(f"{staging}/captions")
@@ -293,7 +435,7 @@ def rebuild_run(spark: SparkSession, output: str, staging: str, decode: Callable
     if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{output}/manifest.jsonl")):
         raise FileExistsError("there is a manifest already")
     images = scan.scan(spark, output, marker=None).select("file", F.col("path").alias("image_file"))
-    shared = [r["caption_file"] for r in manifest.shared_captions(images).collect()]
+    shared = [r["caption_file"] for r in manifest.shared_captions(images).limit(5).collect()]
     if shared:
         raise ValueError(f"several images share {', '.join(sorted(shared))}")
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(output).select(F.col("path").alias("file"), "content")
@@ -309,7 +451,7 @@ def rebuild_run(spark: SparkSession, output: str, staging: str, decode: Callable
     texts = files.captions(spark, output).select(F.regexp_replace(F.regexp_replace("file", r"\.txt$", ""), r"^[a-z]+:/*", "/").alias("stem"), F.col("caption").alias("text"))
     bare = F.regexp_replace(F.regexp_replace("file", r"\.[^./]*$", ""), r"^[a-z]+:/*", "/")
     rows = sized.withColumn("stem", bare).join(masks.withColumn("stem", F.regexp_replace("stem", r"^[a-z]+:/*", "/")), "stem", "left").join(texts, "stem", "left")
-    wrong = [r["image_file"] for r in rows.where("mh is not null and (mh <> h or mw <> w)").select("image_file").collect()]
+    wrong = [r["image_file"] for r in rows.where("mh is not null and (mh <> h or mw <> w)").select("image_file").limit(5).collect()]
     if wrong:
         raise ValueError(f"masks of another size: {', '.join(sorted(wrong))}")
     rows = numbering.number(rows.withColumn("key", scan.walk_key(F.col("image_file"))), ["key"])

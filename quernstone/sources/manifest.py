@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,10 +81,12 @@ def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
     system.delete(staged, True)
     to_json(rows).orderBy("index").select("value").coalesce(1).write.text(staged.toString())
     part = next(f.getPath() for f in system.listStatus(staged) if f.getPath().getName().startswith("part-"))
-    system.delete(target, False)
-    system.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
-    if not system.rename(part, target):
-        raise OSError(f"could not put the new manifest at {path}")
+    # one step, so that the old manifest is there until the new one is
+    nested = jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(nested, "Options$Rename"), 1)
+    how[0] = getattr(nested, "Options$Rename").OVERWRITE
+    files = nested.FileContext.getFileContext(system.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    files.rename(system.makeQualified(part), system.makeQualified(target), how)
     system.delete(staged, True)
 
 
@@ -93,7 +96,10 @@ def captions(spark: SparkSession, root: str) -> DataFrame:
     return texts.select(F.input_file_name().alias("file"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("caption"))
 
 
-def summary(version: str, config: dict, stats: DataFrame, skipped: DataFrame) -> str:
-    """The summary file of a run: one row of statistics and the list of what was skipped."""
-    row = stats.first()
-    return json.dumps({"version": version, "config": config, "stats": row.asDict(recursive=True) if row else {}, "skipped": [json.loads(x) for x in skipped.toJSON().toLocalIterator()]}, indent=2)
+def summary(version: str, config: dict, stats: dict, skipped: DataFrame) -> Iterator[str]:
+    """The summary file of a run in pieces: its statistics, then what was skipped, a row at a time."""
+    head = json.dumps({"version": version, "config": config, "stats": stats}, indent=2)
+    yield head[:-2] + ',\n  "skipped": ['
+    for k, line in enumerate(skipped.toJSON().toLocalIterator()):
+        yield ("," if k else "") + "\n    " + line
+    yield "\n  ]\n}\n"

@@ -90,15 +90,20 @@ def walk_key(path: Column) -> Column:
     return F.transform(own, lambda p, i: F.struct(F.when(i + 1 == last, 0).otherwise(1).alias("folder"), p.alias("name")))
 
 
+def listed(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """file, path (relative to root), length of all files under root, and content if asked for."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", *(["content"] if content else []))
+    base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
+    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
+    return files.select(F.col("path").alias("file"), relative.alias("path"), "length", *(["content"] if content else []))
+
+
 def scan(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, exclude: Sequence[str] = (), skip: Sequence[str] = (), marker: str | None = "manifest.jsonl", limit: int = 0) -> DataFrame:
     """path (relative), file, length of the images under root, in walk order if limited.
 
     Only metadata is read: `content` stays out of the plan until a later join or read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
-    rows = files.select(F.col("path").alias("file"), relative.alias("path"), "length")
+    rows = listed(spark, root)
     if marker:
         rows = without_marked(rows, marker)
     path = F.col("path")

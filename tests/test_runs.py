@@ -7,7 +7,7 @@ import stubs
 
 from quernstone.config import Settings
 from quernstone.functions import pixels
-from quernstone.operators import detection
+from quernstone.operators import detection, masks
 from quernstone.plans import runs
 
 detection.register_detector("stub", stubs.OneFace)
@@ -90,15 +90,15 @@ def test_crop_run_and_captions(spark, photos):
     assert (stats["scanned"], stats["written"], stats["too_small"], stats["no_detection"], stats["error"]) == (6, 2, 1, 1, 2)
     assert stats["by_tier"] == {256: 1, 512: 1} or stats["by_tier"] == {512: 1, 256: 1}
     lines = [json.loads(x) for x in (photos / "out/manifest.jsonl").read_text().splitlines()]
-    assert [(x["index"], x["source"], x["image_file"]) for x in lines] == [(1, "a/x.png", "0001.png"), (2, "b.png", "0002.png")]
-    assert pixels.decode((photos / "out/0002.png").read_bytes()).shape == (512, 512, 3)
+    assert [(x["index"], x["source"], x["image_file"]) for x in lines] == [(1, "b.png", "0001.png"), (2, "a/x.png", "0002.png")]
+    assert pixels.decode((photos / "out/0001.png").read_bytes()).shape == (512, 512, 3)
     assert {x["reason"] for x in json.loads((photos / "out/manifest.json").read_text())["skipped"]} == {"too_small", "no_detection", "error"}
     with pytest.raises(FileExistsError):
         runs.crop_run(spark, settings(), root, output, staging)
     (photos / "in/c.png").write_bytes((photos / "in/b.png").read_bytes())
     assert runs.crop_run(spark, settings(resume=True), root, output, staging)["written"] == 1
     lines = [json.loads(x) for x in (photos / "out/manifest.jsonl").read_text().splitlines()]
-    assert [(x["index"], x["source"]) for x in lines] == [(1, "a/x.png"), (2, "b.png"), (3, "c.png")]
+    assert [(x["index"], x["source"]) for x in lines] == [(1, "b.png"), (2, "a/x.png"), (3, "c.png")]
 
     assert runs.training_run(spark, settings(), output) == {"resolution": "256", "epochs": 300, "batch_size": 2, "masked_training": False}
 
@@ -133,13 +133,115 @@ def test_overwrite_removes_only_its_own_files(spark, photos):
     assert (photos / "in/b.png").exists()
 
 
+def lines_of(folder):
+    return [json.loads(x) for x in (folder / "manifest.jsonl").read_text().splitlines()]
+
+
+@pytest.fixture
+def models(spark):
+    spark.sparkContext.addPyFile(stubs.__file__)
+    masks.register_model("person", stubs.Person)
+    masks.register_model("clothing", stubs.Clothing)
+    masks.register_model("outline", stubs.Outline)
+    detection.register_detector("yunet", stubs.FewFaces)
+    detection.register_detector("body", stubs.Body)
+
+
+def body(**more):
+    return Settings(detector="body", min_sharpness=0.0, captioner="none", sizes=(256,), **more)
+
+
+def test_background_and_clothing_masks(spark, photos, models):
+    root, output, staging = paths(photos)
+    runs.crop_run(spark, body(mask_background=True, mask_clothing=True, background_weight=0.2, clothing_weight=0.5), root, output, staging)
+    rows = lines_of(photos / "out")
+    assert [(r["source"], r["mask_file"], r["mask_dir"], r["background_mask"]) for r in rows] == [("b.png", "0001-masklabel.png", None, "outline"), ("a/x.png", "0002-masklabel.png", None, "outline")]
+    assert all(r["masked_clothing"] == 0.25 and r["masked_faces"] == 0 for r in rows)
+    mask = pixels.decode((photos / "out/0001-masklabel.png").read_bytes())[:, :, 0]
+    # the person is the middle half, clothes its lower half; a second blob away from the box is background
+    assert mask.shape == (256, 256) and mask[100, 128] == 255 and mask[160, 128] == 128 and mask[4, 4] == 51 and mask[128, 4] == 51
+
+
+def test_masks_in_a_folder_of_their_own_and_boxes_without_a_matte(spark, photos, models):
+    masks.register_model("person", stubs.Nobody)
+    root, output, staging = paths(photos)
+    runs.crop_run(spark, body(mask_background=True, mask_dir=photos / "masks"), root, output, staging)
+    rows = lines_of(photos / "out")
+    assert [(r["mask_file"], r["mask_dir"], r["background_mask"]) for r in rows] == [(f"000{k}.png", str(photos / "masks"), "box") for k in (1, 2)]
+    mask = pixels.decode((photos / "masks/0001.png").read_bytes())[:, :, 0]
+    assert mask[128, 128] == 255 and mask[2, 2] == 26 and not list((photos / "out").glob("*masklabel*"))
+
+
+@pytest.mark.parametrize("face_mask", ["oval", "outline"])
+def test_face_masks_and_crops_without_a_face(spark, photos, models, face_mask):
+    root, output, staging = paths(photos)
+    stats = runs.crop_run(spark, body(mask_faces=True, face_mask=face_mask), root, output, staging)
+    assert (stats["written"], stats["no_face"]) == (1, 1)
+    (row,) = lines_of(photos / "out")
+    assert row["masked_faces"] == 1 and row["source"] == "b.png"
+    mask = pixels.decode((photos / "out/0001-masklabel.png").read_bytes())[:, :, 0]
+    assert mask[128, 128] == 0 and mask[2, 250] == 255
+    stats = runs.crop_run(spark, body(mask_faces=True, face_mask=face_mask, mask_missing="keep", overwrite=True), root, output, staging)
+    assert (stats["written"], stats["no_face"]) == (2, 0)
+    white = pixels.decode((photos / "out/0002-masklabel.png").read_bytes())
+    assert (white == 255).all() and [r["masked_faces"] for r in lines_of(photos / "out")] == [1, 0]
+
+
+def test_masks_need_their_models(spark, photos, monkeypatch):
+    monkeypatch.setattr(masks, "_models", {})
+    with pytest.raises(ValueError, match="person"):
+        runs.crop_run(spark, settings(mask_background=True), *paths(photos))
+
+
+def test_landmarks_and_the_detectors_offset(spark, photos, models):
+    root, output, staging = paths(photos)
+    runs.crop_run(spark, body(), root, output, staging)
+    row = lines_of(photos / "out")[0]
+    assert row["landmarks"] == {"nose": [600.1, 300.0]} and row["offset_y"] == -0.1
+    runs.crop_run(spark, body(offset_y=0.0, overwrite=True), root, output, staging)
+    other = lines_of(photos / "out")[0]
+    assert other["offset_y"] == 0.0 and other["crop"][1] > row["crop"][1]
+
+
+def test_output_below_the_input_is_no_input(spark, photos, models):
+    root, _, staging = paths(photos)
+    output = f"{root}/made"
+    assert runs.crop_run(spark, body(), root, output, staging)["scanned"] == 6
+    os.remove(photos / "in/made/manifest.jsonl")
+    with pytest.raises(FileExistsError, match="0001.png"):
+        runs.crop_run(spark, body(), root, output, staging)
+    assert len(list((photos / "in/made").glob("*.png"))) == 2
+
+
+def test_formats_need_an_encoder(spark, photos, models):
+    with pytest.raises(NotImplementedError, match="jpg"):
+        runs.crop_run(spark, body(format="jpg"), *paths(photos))
+
+
+def test_captions_without_a_model(spark, photos, models, monkeypatch):
+    monkeypatch.setattr(runs, "_captioners", {})
+    root, output, staging = paths(photos)
+    runs.crop_run(spark, body(), root, output, staging)
+    assert runs.caption_run(spark, Settings(captioner="none"), output, staging) == 0
+    with pytest.raises(ValueError, match="vlm"):
+        runs.caption_run(spark, Settings(), output, staging)
+    assert runs.caption_run(spark, Settings(captioner="template", trigger="sks"), output, staging) == 2
+    assert (photos / "out/0001.txt").read_text() == "sks, full body shot, even lighting, muted desaturated colors\n"
+    assert runs.caption_run(spark, Settings(captioner="template", caption_template="{label} {index} at {tier} of {source}"), output, staging) == 0
+    os.remove(photos / "out/0002.txt")
+    assert runs.caption_run(spark, Settings(captioner="template", caption_template="{label} {index} at {tier} of {source}"), output, staging) == 1
+    assert (photos / "out/0002.txt").read_text() == "person 2 at 256 of a/x.png\n"
+
+
 def test_whole_photos(spark, photos):
     root, output, staging = paths(photos)
     stats = runs.crop_run(spark, settings(skip_detection=True), root, output, staging)
-    assert stats["written"] == 3 and stats["error"] == 1 and stats["too_small"] == 2
+    assert stats["written"] == 5 and stats["error"] == 1 and stats["too_small"] == 0  # without detection, any size is its own tier
+    stats = runs.crop_run(spark, settings(skip_detection=True, keep_size=True, overwrite=True), root, output, staging)
+    assert stats["written"] == 3 and stats["too_small"] == 2
 
 
-@pytest.mark.parametrize("name", ["mask_faces", "mask_background", "mask_clothing", "follow_symlinks", "upscale"])
+@pytest.mark.parametrize("name", ["follow_symlinks", "upscale"])
 def test_settings_without_a_stage_are_refused(name, spark, photos):
     with pytest.raises(NotImplementedError, match=name):
         runs.crop_run(spark, settings(**{name: True}), *paths(photos))
