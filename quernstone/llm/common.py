@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 18
 #: Arrow batches to and from Python workers, in bytes.
 BATCH = "8m"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 U64 = np.uint64
 
 
@@ -50,7 +51,7 @@ def _own_folder() -> str:
 
 def bounded(spark: SparkSession) -> SparkSession:
     """Keeps Arrow batches of whole texts small, as worker memory grows with them."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    spark.conf.set(BATCH_BYTES, BATCH)
     return spark
 
 
@@ -80,14 +81,21 @@ class Staging:
         self.spark = bounded(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes df and returns the written table; the shuffle files of the write go with its end."""
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+    def put(self, name: str, df: DataFrame, slim: bool = False) -> DataFrame:
+        """Writes df and returns the written table; the shuffle files of the write go with its end.
+
+        slim: many small rows go to Python, so batches are bounded by their rows alone; weighing
+        every row costs more than moving it.
+        """
+        wanted = {CLEANUP: "true"} | ({BATCH_BYTES: str((1 << 31) - 1)} if slim else {})
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         root, files = self._at()
         files.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")

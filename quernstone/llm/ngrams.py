@@ -42,10 +42,12 @@ from .common import LOWER, Rolling, Staging, U64, chunks, lean, mix, stream, wor
 BACKOFF = 0.4
 UNSEEN = 0.5
 ORDER = 2
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Text whose n-grams one task of a pass counts, in bytes; passes over the hash range.
 SLICE = 8 << 20
 PASSES = 2
+#: Rows that a task packs at once.
+PACK = 1 << 20
 NAMES = {1: "n_word", 2: "n_bigram", 3: "n_trigram"}
 
 _START = U64(0x243F6A8885A308D3)
@@ -145,14 +147,46 @@ def exploded(packs: DataFrame, order: int, part: int, parts: int) -> DataFrame:
 def shared(grams: DataFrame, partitions: int) -> DataFrame:
     """chunk, grams, elsewhere: what other chunks have too of each chunk's n-grams, and how often.
 
-    Both sides of the join read one exchange. A chunk's lists are bounded by the chunk; packed by
-    task, they are moved without a row for each n-gram.
+    Both sides of the join read one exchange. What a task finds for one chunk is packed, so that
+    it is moved without a row for each n-gram.
     """
     dealt = grams.where("gram is not null").repartition(partitions, "gram")
     counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     counts = counts.where("low <> high").select("gram", "total")
     met = dealt.join(counts, "gram").select("chunk", "gram", (F.col("total") - F.col("n")).alias("elsewhere"))
-    return met.groupBy("chunk").agg(F.collect_list("gram").alias("grams"), F.collect_list("elsewhere").alias("elsewhere"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            chunk, gram, often = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+            held.clear()
+            order = np.argsort(chunk, kind="stable")
+            chunk, gram, often = chunk[order], gram[order], often[order]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
+            spans = list(zip(edges, edges[1:]))
+            return pa.RecordBatch.from_arrays([pa.array(chunk[edges[:-1]]), pa.array([gram[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([packed(often[a:b]) for a, b in spans], pa.binary())], names=["chunk", "grams", "elsewhere"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK:
+                yield out()
+        if held:
+            yield out()
+
+    return met.mapInArrow(lean(run), "chunk long, grams binary, elsewhere binary")
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes, with 255 for a larger one that follows in full at the end."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], "<i8")
+    return out
 
 
 def own_counts(doc: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
@@ -216,9 +250,9 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, chunk: int =
     packs = staged.put("chunks", chunked(docs, chunk))
     size, corpus = packs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     partitions = max(1, -(-size // (part * passes)))
-    rows = packs.withColumns({"grams": F.lit(None).cast("array<long>"), "elsewhere": F.lit(None).cast("array<long>")}).drop("words")
+    rows = packs.withColumns({"grams": F.lit(None).cast("binary"), "elsewhere": F.lit(None).cast("binary")}).drop("words")
     for k in range(passes):
-        found = staged.put(f"shared-{k}", shared(exploded(packs, order, k, passes), partitions))
+        found = staged.put(f"shared-{k}", shared(exploded(packs, order, k, passes), partitions), slim=True)
         rows = rows.unionByName(found, allowMissingColumns=True)
     names = ["doc_id", "n_words", *[NAMES.get(m, f"n_{m}gram") for m in range(order, 0, -1)], "n_unseen", "log_score"]
 
@@ -240,7 +274,8 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, chunk: int =
                         yield out()
                     pack, lists = [batch.column(c)[k].as_py() for c in range(4)], []
                 else:
-                    lists.append(tuple(batch.column(c)[k].values.to_numpy() for c in (4, 5)))
+                    grams = np.frombuffer(batch.column(4)[k].as_py(), "<i8")
+                    lists.append((grams, unpacked(batch.column(5)[k].as_py(), len(grams))))
         if pack is not None:
             yield out()
 
