@@ -3,10 +3,11 @@
 Tokens come first: every document becomes pieces of at most `size` tokens, of which only
 the first may be shorter. The driver then plans best-fit decreasing over the counts of
 the `size` possible lengths, never over documents: bins of one filling are a class, so
-the plan is a list of runs (length, first rank, count, first sequence, offset). Pieces
-take their slots by rank within their length. Ranks are prefix sums over small blocks
-(length, hash of the id), so that a length that a third of all pieces share is ranked in
-many tasks.
+the plan is a table of runs (length, first rank, count, first sequence, offset). Pieces are
+range-sorted by length and id, so that a length that a third of all pieces share lies in many
+tasks; the rows of each partition before (one number a partition) and of each length before give
+a piece its rank within its length. Pieces join the runs by length and rank: a run stands once for
+each STEP ranks it reaches, so that the join is an equal one.
 
 Defined results: a null or empty text is one piece, the end id alone. Repeated rows are
 documents of their own. An empty table gives an empty result. Other columns are ignored.
@@ -23,15 +24,15 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import Staging, lean
 from .tokens import byte_characters
 
+#: Ranks of a length that one row of the runs' table stands for.
+STEP = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
-SLOTS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class Encoder:
@@ -138,26 +139,19 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, pattern: str, size: in
     staged = Staging(spark, "packing")
     rows = staged.put("pieces", pieces(docs, path, pattern, size, end_id))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    runs = plan(counts, size)
-    # blocks of about 4000 pieces: (length, hash), each ranked for itself, offset by the blocks before
-    spread = max(1, sum(counts.values()) // 4000)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(spread)))
-    before = (
-        rows.groupBy("length", "block").agg(F.count("*").alias("n"))
-        .withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
-        .select("length", "block", F.coalesce("before", F.lit(0)).alias("before"))
-    )
-    before = staged.put("before", before)
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("length", "block").orderBy("doc_id", "piece", "tie")) - 1)
-    ranked = ranked.join(before, ["length", "block"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    order = sorted(runs)
-    keys = np.array([length * (1 << 40) + rank for length, rank, *_ in order], np.int64)
-    table = np.array(order, np.int64).reshape(-1, 5)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            run = table[np.searchsorted(keys, length * (1 << 40) + rank, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(lean(place), SLOTS)
+    runs = spark.createDataFrame(plan(counts, size), "length long, first long, count long, first_sequence long, offset long")
+    block = lambda rank: F.floor(rank / F.lit(float(STEP))).cast("long")
+    runs = staged.put("runs", runs.withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("first") + F.col("count") - 1)))))
+
+    order = ["length", "doc_id", "piece", "tie"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    ranged = staged.put("ranged", ranged.drop("tie"))
+    part, local = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    held = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a partition
+    parts = np.concatenate([[0], np.cumsum([held.get(k, 0) for k in range(max(held, default=0) + 1)])])
+    lengths = np.concatenate([[0], np.cumsum([counts.get(k, 0) for k in range(size + 1)])])
+    at = lambda values, key: F.get(F.lit([int(v) for v in values]).cast("array<long>"), key.cast("int"))
+    ranked = ranged.withColumn("rank", local + at(parts, part) - at(lengths, F.col("length"))).withColumn("block", block(F.col("rank")))
+    slots = ranked.join(runs, ["length", "block"]).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count")))
+    staged.drop("pieces")
+    return slots.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")

@@ -11,7 +11,7 @@ Scoring is one map over all rows, without a shuffle.
 
 Defined results: null texts count as empty, and empty texts get a score from the model like
 any other. A document with several labels takes the mean, 0.5 counting as 1; null labels and
-null ids teach nothing. A null id is not held out. Without labels of both kinds the score is
+null ids teach nothing; of rows that share an id one does. A null id is not held out. Without labels of both kinds the score is
 the smoothed share of label 1. Repeated rows are scored one by one; an empty table gives none.
 """
 
@@ -204,9 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, text: str = "tex
         .groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    # at most `most` ids: a bounded side for the broadcast
-    rows = docs.select(docs["doc_id"], docs[text].alias("_text")).join(F.broadcast(taught), "doc_id").select("_text", "_label")
-    return fit(*_examples(rows))
+    # at most `most` ids: a bounded side for the broadcast; of rows that share an id one teaches, the least by a hash of its text
+    rows = docs.select(docs["doc_id"], docs[text].alias("_text")).join(F.broadcast(taught), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("_label").alias("_label"))
+    return fit(*_examples(rows.select("_text", "_label")))
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text", name: str = "score") -> DataFrame:
