@@ -3,7 +3,8 @@
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]), so that
 all pairs of features interact through `rank` factors at linear cost. Features of a whole text:
 its distinct words, hashed; STATISTICS of its structure, each as a value and as one of BINS
-steps; the number of characters as metadata. Labels, language, source and ids are never inputs.
+steps; the declared number of characters (`n_chars`; a null, and a table without it, is one of
+its own) as metadata, in the same way. Labels, language, source and ids are never inputs.
 
 Training runs on the driver over at most `most` labelled rows outside the held-out fold, taken
 in the order of a hash of the id (a documented bound; `most` feature rows of a few kB each).
@@ -30,7 +31,9 @@ from .common import Rolling, U64, bounded, chunks, fresh, lean, mix, text_buffer
 
 WORDS = 1 << 15
 BINS = 8
-STATISTICS = ("log_words", "log_chars", "symbols", "digits", "capitals", "spaces", "not_ascii", "word_length", "distinct_words", "distinct_lines", "line_words", "repeats_in_row", "bars")
+#: The column of metadata.
+CHARS = "n_chars"
+STATISTICS = ("log_words", "log_chars", "symbols", "digits", "capitals", "spaces", "not_ascii", "word_length", "distinct_words", "distinct_lines", "line_words", "repeats_in_row", "bars", "declared_chars", "declared_none")
 SIZE = WORDS + len(STATISTICS) * (BINS + 2)
 
 
@@ -45,8 +48,11 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(indices of distinct hashed words, how many for each text, statistics by text)."""
+def features(data: np.ndarray, offsets: np.ndarray, declared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indices of distinct hashed words, how many for each text, statistics by text).
+
+    declared: numbers of characters by metadata, NaN where there is none.
+    """
     global _words
     _words = _words or Rolling(71)
     n = len(offsets) - 1
@@ -82,7 +88,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         parts = data[offsets[k] : offsets[k + 1]].tobytes().split(b"\n")
         different[k] = len(set(parts)) / len(parts)
     length = np.bincount(doc, weights=end - start, minlength=n) / np.maximum(words, 1)
-    stats = np.stack([np.log1p(words), np.log1p(chars), share(~(_LETTER[data] | digit | space)), share(digit), share(capital), share(space), share(data >= 128), length, kinds / np.maximum(words, 1), different, np.log1p(words / lines), same, share(data == 124)], axis=1)
+    declared = np.full(n, np.nan) if declared is None else declared
+    none = ~np.isfinite(declared)
+    stats = np.stack([np.log1p(words), np.log1p(chars), share(~(_LETTER[data] | digit | space)), share(digit), share(capital), share(space), share(data >= 128), length, kinds / np.maximum(words, 1), different, np.log1p(words / lines), same, share(data == 124), np.log1p(np.where(none, 0.0, np.maximum(declared, 0.0))), none.astype(np.float64)], axis=1)
     return np.concatenate(index) if index else np.zeros(0, np.int32), counts, stats
 
 
@@ -179,14 +187,14 @@ def stream_unit(n: int, seed: int = 3) -> np.ndarray:
 
 
 def _examples(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features of (text, label) rows, computed where the rows are."""
+    """Features of (text, declared, label) rows, computed where the rows are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            label = batch.column(1)
+            declared, label = numbers(batch.column(1)), batch.column(2)
             for lo, hi in chunks(offsets):
-                index, counts, stats = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                index, counts, stats = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], declared[lo:hi])
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 packed = [index[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary()), label.slice(lo, hi - lo)], names=["words", "stats", "label"])
@@ -205,31 +213,42 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, text: str = "tex
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     # at most `most` ids: a bounded side for the broadcast; of rows that share an id one teaches, the least by a hash of its text
-    rows = docs.select(docs["doc_id"], docs[text].alias("_text")).join(F.broadcast(taught), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("_label").alias("_label"))
-    return fit(*_examples(rows.select("_text", "_label")))
+    rows = docs.select(docs["doc_id"], docs[text].alias("_text"), declared_of(docs).alias("_chars")).join(F.broadcast(taught), "doc_id")
+    one = F.min_by(F.struct("_text", "_chars"), F.xxhash64("_text", "_chars")).alias("_row")
+    rows = rows.groupBy("doc_id").agg(one, F.first("_label").alias("_label"))
+    return fit(*_examples(rows.select("_row._text", "_row._chars", "_label")))
+
+
+def declared_of(docs: DataFrame) -> Column:
+    return (docs[CHARS] if CHARS in docs.columns else F.lit(None)).cast("double")
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """A column of doubles, NaN for nulls."""
+    return column.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """docs with a score column; all other columns stay."""
-    name = fresh(docs, name)
-    at = docs.columns.index(text)
+    name, chars = fresh(docs, name), fresh(docs, "declared_chars")
+    at, width = docs.columns.index(text), len(docs.columns)
     bounded(docs.sparkSession)
+    docs = docs.withColumn(chars, declared_of(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(at))
-            out = np.zeros(batch.num_rows)
+            declared, out = numbers(batch.column(width)), np.zeros(batch.num_rows)
             for lo, hi in chunks(offsets):
-                out[lo:hi] = model.scores(*features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
+                out[lo:hi] = model.scores(*features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], declared[lo:hi]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out)], names=[*batch.schema.names[:width], name])
 
-    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields[:width], T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = train(docs, labels, most)
-    slim = docs.select(docs["doc_id"].cast("long"), docs["text"])
+    slim = docs.select(docs["doc_id"].cast("long"), docs["text"], declared_of(docs).alias(CHARS))
     scored = score(slim, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
