@@ -7,16 +7,15 @@ the last return the columns of documents:
 1. language_id: documents of no learned language, or below the operator's confidence, go.
 2. quality: documents that the classifier predicts as label 0 go. It learns from `labels`
    outside the held-out fold.
-3. near_dedup: of each component of near-duplicates the document with the least id stays, and
-   of rows that repeat an id and its text one row.
+3. near_dedup: of each component of near-duplicates the document with the least id stays (null
+   ids last), and of rows that repeat an id and its text one row.
 4. suffix_dedup: passages of 400 bytes that the kept documents repeat are cut from `text`, and
    `n_chars` is counted anew. Documents stay, if need be with an empty text.
 5. packing: the pieces of the remaining texts and their places in sequences.
 
-Extra columns pass through the stages. Null texts are empty; null ids can be kept by the first
-two stages, and are dropped by the third, which keeps documents by id. An empty table goes
-through all stages and packs to nothing. SQL cannot express the stages (models, tokenizers), so
-tests hold the result against plain Python on small tables.
+Extra columns pass through the stages. Null texts are empty, and null ids are ids like others. An
+empty table goes through all stages and packs to nothing. SQL cannot express the stages (models,
+tokenizers), so tests hold each against plain Python on small tables.
 """
 
 from __future__ import annotations
@@ -43,11 +42,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(spark, docs)
-    # one row for each kept id; rows that repeat an id and its text are copies of each other
-    name = fresh(docs, "kept_id")
-    kept = found.where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col(name)).drop(name).dropDuplicates(["doc_id", "text"])
+    return minhash.without_copies(spark, docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, Staging, U64, chunks, lean, mix, stream, text_buffer, word_spans
+from .common import LOWER, Rolling, Staging, U64, chunks, fresh, lean, mix, stream, text_buffer, word_spans
 from .components import components
 
 WIDTH = 5
@@ -178,20 +178,25 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return text_buffer(column)[0].reshape(-1, width)
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes that tell rows apart by id and text."""
+    return [F.xxhash64(F.lit(k), docs["doc_id"].cast("long"), docs["text"]) for k in (1, 2)]
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null: no shingles), bands, marks (their low 32 bits), odd, whole of each document."""
+    """doc_id, row keys, n_shingles, set_key (null: no shingles), bands, marks (their low 32 bits), odd, whole of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(3))
             for lo, hi in chunks(offsets):
                 found, sizes = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 keys, bands, odd = signatures(found, sizes)
                 key = pc.if_else(pa.array(sizes > 0), _fixed(keys), pa.scalar(None, pa.binary()))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), key, flat, _fixed(bands.astype("<u4").view(np.uint8).reshape(hi - lo, -1)), _fixed(odd), pa.array(whole_sketches(found, sizes), pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "marks", "odd", "whole"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:3], pa.array(sizes), key, flat, _fixed(bands.astype("<u4").view(np.uint8).reshape(hi - lo, -1)), _fixed(odd), pa.array(whole_sketches(found, sizes), pa.binary())], names=["doc_id", "row_1", "row_2", "n_shingles", "set_key", "bands", "marks", "odd", "whole"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary, odd binary, whole binary")
+    return docs.select(docs["doc_id"].cast("long"), *row_keys(docs), docs["text"]).mapInArrow(lean(run), "doc_id long, row_1 long, row_2 long, n_shingles long, set_key binary, bands array<long>, marks binary, odd binary, whole binary")
 
 
 def _sorted(doc_id: Column) -> Column:
@@ -419,8 +424,8 @@ def confirm(staged: Staging, pairs: DataFrame, docs: DataFrame, threshold: float
     return dealt.mapInArrow(lean(run), "a binary, b binary")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """doc_id, row_1, row_2 (its keys), n_shingles, set_key, least (the least node of its component) of every document."""
     staged = Staging(spark, "minhash")
     rows = staged.put("rows", sketch(docs))
     grouped = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "marks", "odd", "whole")])
@@ -445,8 +450,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.7
     merged = components(staged, found, "components-2").select(F.col("node").alias("label"), F.col("label").alias("beyond"))
 
     final = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label")).join(merged, "label", "left")
-    final = staged.put("final", final.select(F.col("set_key").alias("class_key"), id_of(F.coalesce("beyond", "label")).alias("least")))
+    final = staged.put("final", final.select(F.col("set_key").alias("class_key"), F.coalesce("beyond", "label").alias("least")))
     staged.drop("pairs-1", "links-1", "components-1", "named", "blocks", "pairs-2", "links-2", "slots", "components-2", "classes")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(final, F.col("set_key") == F.col("class_key"), "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = rows.select("doc_id", "row_1", "row_2", "n_shingles", "set_key").join(final, F.col("set_key") == F.col("class_key"), "left")
+    return out.drop("class_key")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    found = groups(spark, docs, threshold)
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(id_of(F.col("least")))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """docs with one row of each component: of its least id, and of several texts of one id and set
+    the least by a hash. Rows without words stay, each distinct id and text once; null ids count as the largest."""
+    found = groups(spark, docs, threshold)
+    named = [fresh(docs, x) for x in ("row_1", "row_2")]
+    first = F.col("set_key").isNull() | (node_of(F.col("doc_id"), F.col("set_key")) == F.col("least"))
+    own = F.coalesce(F.hex("set_key"), F.concat_ws(" ", "row_1", "row_2"))
+    kept = found.where(first).groupBy("doc_id", own.alias("own")).agg(F.min(F.struct("row_1", "row_2")).alias("row"))
+    kept = kept.select(*[F.col(f"row.{x}").alias(name) for x, name in zip(("row_1", "row_2"), named)])
+    keyed = docs.withColumns(dict(zip(named, row_keys(docs))))
+    return keyed.join(kept, named).dropDuplicates(named).select(*docs.columns)
