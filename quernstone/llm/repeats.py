@@ -5,18 +5,21 @@ of PERIODS with a trigger in reach of a window), so that equal passages are cut
 they stand. As in a prefix-free parse, the order of two positions is that of the phrase suffix
 up to the next trigger, then of what follows the trigger. Removal asks of that order only which
 neighbours share `length` bytes, so suffixes get names in place of ranks, level by level, and
-equal names meet in a grouped aggregation (no task has to hold an order of the corpus, nor all
-occurrences of one passage):
+equal names meet as neighbours in a range sort:
 
 1. Windows of `length` bytes are grouped into cells by their next trigger and their distance
    to it, CELL distances together. A cell has two names: `core`, of the bytes that all windows
    at these distances share, and `whole`, of the bytes that its own windows cover. A window
    without a trigger in reach is a cell of its own.
-2. A core that occurs once has no repeated window. Where all occurrences of a core have the
-   same whole, all their windows are repeated.
-3. Only mixed cores go on: of each distinct whole, one occurrence is taken apart into windows,
-   which are named in turn. A whole that occurs twice is repeated; a window of one that occurs
-   once is repeated where its name comes from two wholes, or from one that occurs twice.
+2. All cells are sorted by core, then by whole, and read in runs. A core that stands alone has no
+   repeated window. Where neighbours have the same whole, all their windows are repeated.
+3. Cores with several wholes go on: of each whole, one occurrence (a unit) is taken apart into
+   windows, which are named in turn. A window of a whole that stands alone is repeated where its
+   name comes from two units, or from one that occurs twice.
+
+A run may be cut, by the end of a partition or of what a task holds at once, so no task has to
+hold a run. Cores at a cut count as ones with several wholes: both sides give units, and a whole
+whose two occurrences lie on either side of a cut gives two, whose windows then meet by name.
 
 Names are 64-bit hashes, always compared in pairs (core and whole, core and window) of two
 independent ones. Marked windows are gathered per document, which bounds each list.
@@ -44,6 +47,8 @@ TRIGGER = 16
 #: From sparse to dense: text that repeats itself may lack the sparse triggers for long.
 PERIODS = (128, 32, 4)
 CELL = 120
+#: Cells that a task reads at once.
+HELD = 1 << 18
 
 _core: Rolling | None = None
 _whole: Rolling | None = None
@@ -117,17 +122,6 @@ def _keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple
     return F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(docs[text], F.lit("")))
 
 
-def _cell_names(docs: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for lo, hi in chunks(offsets):
-                *_, core, whole = cells(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole)], names=["core", "whole"])
-
-    return docs.select("text").mapInArrow(lean(run), "core long, whole long")
-
-
 def _cell_places(docs: DataFrame, length: int) -> DataFrame:
     """id, hash, place (start * 128 + windows), core, whole."""
 
@@ -163,19 +157,48 @@ def _windows(units: DataFrame, length: int) -> DataFrame:
     return units.mapInArrow(lean(run), "core long, name long, id long, hash long, start long, often boolean")
 
 
+def _marked(cells: DataFrame) -> DataFrame:
+    """id, hash, place, core, often, unit: cells whose whole stands beside its like (often), and units."""
+    dealt = cells.repartitionByRange("core", "whole", "id", "place").sortWithinPartitions("core", "whole", "id", "place")
+
+    def mark(rows: pa.Table) -> pa.RecordBatch:
+        ids, hashes, place, core, whole = (rows.column(c).to_numpy() for c in ("id", "hash", "place", "core", "whole"))
+        n = len(core)
+        new_core = np.concatenate([[True], core[1:] != core[:-1]])
+        first = new_core | np.concatenate([[True], whole[1:] != whole[:-1]])  # of a whole
+        starts = np.flatnonzero(first)
+        times = np.diff(np.append(starts, n))
+        of_core = np.cumsum(new_core) - 1
+        several = np.bincount(of_core[starts]) > 1
+        several[[0, -1]] = True  # what lies beyond the cut is not seen here
+        often = np.repeat(times > 1, times)
+        unit = first & several[of_core]
+        keep = np.flatnonzero(often | unit)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, hashes, place, core, often, unit)], names=["id", "hash", "place", "core", "often", "unit"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield mark(pa.Table.from_batches(held))
+                held.clear()
+        if held:
+            yield mark(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(lean(run), "id long, hash long, place long, core long, often boolean, unit boolean")
+
+
 def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, hash, spans array<struct<start, end>>): windows that start twice in the corpus, by document."""
     if length < CELL + TRIGGER:
         raise ValueError(f"passages must have at least {CELL + TRIGGER} bytes")
     staged = Staging(spark, "repeats")
-    names = _cell_names(docs, length).groupBy("core", "whole").agg(F.count("*").alias("n"))
-    by_core = names.groupBy("core").agg(F.sum("n").alias("all"), F.count("*").alias("wholes")).where("all > 1")
-    again = names.join(by_core, "core").select("core", "whole", (F.col("n") > 1).alias("often"), (F.col("wholes") > 1).alias("mixed"))
-    hits = staged.put("hits", _cell_places(docs, length).join(staged.put("again", again), ["core", "whole"]))
-    units = hits.where("mixed").groupBy("core", "whole").agg(F.min(F.struct("id", "hash", "place")).alias("at"), F.first("often").alias("often"))
-    units = staged.put("units", units.select("core", "whole", "often", "at.*"))
-
-    listed = units.groupBy("id", "hash").agg(F.collect_list(F.struct("core", "place", "often")).alias("units"))
+    cells = staged.put("cells", _cell_places(docs, length))  # the sort reads them twice
+    marked = staged.put("marked", _marked(cells), slim=True)
+    staged.drop("cells")
+    listed = marked.where("unit").groupBy("id", "hash").agg(F.collect_list(F.struct("core", "place", "often")).alias("units"))
     listed = staged.put("listed", listed)
     key, hashed = _keyed(docs)
     # rows alike in id and text come twice here; all their wholes occur twice too, so no count changes
@@ -187,10 +210,9 @@ def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
     found = windows.where(~F.col("often")).join(named, ["core", "name"]).select("id", "hash", "start", (F.col("start") + length).alias("end"))
     cell = F.shiftright("place", 7)
     end = cell + F.col("place").bitwiseAND(F.lit(127)) - 1 + length
-    # where a core has one whole, that whole occurs as often as the core
-    spans = hits.where("often").select("id", "hash", cell.alias("start"), end.alias("end")).unionAll(found)
+    spans = marked.where("often").select("id", "hash", cell.alias("start"), end.alias("end")).unionAll(found)
     out = staged.put("spans", spans.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    staged.drop("again", "hits", "units", "listed", "windows", "named")
+    staged.drop("marked", "listed", "windows", "named")
     return out
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,6 +80,75 @@ def test_every_declared_language_is_learned(spark, docs_of):
     assert len(rows) == len(texts) and all(x.language == x.true and x.accepted for x in rows)
 
 
+def fused(rows, evidence=60.0, slots=1 << 14, pull=20.0):
+    """(language, confidence) of (text, declaration, suffix, host), in plain Python."""
+
+    def slots_of(text):
+        raw = (text or "").encode()
+        low = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in raw]
+        found = set()
+        for a, b, c in zip(low, low[1:], low[2:]):
+            if (a, b) != (32, 32) and (b, c) != (32, 32):
+                found.add((((a << 16 | b << 8 | c) * 2654435761) >> 16) % slots)
+        return found, any(b != 32 for b in low)
+
+    seen = [slots_of(r[0]) for r in rows]
+    classes = [*sorted({r[1] for r in rows if r[1]}), "und"]
+    models = {}
+    for name in classes[:-1]:
+        n = Counter(s for (found, _), r in zip(seen, rows) if r[1] == name for s in found)
+        whole = sum(n.values())
+        models[name] = lambda s, n=n, whole=whole: math.log((n[s] + 0.1) / (whole + 0.1 * slots))
+    models["und"] = lambda s: -math.log(slots)
+    texts = [[min(1.0, evidence / max(1, len(found))) * sum(models[c](s) for s in sorted(found)) for c in classes] if letters else None for found, letters in seen]
+    first = [None if x is None else x.index(max(x)) for x in texts]
+    overall = [1 + first.count(k) for k in range(len(classes))]
+    share = [x / sum(overall) for x in overall]
+    share[-1] = min(share[-1], 1e-3)
+    parent = lambda h: h.split(".", 1)[1] if h.count(".") > 1 else h
+
+    def counts(of):
+        out = {}
+        for r, k in zip(rows, first):
+            if k is not None and of(r) is not None:
+                out.setdefault(of(r), Counter())[k] += 1
+        return out
+
+    said, suffix, hosts = (counts(lambda r, j=j: r[j]) for j in (1, 2, 3))
+    parents = counts(lambda r: None if r[3] is None else parent(r[3]))
+    drawn = lambda n, above: [(n[k] + pull * above[k]) / (sum(n.values()) + pull) for k in range(len(classes))]
+    out = []
+    for r, text in zip(rows, texts):
+        total = list(text or [0.0] * len(classes))
+        for table, value in ((said, r[1]), (suffix, r[2])):
+            if value in table:
+                total = [t + math.log((table[value][k] + 0.5) / (overall[k] + 1.0)) for k, t in enumerate(total)]
+        prior = drawn(hosts[r[3]], drawn(parents[parent(r[3])], share)) if r[3] in hosts else share
+        total = [t + math.log(p) for t, p in zip(total, prior)]
+        top = max(total)
+        out.append(("und" if text is None else classes[total.index(top)], 1 / sum(math.exp(t - top) for t in total)))
+    return out
+
+
+def test_fusion_equals_plain_python(spark):
+    r = random.Random(8)
+    words = {"aa": "gato perro casa rojo luna", "bb": "hund katze haus mond rot", "cc": "chien maison lune rouge"}
+    rows = []
+    for k in range(120):
+        true = r.choice(list(words))
+        text = " ".join(r.choices(words[true].split(), k=r.choice([0, 1, 3, 40])))
+        said = r.choice([true, true, true, "aa", None])
+        host = r.choice([None, "www.one.example", "blog.one.example", "two.example", f"{true}.three.example"])
+        rows.append((text, said, r.choice([None, true, "com"]), host))
+    rows += [(None, "aa", None, None), ("12 !!", None, "com", "two.example"), ("Zzyx qqq", None, None, None), ("gato " * 30_000, None, None, "new.host.example"), rows[0], rows[0]]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k long, text string, said string, suffix string, host string")
+    clashing = df.withColumns({"_lid_total": F.lit("mine"), "language": F.lit("mine")})
+    got = sorted(language.identify(spark, clashing, "text", F.col("said"), F.col("host"), F.col("suffix")).collect(), key=lambda x: x.k)
+    want = fused(rows)
+    assert [x._language for x in got] == [w[0] for w in want] and all(x._lid_total == x.language == "mine" for x in got)
+    assert np.allclose([x.confidence for x in got], [w[1] for w in want])
+
+
 @pytest.mark.parametrize("said, primary", [("en", "en"), ("EN-us", "en"), (" pt_BR", "pt"), ("", None), ("und", None), (None, None), ("-x", None)])
 def test_declarations(spark, said, primary):
     assert spark.range(1).select(language.declaration(F.lit(said).cast("string"))).first()[0] == primary

@@ -64,6 +64,48 @@ def test_top_k_equals_brute_force(spark):
     assert {tuple(r) for r in rows} == want
 
 
+def test_pruning_skips_blocks_of_a_table(spark):
+    """Rows of 40 clusters, dealt at random: like rows meet in a block, so that bounds exclude most blocks."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(40, 8)) * 4
+    x = (centres[r.integers(0, 40, 12_000)] + r.normal(size=(12_000, 8)) * 0.05).astype(np.float32)
+    ids = r.permutation(len(x)).astype(int)
+    scored = []
+    w = topk.weights(x.astype(np.float64))
+    tree = topk.Tree(w[:2048], 3)
+    leaf = tree.leaf(w)
+    queries = np.flatnonzero(ids % 50 == 0)
+    for k in range(tree.leaves):
+        some = np.flatnonzero(leaf == k)
+        *_, n = topk.search_range(ids[queries], w[queries], topk.floors(ids[queries], w[queries], ids[:2048], w[:2048], 5), ids[some], w[some], 5)
+        scored.append((n, len(queries) * -(-len(some) // topk.BLOCK)))
+    assert sum(n for n, _ in scored) < 0.2 * sum(n for _, n in scored)
+    rows = topk.search(spark, frame(spark, ids, x), F.col("vec_id") % 50 == 0).collect()
+    score = w[queries] @ w.T
+    want = set()
+    for j, q in enumerate(queries):
+        score[j, q] = np.iinfo(np.int64).min + 1
+        want |= {(int(ids[q]), k + 1, int(ids[i]), int(score[j, i])) for k, i in enumerate(np.lexsort((ids, -score[j]))[:5])}
+    assert {tuple(row) for row in rows} == want
+
+
+def test_recall_with_many_lists(spark):
+    r = np.random.default_rng(9)
+    ids, x = np.arange(6000), r.normal(size=(6000, 32)).astype(np.float32)  # no structure: the hardest case
+    index = ann.Index(ann.unit(x.astype(np.float64))[:4000], len(x))
+    assert len(index.centres) == 77
+    got = {}
+    for row in ann.search(spark, frame(spark, ids, x), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    unit = ann.unit(x.astype(np.float64))
+    hits = 0
+    for q in range(0, 6000, 50):
+        score = unit @ unit[q]
+        score[q] = -9
+        hits += len(got[q] & {*np.argsort(-score)[:5].tolist()})
+    assert 0.9 * 600 <= hits
+
+
 def test_pruning_skips_blocks():
     r = np.random.default_rng(3)
     x = np.concatenate([r.integers(-10, 10, (topk.BLOCK * 31, 8)), r.integers(90, 100, (topk.BLOCK, 8))]).astype(np.int64)
@@ -80,7 +122,7 @@ def test_large_weights_stay_exact():
 @pytest.mark.parametrize("search", [ann.search, topk.search])
 def test_odd_vectors(spark, search):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.5, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).withColumns({"vector": F.lit("mine"), "list": F.lit(1), "row": F.lit(None)})
     got = search(spark, df, F.col("vec_id") % 50 == 0).collect()
     by = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 50)}
     zero = [2] if search is topk.search else []
