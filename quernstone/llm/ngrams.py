@@ -15,9 +15,9 @@ same way, by BACKOFF each time.
 2. Each chunk is exploded into n-grams: rows (gram, chunk, n), the gram as a 64-bit hash. A
    frequent n-gram comes once from a chunk, so that no key has more rows than there are chunks.
 3. The rows are partitioned by gram. Grouped by gram, they give the count table; joined to it,
-   they bring each chunk the counts of those of its n-grams that other chunks have too. The hash
-   range is done in PASSES parts, one after the other, so that the shuffle files of one part
-   are on disk at a time.
+   they bring each chunk the counts of those of its n-grams that other chunks have too, by their
+   places in the chunk's sorted n-grams. The hash range is done in PASSES parts, one after the
+   other, so that the shuffle files of one part are on disk at a time.
 4. A chunk meets the lists of its counts, and the scores are summed per document.
 
 Rows are at most the distinct n-grams of each chunk: they grow as the text does.
@@ -42,10 +42,10 @@ from .common import LOWER, Rolling, Staging, U64, chunks, lean, mix, stream, wor
 BACKOFF = 0.4
 UNSEEN = 0.5
 ORDER = 2
-CHUNK = 4 << 20
+CHUNK = 6 << 20
 #: Text whose n-grams one task of a pass counts, in bytes; passes over the hash range.
 SLICE = 8 << 20
-PASSES = 2
+PASSES = 4
 #: Rows that a task packs at once.
 PACK = 1 << 20
 NAMES = {1: "n_word", 2: "n_bigram", 3: "n_trigram"}
@@ -122,50 +122,63 @@ class Grams:
         some = slice(*np.searchsorted(start, [a, b]))
         return _words.ranges(_words.prefix(data[a:b]), start[some] - a, end[some] - a)
 
+    def hashes(self, m: int) -> np.ndarray:
+        """Of the m-grams; those of words with a START for each text behind them."""
+        return np.append(self.of[1], np.full(self.starts, _START)) if m == 1 else self.of[m]
+
     def counts(self, part: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(distinct hashes, their counts) of each order, in one part of the hash range."""
-        for m, hashes in self.of.items():
-            if m == 1:
-                hashes = np.append(hashes, np.full(self.starts, _START))
-            yield np.unique(hashes[(hashes >> U64(32)) * U64(parts) >> U64(32) == U64(part)], return_counts=True)
+        for m in self.of:
+            hashes = self.hashes(m)
+            yield np.unique(hashes[part_of(hashes, parts) == U64(part)], return_counts=True)
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the hash range, which grows with the hash."""
+    return (hashes >> U64(32)) * U64(parts) >> U64(32)
 
 
 def exploded(packs: DataFrame, order: int, part: int, parts: int) -> DataFrame:
-    """gram, chunk, n: the distinct n-grams of each chunk, in one part of the hash range."""
+    """gram, chunk, n, place: the distinct n-grams of each chunk in one part of the hash range, and their places among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, size, ends, body in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                first = 0
                 for hashes, n in Grams(body, ends, size, order).counts(part, parts):
                     for lo in range(0, len(hashes), 1 << 17):
                         some = hashes[lo : lo + (1 << 17)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), chunk)), pa.array(n[lo : lo + (1 << 17)].astype(np.int64))], names=["gram", "chunk", "n"])
+                        place = np.arange(first + lo, first + lo + len(some), dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), chunk)), pa.array(n[lo : lo + (1 << 17)].astype(np.int64)), pa.array(place)], names=["gram", "chunk", "n", "place"])
+                    first += len(hashes)
 
-    return packs.select("chunk", "bytes", "ends", "body").mapInArrow(lean(run), "gram long, chunk long, n long")
+    return packs.select("chunk", "bytes", "ends", "body").mapInArrow(lean(run), "gram long, chunk long, n long, place long")
 
 
 def shared(grams: DataFrame, partitions: int) -> DataFrame:
-    """chunk, grams, elsewhere: what other chunks have too of each chunk's n-grams, and how often.
+    """chunk, n, steps, elsewhere: which of each chunk's n-grams other chunks have too, and how often there.
 
     Both sides of the join read one exchange. What a task finds for one chunk is packed, so that
     it is moved without a row for each n-gram.
     """
     dealt = grams.where("gram is not null").repartition(partitions, "gram")
-    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    counts = counts.where("low <> high").select("gram", "total")
-    met = dealt.join(counts, "gram").select("chunk", "gram", (F.col("total") - F.col("n")).alias("elsewhere"))
+    # the least place is of no use but that both sides have the same columns, and so one exchange
+    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.min("place").alias("least"))
+    counts = counts.where("low <> high and least >= 0").select("gram", "total")
+    met = dealt.join(counts, "gram").select("chunk", "place", (F.col("total") - F.col("n")).alias("elsewhere"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out() -> pa.RecordBatch:
-            chunk, gram, often = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+            chunk, place, often = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
             held.clear()
-            order = np.argsort(chunk, kind="stable")
-            chunk, gram, often = chunk[order], gram[order], often[order]
+            order = np.lexsort((place, chunk))
+            chunk, place, often = chunk[order], place[order], often[order]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
             spans = list(zip(edges, edges[1:]))
-            return pa.RecordBatch.from_arrays([pa.array(chunk[edges[:-1]]), pa.array([gram[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([packed(often[a:b]) for a, b in spans], pa.binary())], names=["chunk", "grams", "elsewhere"])
+            steps = [packed(np.diff(place[a:b], prepend=0)) for a, b in spans]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[edges[:-1]]), pa.array(np.diff(edges)), pa.array(steps, pa.binary()), pa.array([packed(often[a:b]) for a, b in spans], pa.binary())], names=["chunk", "n", "steps", "elsewhere"])
 
         for batch in batches:
             if batch.num_rows:
@@ -175,7 +188,7 @@ def shared(grams: DataFrame, partitions: int) -> DataFrame:
         if held:
             yield out()
 
-    return met.mapInArrow(lean(run), "chunk long, grams binary, elsewhere binary")
+    return met.mapInArrow(lean(run), "chunk long, n long, steps binary, elsewhere binary")
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -197,28 +210,32 @@ def own_counts(doc: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
     return n[inverse]
 
 
-def scored(grams: Grams, documents: int, known: np.ndarray, elsewhere: np.ndarray, corpus: int) -> tuple[np.ndarray, ...]:
+def scored(grams: Grams, documents: int, found: list[list[tuple[np.ndarray, np.ndarray]]], corpus: int) -> tuple[np.ndarray, ...]:
     """(words, by order from the highest, unseen, log score) of each document of a chunk.
 
-    known, elsewhere: sorted hashes that other chunks have too, and their counts there.
+    found: for each part of the hash range, lists of places of n-grams that other chunks have too
+    and how often these have them.
     """
     doc, order = grams.doc, max(grams.of)
-
-    def others(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Counts in other documents, by position."""
-        distinct, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-            n = n + np.where(known[at] == distinct, elsewhere[at], 0)
-        return n[place] - own_counts(own, place, len(distinct))
-
     words = np.bincount(doc, minlength=documents)
     rest = (corpus - words)[doc]
+    tables = {m: np.unique(grams.hashes(m), return_inverse=True, return_counts=True) for m in grams.of}
+    totals = {m: n.astype(np.int64) for m, (_, _, n) in tables.items()}
+    starts = {m: np.searchsorted(part_of(distinct, len(found)), np.arange(len(found) + 1)) for m, (distinct, _, _) in tables.items()}
+    for k, lists in enumerate(found):
+        first = 0  # the places of a part: those of each order, one after the other
+        for m in grams.of:
+            a, b = starts[m][k : k + 2]
+            for place, often in lists:
+                own = slice(*np.searchsorted(place, [first, first + b - a]))
+                totals[m][a + place[own] - first] += often[own]
+            first += b - a
     left = {}  # counts in other documents, by order and word
-    for m, hashes in grams.of.items():
+    for m, (distinct, place, _) in tables.items():
+        place = place[: len(grams.at[m])]
         left[m] = np.zeros(len(doc), np.int64)
-        left[m][grams.at[m]] = others(hashes, doc[grams.at[m]])
-    start = grams.starts + int(elsewhere[known == _START].sum())
+        left[m][grams.at[m]] = totals[m][place] - own_counts(doc[grams.at[m]], place, len(distinct))
+    start = int(totals[1][np.searchsorted(tables[1][0], _START)]) if grams.starts else 0
     share, factor, open_ = np.ones(len(doc)), np.ones(len(doc)), np.ones(len(doc), bool)
     per = []
     for m in range(order, 1, -1):
@@ -250,36 +267,34 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, chunk: int =
     packs = staged.put("chunks", chunked(docs, chunk))
     size, corpus = packs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     partitions = max(1, -(-size // (part * passes)))
-    rows = packs.withColumns({"grams": F.lit(None).cast("binary"), "elsewhere": F.lit(None).cast("binary")}).drop("words")
+    rows = packs.drop("words").withColumns({"pass": F.lit(-1), **{c: F.lit(None).cast(t) for c, t in (("n", "long"), ("steps", "binary"), ("elsewhere", "binary"))}})
     for k in range(passes):
         found = staged.put(f"shared-{k}", shared(exploded(packs, order, k, passes), partitions), slim=True)
-        rows = rows.unionByName(found, allowMissingColumns=True)
+        rows = rows.unionByName(found.withColumn("pass", F.lit(k)), allowMissingColumns=True)
     names = ["doc_id", "n_words", *[NAMES.get(m, f"n_{m}gram") for m in range(order, 0, -1)], "n_unseen", "log_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, lists = None, []
 
         def out() -> pa.RecordBatch:
-            known, elsewhere = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([g for g, _ in lists], [e for _, e in lists]))
-            known = known.view(U64)
-            order_ = np.argsort(known, kind="stable")
             size, ids, ends, body = pack
-            values = scored(Grams(body, ends, size, order), len(ids), known[order_], elsewhere[order_], corpus)
+            values = scored(Grams(body, ends, size, order), len(ids), lists, corpus)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x) for x in values]], names=names)
 
         for batch in batches:
             for k in range(batch.num_rows):
-                if batch.column(3)[k].is_valid:  # a chunk begins
+                part = batch.column(4)[k].as_py()
+                if part < 0:  # a chunk begins
                     if pack is not None:
                         yield out()
-                    pack, lists = [batch.column(c)[k].as_py() for c in range(4)], []
+                    pack, lists = [batch.column(c)[k].as_py() for c in range(4)], [[] for _ in range(passes)]
                 else:
-                    grams = np.frombuffer(batch.column(4)[k].as_py(), "<i8")
-                    lists.append((grams, unpacked(batch.column(5)[k].as_py(), len(grams))))
+                    n, steps, often = (batch.column(c)[k].as_py() for c in (5, 6, 7))
+                    lists[part].append((np.cumsum(unpacked(steps, n)), unpacked(often, n)))
         if pack is not None:
             yield out()
 
     # behind each chunk's text its lists
-    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("body").isNull()).select("bytes", "ids", "ends", "body", "grams", "elsewhere")
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "pass").select("bytes", "ids", "ends", "body", "pass", "n", "steps", "elsewhere")
     kinds = {"doc_id": "long", "log_score": "double"}
     return dealt.mapInArrow(lean(run), ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names))
