@@ -34,8 +34,8 @@ from .vectors import BLOCK_SCHEMA, best, checked, cut_blocks, matrix, queries_of
 SAMPLE = 16_384
 BLOCK = 2048
 QUERY_BLOCK = 256
-RERANK = 40
-TARGET = 0.96
+RERANK = 64
+TARGET = 0.97
 TRIALS = 256
 CODES = 256
 
