@@ -47,6 +47,15 @@ def register_encoder(extension: str, encode: Callable[[object, int], bytes]) ->
     _encoders[extension] = encode
 
 
+#: What enlarges crops that are smaller than their size; none is built in.
+_upscalers: list[Callable[[], object]] = []
+
+
+def register_upscaler(factory: Callable[[], object]) -> None:
+    """factory() gives an object with enlarge(image) -> larger image, built once for each worker."""
+    _upscalers[:] = [factory]
+
+
 def _whole(s: Settings) -> bool:
     return s.keep_size or s.no_crop or s.skip_detection
 
@@ -82,13 +91,16 @@ def _cut(images: DataFrame, s: Settings, decode: Callable[[bytes], object]) -> D
     encode = _encoders[s.extension]
     models = masks.needed(s.mask_faces, s.face_mask == "outline", s.mask_background, s.mask_clothing)
     finder = detection.detector(masks.FACES) if s.mask_faces else None
+    enlarger = _upscalers[0] if s.upscale else None
 
-    def crop(image: object, p: dict, faces: object, own: dict) -> tuple:
+    def crop(image: object, p: dict, faces: object, own: dict, larger: object) -> tuple:
         left, top = round(p["crop_x"]), round(p["crop_y"])
         right, bottom = max(left + 1, round(p["crop_x"] + p["crop_w"])), max(top + 1, round(p["crop_y"] + p["crop_h"]))
         out = pixels.window(image, left, top, right, bottom, s.fill, s.fill_color)
         longest = max(out.shape[:2])
-        out = pixels.resize(out, *[max(1, round(n * p["tier"] / longest)) for n in out.shape[1::-1]])
+        if larger and longest < p["tier"]:
+            out = larger.enlarge(out)
+        out = pixels.resize(out, *[max(1, round(n * p["tier"] / longest)) for n in (right - left, bottom - top)])
         sx, sy = out.shape[1] / (right - left), out.shape[0] / (bottom - top)
         boxes = [((b["x"] - left) * sx, (b["y"] - top) * sy, b["w"] * sx, b["h"] * sy) for b in p["boxes"]]
         if _whole(s):
@@ -110,12 +122,13 @@ def _cut(images: DataFrame, s: Settings, decode: Callable[[bytes], object]) -> D
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         faces, own = finder() if finder else None, {k: factory() for k, factory in models.items()}
+        larger = enlarger() if enlarger else None
         for frame in frames:
             rows = []
             for image_id, content, plans in zip(frame["image_id"], frame["content"], frame["plans"]):
                 try:
                     image = decode(bytes(content))
-                    rows += [(image_id, p["rank"], *crop(image, p, faces, own), "") for p in plans]
+                    rows += [(image_id, p["rank"], *crop(image, p, faces, own, larger), "") for p in plans]
                 except Exception as error:  # contained: the image is skipped as a whole
                     rows.append((image_id, *[None] * 8, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=[part.strip().split(" ")[0] for part in CUT.split(",")])
@@ -170,22 +183,29 @@ def overwrite(spark: SparkSession, output: str) -> int:
     return removed
 
 
-def training_run(spark: SparkSession, settings: Settings, output: str) -> dict | None:
-    """Writes training_config.json from the manifest; None where no configuration applies."""
+def training_run(spark: SparkSession, settings: Settings, output: str, template: dict | None = None) -> dict | None:
+    """Writes training_config.json, a template filled from the manifest; None where no configuration applies.
+
+    Only the resolution (unless sizes are native), the epochs and, with masks, the switches of
+    masked training are filled in; all else of the template stays.
+    """
     rows = files.read(spark, f"{output}/manifest.jsonl").select("tier", "mask_file", "mask_dir")
     native = settings.keep_size or settings.skip_detection and not settings.no_crop
-    row = numbering.training_config(rows, settings.sizes, native=native).first()
+    config = dict(template or {"resolution": "", "batch_size": 2})
+    row = numbering.training_config(rows, settings.sizes, batch=config.get("batch_size") or 1, native=native).first()
     if row is None:
         return None
-    config = {"resolution": row["resolution"] or "", "epochs": row["epochs"], "batch_size": row["batch_size"], "masked_training": row["masked_training"]}
+    config |= {"epochs": row["epochs"], "masked_training": row["masked_training"]} | ({"resolution": row["resolution"]} if row["resolution"] else {})
     if row["masked_training"]:
         config |= {"unmasked_probability": 0.0, "unmasked_weight": 0.0}
+    elif template and "masked_training" in template:
+        config["masked_training"] = template["masked_training"]
     spark.createDataFrame([("training_config.json", bytearray(json.dumps(config, indent=2).encode()))], "path string, body binary").mapInPandas(_write(output), "written long").collect()
     return config
 
 
 #: Settings that are checked and documented, but that no stage of a crop run carries out.
-NOT_INCLUDED = ("follow_symlinks", "upscale")
+NOT_INCLUDED = ("follow_symlinks",)
 
 
 def _below(root: str, folder: str) -> list[str]:
@@ -205,12 +225,17 @@ def _free(spark: SparkSession, targets: DataFrame, folder: str) -> None:
         raise FileExistsError(f"already in {folder}: {', '.join(sorted(taken))}; overwrite, resume, or take an empty folder")
 
 
-def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, staging: str, decode: Callable[[bytes], object] = pixels.decode) -> dict:
-    """Runs everything up to the manifest and returns the statistics. root, output and staging are URIs."""
+def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, staging: str, decode: Callable[[bytes], object] = pixels.decode, on_event: Callable[[str, str], None] = lambda level, message: None) -> dict:
+    """Runs everything up to the manifest and returns the statistics. root, output and staging are URIs.
+
+    on_event hears of stages ("info", "progress") and of images that failed ("warn", a few of them).
+    """
     s = settings.checked()
     missing = [name for name in NOT_INCLUDED if getattr(s, name)]
     if missing:
         raise NotImplementedError(f"crop_run has no stage for {', '.join(missing)}")
+    if s.upscale and not _upscalers:
+        raise NotImplementedError("crop_run has no model for upscale; register_upscaler adds one")
     if s.extension not in _encoders:
         raise NotImplementedError(f"crop_run has no encoder for {s.extension}; register_encoder adds one")
     mask_root = (s.mask_dir.expanduser().resolve().as_uri() if isinstance(s.mask_dir, Path) else s.mask_dir) if s.masks and s.mask_dir else None
@@ -222,6 +247,7 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     if exists and not (s.resume or s.overwrite):
         raise FileExistsError(f"{manifest_path} is there; resume or overwrite")
     old = files.read(spark, manifest_path) if exists and s.resume else None
+    on_event("info", f"scanning {root}" + (", resuming" if old is not None else ""))
     if old is not None and old.where("recovered").limit(1).count():
         raise ValueError("a rebuilt manifest has no sources to resume from")
     sources = photos.select("file", F.col("path").alias("source"))
@@ -258,6 +284,7 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     cut = _cut(images.join(grouped, "image_id"), s, decode)
     cut.write.mode("overwrite").parquet(f"{staging}/cut")
     plans.select("image_id", "rank", "label", "score", "landmarks", "offset_y", "tier", "base_side", "fitted_side", "crop_x", "crop_y", "crop_w", "crop_h", "clamped", "extends", "reject").write.mode("overwrite").parquet(f"{staging}/plans")
+    on_event("progress", "crops are cut and measured")
     cut, plans = spark.read.parquet(f"{staging}/cut"), spark.read.parquet(f"{staging}/plans")
     errors = failed.select("image_id", F.lit("error").alias("reason"), F.col("error").alias("detail")).unionByName(cut.where("error <> ''").select("image_id", F.lit("error").alias("reason"), F.col("error").alias("detail")))
     measured = plans.join(cut.where("error = ''").drop("body", "mask", "error").withColumn("masked", F.lit(s.masks)), ["image_id", "rank"])
@@ -290,6 +317,12 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     rows.write.mode("overwrite").parquet(f"{staging}/rows")
     rows = spark.read.parquet(f"{staging}/rows")
     stats = numbering.run_stats(rows, skips, photos).first().asDict() | {"by_tier": {r["tier"]: r["n"] for r in numbering.by_tier(rows).collect()}}
+    tally = lambda test, name: F.count_if(test).alias(name)
+    faces, ground = F.col("masked_faces") > 0, F.col("background_mask")
+    tallies = rows.agg(tally(faces, "masked"), tally(~faces & F.lit(s.mask_faces), "unmasked_kept"), tally(ground.isNotNull(), "background"), tally(ground == "box", "background_box"), tally(F.col("masked_clothing") > 0, "clothing"))
+    stats |= tallies.first().asDict()
+    for r in errors.limit(5).collect():
+        on_event("warn", f"{r['image_id']}: {r['detail']}")
     if s.dry_run:
         return stats
     if s.overwrite and exists:

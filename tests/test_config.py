@@ -16,11 +16,21 @@ def test_defaults_are_sound():
     ({"overwrite": True, "resume": True}, "overwrite"), ({"mask_faces": True}, "mask_faces"), ({"mask_dir": Path("./dataset/m")}, "mask_dir"), ({"caption_images": ("a",)}, "caption_images"),
     ({"captioner": "template", "caption_template": "{nope}"}, "caption_template"), ({"rebuild_manifest": True, "limit": 1}, "rebuild_manifest"), ({"fill_color": (1, 2, 300)}, "fill_color"),
     ({"mask_background": True, "detector": "yolox", "detector_opts": {"classes": "dog"}}, "mask_background"), ({"max_side": 1}, "max_side"),
+    ({"mask_clothing": True, "detector": "yolox", "detector_opts": {"classes": ["cat", " Dog "]}}, "mask_clothing"), ({"detector": "yolox", "detector_opts": {"classes": 3}}, "detector_opts"),
 ])
 def test_problems(values, about):
     assert any(p.startswith(about) for p in Settings(**values).problems())
 
 
+@pytest.mark.parametrize("values", [
+    {"mask_background": True}, {"mask_clothing": True, "detector": "haar"}, {"mask_background": True, "detector": "mine", "detector_opts": {"classes": "dog"}},
+    {"mask_background": True, "detector": "yolox"}, {"mask_background": True, "detector": "yolox", "detector_opts": {"classes": "dog, Person"}}, {"mask_faces": True, "detector": "yolox"},
+    {"mask_background": True, "detector": "yolox", "detector_opts": {"classes": " ,"}}, {"mask_clothing": True, "detector": "yolox", "detector_opts": {"classes": ("all",)}}, {"mask_faces": True, "no_crop": True},
+])
+def test_masks_that_fit_their_detector(values):
+    assert Settings(**values).problems() == []
+
+
 def test_all_problems_at_once():
     with pytest.raises(SettingsError) as error:
         Settings(padding=-1.0, multi="x", digits=0).checked()

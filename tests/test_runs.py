@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import stubs
 
+from quernstone import cli
 from quernstone.config import Settings
 from quernstone.functions import pixels
 from quernstone.operators import detection, masks
@@ -101,6 +102,7 @@ def test_crop_run_and_captions(spark, photos):
     assert [(x["index"], x["source"]) for x in lines] == [(1, "b.png"), (2, "a/x.png"), (3, "c.png")]
 
     assert runs.training_run(spark, settings(), output) == {"resolution": "256", "epochs": 300, "batch_size": 2, "masked_training": False}
+    assert runs.training_run(spark, settings(), output, {"resolution": "512", "batch_size": 4, "rate": 1e-4}) == {"resolution": "256", "epochs": 300, "batch_size": 4, "rate": 1e-4, "masked_training": False}
 
     runs.register_captioner("template", stubs.Captioner)
     own = Settings(captioner="template", trigger="sks")
@@ -213,6 +215,36 @@ def test_output_below_the_input_is_no_input(spark, photos, models):
     assert len(list((photos / "in/made").glob("*.png"))) == 2
 
 
+def test_enlarged_crops(spark, photos, models, monkeypatch):
+    monkeypatch.setattr(runs, "_upscalers", [stubs.Twice])
+    root, output, staging = paths(photos)
+    runs.crop_run(spark, Settings(detector="body", min_sharpness=0.0, captioner="none", sizes=(1024,), min_ratio=0.5, padding=0.0, upscale=True), root, output, staging)
+    (row,) = lines_of(photos / "out")
+    assert (row["source"], row["tier"], row["fitted_side"]) == ("b.png", 1024, 600.0)
+    assert pixels.decode((photos / "out/0001.png").read_bytes()).shape == (1024, 1024, 3)
+
+
+def test_command(spark, photos, models, capsys, monkeypatch):
+    monkeypatch.setattr(runs, "_captioners", {})
+    folder = ["--input", str(photos / "in"), "--output", str(photos / "out")]
+    heard = []
+    flags = [*folder, "--detector", "body", "--min-sharpness", "0", "--captioner", "template", "--sizes", "256", "--training-config"]
+    assert cli.main(flags, spark, lambda level, message: heard.append(level)) == 1  # one photo cannot be read
+    assert {p.name for p in (photos / "out").iterdir() if p.suffix != ".crc"} == {"0001.png", "0001.txt", "0002.png", "0002.txt", "manifest.json", "manifest.jsonl", "training_config.json"}
+    assert {"info", "progress", "warn"} <= {*heard}
+    assert cli.main(flags, spark) == 2 and "resume or overwrite" in capsys.readouterr().err
+    os.remove(photos / "in/broken.png")
+    assert cli.main([*flags, "--overwrite"], spark) == 0
+    out = capsys.readouterr().out
+    assert "5  images scanned" in out and "2  crops written" in out and "2  captions written" in out and "2  crops of 256" in out
+    assert cli.main([*folder, "--detector", "none such"], spark) == 2
+    assert cli.main([*folder, "--detector", "none such", "--overwrite"], spark) == 1
+    assert cli.main([*folder, "--digits", "0"], spark) == 2 and cli.main(["--version"]) == 0 and cli.main(["--list-models"]) == 0
+    monkeypatch.setattr(cli, "run", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    assert cli.main(folder, spark) == 130
+    assert cli.presets(spark).count() == len(cli.PRESETS)
+
+
 def test_formats_need_an_encoder(spark, photos, models):
     with pytest.raises(NotImplementedError, match="jpg"):
         runs.crop_run(spark, body(format="jpg"), *paths(photos))
