@@ -52,6 +52,12 @@ def variance(values: Column) -> Column:
     return let(values, lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: (x - m) * (x - m)))))
 
 
+def saturation(red: Column, green: Column, blue: Column) -> Column:
+    """Mean over pixels of the largest less the smallest channel."""
+    channels = F.arrays_zip(red.alias("r"), green.alias("g"), blue.alias("b"))
+    return mean(F.transform(channels, lambda p: F.greatest(p["r"], p["g"], p["b"]) - F.least(p["r"], p["g"], p["b"])))
+
+
 def inner_fraction(padding: float) -> float:
     """Share of a padded crop that the detection itself fills, at least one half."""
     return max(0.5, min(1.0, 1.0 / (1.0 + 2.0 * padding)))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import captions as cap
 from quernstone.functions import geometry as geo
-from quernstone.functions import raster
+from quernstone.functions import pixels, raster
 from quernstone.operators import detection, manifest, numbering
 from quernstone.plans import fixtures as fx
+from quernstone.plans import runs
+from quernstone.sources import manifest as files
 from quernstone.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +142,32 @@ def _(spark, sf):
     return fx.table(spark, sf, "region").select("r_regionkey", detection.offset_y(None, default).alias("offset_y"))
 
 
+_ANCHOR = "round_even({0} * 1e6, 0) / 1e6"
+
+
+@query("anchor_decode", f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount AS dx, l_tax AS dy, l_quantity / 10e0 - 2e0 AS dw, l_quantity - 25e0 AS dh, l_partkey % 80 AS gx, l_suppkey % 80 AS gy,
+  CASE l_linenumber % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS stride FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_ANCHOR.format('(dx + gx) * stride')} AS cx, {_ANCHOR.format('(dy + gy) * stride')} AS cy,
+  {_ANCHOR.format('exp(greatest(-20e0, least(20e0, dw))) * stride')} AS w, round_even(exp(greatest(-20e0, least(20e0, dh))) * stride / 1e3, 0) AS h FROM a""")
+def _(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").withColumn("stride", F.when(F.col("l_linenumber") % 3 == 0, 8).when(F.col("l_linenumber") % 3 == 1, 16).otherwise(32))
+    box = detection.decode_anchor(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 10.0 - 2.0, F.col("l_quantity") - 25.0, F.col("l_partkey") % 80, F.col("l_suppkey") % 80, F.col("stride"))
+    fine = {k: F.rint(v * 1e6) / 1e6 for k, v in box.items()} | {"h": F.rint(box["h"] / 1e3)}
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[v.alias(k) for k, v in fine.items()])
+
+
+@query("detect_plug_in", f"""WITH {fx.RASTERS}, p AS (SELECT vec_id, list_transform(luma, lambda v: round_even(v * 255e0, 0)) AS g FROM rasters),
+on_px AS (SELECT vec_id, len(list_filter(g, lambda v: v >= 128)) AS n, list_filter(range(64), lambda i: g[i + 1] >= 128) AS px FROM p)
+SELECT vec_id, 0 AS det, list_min(list_transform(px, lambda i: i % 8))::DOUBLE AS x, list_min(list_transform(px, lambda i: i // 8))::DOUBLE AS y,
+  (list_max(list_transform(px, lambda i: i % 8)) - list_min(list_transform(px, lambda i: i % 8)) + 1)::DOUBLE AS w, (list_max(list_transform(px, lambda i: i // 8)) - list_min(list_transform(px, lambda i: i // 8)) + 1)::DOUBLE AS h,
+  n / 64 AS score FROM on_px WHERE n > 0""")
+def _(spark, sf):
+    detection.register_detector("bright", fx.Bright)
+    photos = fx.photos(spark, sf).withColumnRenamed("vec_id", "image_id")
+    found = detection.regions_of(detection.detect(photos, "bright", pixels.decode))
+    return found.select(F.col("image_id").alias("vec_id"), "det", "x", "y", "w", "h", "score")
+
+
 # -- geometry ------------------------------------------------------------------
 
 
@@ -429,6 +457,42 @@ def _(spark, sf):
     return fx.rasters(spark, sf).select("vec_id", labels.alias("l")).select("vec_id", F.size(F.array_distinct("l")).cast("long").alias("components"), F.size("l").cast("long").alias("pixels"))
 
 
+_GREY = f"{fx.RASTERS}, grey AS (SELECT vec_id, list_transform(luma, lambda v: round_even(v * 255e0, 0)::INTEGER) AS g FROM rasters)"
+
+
+@query("png_round_trip", f"WITH {_GREY} SELECT vec_id, g AS pixels FROM grey")
+def _(spark, sf):
+    return fx.photos(spark, sf).mapInPandas(fx.shown(lambda image: image), "vec_id long, pixels array<int>")
+
+
+def _window_sql(left: int, top: int, wide: int, high: int, outside: str) -> str:
+    at = f"(i // {wide} + {top}) * 8 + i % {wide} + {left} + 1"
+    inside = f"i // {wide} + {top} BETWEEN 0 AND 7 AND i % {wide} + {left} BETWEEN 0 AND 7"
+    return f"WITH {_GREY} SELECT vec_id, list_transform(range({wide * high}), lambda i: CASE WHEN {inside} THEN g[{at}] ELSE {outside} END) AS pixels FROM grey"
+
+
+@query("crop_window", _window_sql(2, 1, 4, 5, "0"))
+def _(spark, sf):
+    return fx.photos(spark, sf).mapInPandas(fx.shown(lambda image: pixels.window(image, 2, 1, 6, 6)), "vec_id long, pixels array<int>")
+
+
+@query("fill_color", _window_sql(-2, -1, 12, 11, "7"))
+def _(spark, sf):
+    return fx.photos(spark, sf).mapInPandas(fx.shown(lambda image: pixels.window(image, -2, -1, 10, 10, "color", (7, 8, 9))), "vec_id long, pixels array<int>")
+
+
+@query("saturation", f"WITH {fx.RASTERS}, s AS (SELECT vec_id, {_SUM.format('list_transform(range(1, 65), lambda i: greatest(luma[i], matte[i], logits[i]) - least(luma[i], matte[i], logits[i]))')} / 64 AS s FROM rasters) SELECT vec_id, s AS saturation FROM s")
+def _(spark, sf):
+    return fx.rasters(spark, sf).select("vec_id", raster.saturation(F.col("luma"), F.col("matte"), F.col("logits")).alias("saturation"))
+
+
+@query("person_boxes", """WITH b AS (SELECT vec_id, vec_id % 5 - 1.3e0 AS x, 0.4e0 AS y, 2.5e0 + vec_id % 3 AS w, 4.2e0 AS h FROM embeddings)
+SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN i % 8 >= floor(greatest(x, 0)) AND i % 8 < ceil(x + w) AND i // 8 >= 0 AND i // 8 < ceil(y + h) THEN 255 ELSE 26 END) AS weights FROM b""")
+def _(spark, sf):
+    box = F.array(F.col("vec_id") % 5 - 1.3, F.lit(0.4), 2.5 + F.col("vec_id") % 3, F.lit(4.2))
+    return fx.photos(spark, sf).withColumn("box", box.cast("array<double>")).mapInPandas(fx.masked, "vec_id long, weights array<int>")
+
+
 # -- captions --------------------------------------------------------------------
 
 _PEEL_SQL = cap.PEEL.replace("'", "''")
@@ -558,6 +622,17 @@ def _(spark, sf):
     return numbering.number(distinct.withColumn("key", scan.walk_key(F.col("path"))), ["key"]).select("path", "index")
 
 
+_MARKED = f"{fx.PATHS}, marks AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM paths WHERE page_id % 7 = 0)"
+
+
+@query("marker_pruning", f"WITH {_MARKED} SELECT DISTINCT path FROM paths WHERE NOT EXISTS (SELECT 1 FROM marks WHERE folder <> '' AND starts_with(path, folder || '/'))")
+def _(spark, sf):
+    paths = fx.paths(spark, sf)
+    markers = paths.where("page_id % 7 = 0").select(F.regexp_replace("path", "/[^/]*$", "/manifest.jsonl").alias("path"))
+    kept = scan.without_marked(paths.select("path").unionAll(markers).distinct())
+    return kept.where(scan.name_of(F.col("path")) != "manifest.jsonl")
+
+
 @query("scan_limit", f"""WITH {fx.PATHS}, d AS (SELECT DISTINCT path FROM paths) SELECT path FROM (SELECT path, list_transform({_SEG}, lambda p, i: CASE WHEN i = len({_SEG}) THEN '0' ELSE '1' END || p) AS key FROM d) ORDER BY key LIMIT 20""")
 def _(spark, sf):
     return fx.paths(spark, sf).select("path").distinct().orderBy(scan.walk_key(F.col("path"))).limit(20)
@@ -657,6 +732,27 @@ def _(spark, sf):
     return again.select("event_id", F.from_json("j", "k BIGINT").getField("k").alias("k"))
 
 
+@query("manifest_file", f"""WITH {fx.LOG}, rows AS (SELECT "index", source, face_index, faces_in_image FROM log)
+SELECT "index", source, lpad("index"::VARCHAR, 6, '0') || '.png' AS image_file, face_index::INTEGER AS face_index, faces_in_image::INTEGER AS faces_in_image, '' AS caption, false AS recovered FROM rows""")
+def _(spark, sf):
+    """Written as one JSON-lines file in the place of an older one, and read again with its checks."""
+    rows = fx.manifest_rows(spark, sf)
+    path = f"{fx.scratch(spark)}/manifest.jsonl"
+    files.replace(spark, rows.limit(3), path)
+    files.replace(spark, rows, path)
+    return files.read(spark, path).select("index", "source", "image_file", "face_index", "faces_in_image", "caption", "recovered")
+
+
+@query("caption_files", "SELECT l_linenumber::BIGINT AS n, 'caption ' || l_linenumber || ', of it' AS caption FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
+def _(spark, sf):
+    """Written beside each other as text files, and read again."""
+    folder = fx.scratch(spark)
+    rows = fx.table(spark, sf, "lineitem").select("l_linenumber").distinct()
+    texts = rows.select(F.concat(F.col("l_linenumber").cast("string"), F.lit(".txt")).alias("path"), F.concat(F.lit("  caption "), F.col("l_linenumber").cast("string"), F.lit(", of it\n")).cast("binary").alias("body"))
+    texts.mapInPandas(runs.writer(folder), "written long").collect()
+    return files.captions(spark, folder).select(F.regexp_extract("file", r"(\d+)\.txt$", 1).cast("long").alias("n"), "caption")
+
+
 @query("required_field_check", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_tax = 0 THEN 'tax' ELSE 'flag' END AS missing FROM lineitem WHERE l_tax = 0 OR l_returnflag = 'N'")
 def _(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("tax"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"))

@@ -6,10 +6,19 @@ so that they make the same values.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernstone.functions import pixels
+from quernstone.operators import masks
+from quernstone.sources import manifest as files
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -96,6 +105,59 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and content: each luma raster as a grey PNG."""
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            bodies = [pixels.encode_png(np.rint(np.array(v) * 255.0).reshape(8, 8)) for v in frame["luma"]]
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "content": bodies})
+
+    return rasters(spark, sf_dir).select("vec_id", "luma").mapInPandas(encode, "vec_id long, content binary")
+
+
+def shown(change: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The first channel of each decoded photo after a change, row by row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            images = [change(pixels.decode(bytes(c)))[:, :, 0].ravel().astype(np.int32) for c in frame["content"]]
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "pixels": images})
+
+    return run
+
+
+def masked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Loss weights of each photo with one detection and a matte that finds nobody."""
+
+    class Nobody:
+        def matte(self, image: np.ndarray) -> np.ndarray:
+            return np.zeros(image.shape[:2])
+
+    for frame in frames:
+        made = [masks.crop_mask(pixels.decode(bytes(c)), [tuple(box)], {"person": Nobody()}, None) for c, box in zip(frame["content"], frame["box"])]
+        yield pd.DataFrame({"vec_id": frame["vec_id"], "weights": [m.weights.ravel().astype(np.int32) for m in made]})
+
+
+class Bright:
+    """A detector: the box around all bright pixels, scored by their share."""
+
+    offset_y = 0.0
+
+    def detect(self, image: np.ndarray) -> list[dict]:
+        row, column = np.nonzero(image[:, :, 0] >= 128)
+        if not len(row):
+            return []
+        x, y = int(column.min()), int(row.min())
+        return [{"x": float(x), "y": float(y), "w": float(column.max() - x + 1), "h": float(row.max() - y + 1), "score": len(row) / image[:, :, 0].size, "label": "bright", "landmarks": {}}]
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one, or below the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 # Openers of the made-up captions.
 CAPTION_OPENERS = ("This image shows ", "A close-up photo of ", "There is ", "the picture depicts ", "Sure, Caption: ", "In this photo, ", "", "")
 _OPENER_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(CAPTION_OPENERS)) + " END"
@@ -131,3 +193,11 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest as an interrupted run leaves it: some faces are there, some are not, some are none of the image's."""
     e = table(spark, sf_dir, "events")
     return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), (F.col("event_id") % 61).alias("face_index"), (1 + F.col("user_id") % 7).alias("faces_in_image"), F.col("event_id").alias("index"))
+
+
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as whole manifest rows."""
+    rows = log(spark, sf_dir).withColumns({"face_index": F.col("face_index").cast("int"), "faces_in_image": F.col("faces_in_image").cast("int")})
+    rows = rows.withColumns({"image_file": F.concat(F.format_string("%06d", "index"), F.lit(".png")), "tier": F.lit(256), "label": F.lit("face"), "crop": F.array(*[F.lit(float(k)) for k in range(4)])})
+    rows = rows.withColumns({c: F.lit(1.5) for c in ("score", "base_side", "fitted_side", "scale", "sharpness", "padding", "offset_y")} | {c: F.lit(False) for c in ("clamped", "extended")})
+    return spark.createDataFrame([], files.DDL).unionByName(rows, allowMissingColumns=True)

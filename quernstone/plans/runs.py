@@ -136,7 +136,7 @@ def _cut(images: DataFrame, s: Settings, decode: Callable[[bytes], object]) -> D
     return images.mapInPandas(run, CUT)
 
 
-def _write(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def writer(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Writes the files (path, body) below a folder that all executors reach."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +200,7 @@ def training_run(spark: SparkSession, settings: Settings, output: str, template:
         config |= {"unmasked_probability": 0.0, "unmasked_weight": 0.0}
     elif template and "masked_training" in template:
         config["masked_training"] = template["masked_training"]
-    spark.createDataFrame([("training_config.json", bytearray(json.dumps(config, indent=2).encode()))], "path string, body binary").mapInPandas(_write(output), "written long").collect()
+    spark.createDataFrame([("training_config.json", bytearray(json.dumps(config, indent=2).encode()))], "path string, body binary").mapInPandas(writer(output), "written long").collect()
     return config
 
 
@@ -335,7 +335,7 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
         for folder, files_ in outputs:
             _free(spark, files_.select("path"), folder)
     for folder, files_ in outputs:
-        files_.mapInPandas(_write(folder), "written long").agg(F.sum("written")).collect()
+        files_.mapInPandas(writer(folder), "written long").agg(F.sum("written")).collect()
     new = rows.drop("rank")
     full = spark.createDataFrame([], files.DDL).unionByName(new, allowMissingColumns=True)
     if old is not None:
@@ -454,7 +454,7 @@ def caption_run(spark: SparkSession, settings: Settings, output: str, staging: s
     if s.dry_run:
         return raw.count()
     written = raw.select(manifest.caption_file(F.col("image_file")).alias("path"), F.concat("new_caption", F.lit("\n")).cast("binary").alias("body"))
-    written.mapInPandas(_write(output), "written long").agg(F.sum("written")).collect()
+    written.mapInPandas(writer(output), "written long").agg(F.sum("written")).collect()
     known = state.where("not pending").select("image_file", F.col("caption").alias("old_caption"))
     full = rows.join(raw, "image_file", "left").join(known, "image_file", "left").withColumn("caption", F.coalesce("new_caption", "old_caption", "caption")).select(*files.FIELDS)
     full.write.mode("overwrite").parquet(f"{staging}/manifest")
