@@ -110,3 +110,12 @@ def test_stream_appends_once(spark, tmp_path):
     write(source / "b.json", [json.dumps(row(2))])
     incremental.append(incremental.rows(spark, f"file://{source}"), f"file://{target}", f"file://{tmp_path / 'cp'}")
     assert sorted(r["index"] for r in spark.read.parquet(f"file://{target}").collect()) == [1, 2]
+
+
+def test_statistics_in_one_join_equal_those_of_three_tables(spark):
+    images = spark.createDataFrame([(k,) for k in range(6)], "image_id long")
+    fates = spark.createDataFrame([(0, "written", True), (0, "written", False), (1, "blurry", True), (2, "too_small", None), (2, "written", False), (3, "no_face", False)], "image_id long, fate string, clamped boolean")
+    crops = fates.where("fate = 'written'")
+    skips = fates.where("fate <> 'written'").select(F.col("fate").alias("reason")).unionAll(spark.createDataFrame([("no_detection",)] * 2, "reason string"))
+    assert numbering.stats_of_fates(images, fates).collect() == numbering.run_stats(crops, skips, images).collect()
+    assert numbering.stats_of_fates(images.where("false"), fates.where("false")).first().asDict() == numbering.run_stats(crops.where("false"), skips.where("false"), images.where("false")).first().asDict()
