@@ -50,9 +50,9 @@ def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
 
 
 def decode(content: bytes) -> np.ndarray:
-    """An RGB image (h, w, 3) of an 8-bit PNG without interlacing, or of a binary PGM or PPM."""
+    """An RGB image (h, w, 3) of an 8-bit PNG without interlacing, upright, or of a binary PGM or PPM."""
     if content[:8] == SIGNATURE:
-        at, body, head, palette = 8, b"", None, None
+        at, body, head, palette, way = 8, b"", None, None, 1
         while at + 8 <= len(content):
             (size,), kind = struct.unpack(">I", content[at : at + 4]), content[at + 4 : at + 8]
             part = content[at + 8 : at + 8 + size]
@@ -62,6 +62,8 @@ def decode(content: bytes) -> np.ndarray:
                 palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
             elif kind == b"IDAT":
                 body += part
+            elif kind == b"eXIf":
+                way = orientation(part)
             at += 12 + size
         if head is None or head[2] != 8 or head[6]:
             raise ValueError("only 8-bit PNG without interlacing can be read")
@@ -69,8 +71,8 @@ def decode(content: bytes) -> np.ndarray:
         n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
         pixels = _unfiltered(np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n), n).reshape(h, w, n)
         if kind == 3:
-            return palette[pixels[:, :, 0]]
-        return np.repeat(pixels[:, :, :1], 3, axis=2) if n < 3 else np.ascontiguousarray(pixels[:, :, :3])
+            return turned(palette[pixels[:, :, 0]], way)
+        return turned(np.repeat(pixels[:, :, :1], 3, axis=2) if n < 3 else pixels[:, :, :3], way)
     if content[:2] in (b"P5", b"P6"):
         fields, at = [], 2
         while len(fields) < 3:
@@ -166,19 +168,82 @@ def isolated(matte: np.ndarray, box: tuple[float, float, float, float], least: f
     x, y, x2, y2 = box
     seed = np.zeros_like(on)
     seed[max(0, int(y)) : max(0, int(np.ceil(y2))), max(0, int(x)) : max(0, int(np.ceil(x2)))] = True
-    reached = on & seed
-    while True:
-        grown = np.pad(reached, 1)
-        grown = np.logical_or.reduce([grown[1 + dy : grown.shape[0] - 1 + dy, 1 + dx : grown.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)]) & on
-        if (grown == reached).all():
-            break
-        reached = grown
+    reached = touching(on, seed)
     if not reached.any():
         return None
     # a hair more, so that the soft edge of the matte stays
     return np.where(dilated(reached, max(1, min(on.shape) // 100)), matte, 0.0)
 
 
+def touching(on: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The 8-connected blobs that have a pixel in the seed: runs of rows are joined, not pixels."""
+    h, w = on.shape
+    edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1]  # one past the run
+    root = np.arange(len(row))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    starts = np.searchsorted(row, np.arange(h + 1))
+    for r in range(1, h):
+        i, j = starts[r - 1], starts[r]
+        while i < starts[r] and j < starts[r + 1]:
+            if first[i] <= last[j] and first[j] <= last[i]:  # corners touch as well
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+            if last[i] < last[j]:
+                i += 1
+            else:
+                j += 1
+    wanted = {find(k) for k in range(len(row)) if seed[row[k], first[k] : last[k]].any()}
+    out = np.zeros_like(on)
+    for k in range(len(row)):
+        if find(k) in wanted:
+            out[row[k], first[k] : last[k]] = True
+    return out
+
+
+def closed(on: np.ndarray) -> np.ndarray:
+    """Grown by a pixel to each side and shrunk again: small gaps close."""
+    return ~dilated(~np.pad(dilated(np.pad(on, 2), 1), 1, constant_values=False), 1)[3:-3, 3:-3]
+
+
+def letterbox(image: np.ndarray, side: int = 640, grey: int = 114) -> tuple[np.ndarray, float]:
+    """(the image in the upper left of a grey square, in its shape; its scale there)."""
+    h, w = image.shape[:2]
+    ratio = min(side / h, side / w)
+    wide, high = max(1, int(w * ratio)), max(1, int(h * ratio))
+    out = np.full((side, side, 3), grey, np.uint8)
+    out[:high, :wide] = resize(image, wide, high)
+    return out, ratio
+
+
+def turned(image: np.ndarray, orientation: int) -> np.ndarray:
+    """Upright, by the orientation (1 to 8) that a camera noted."""
+    if orientation in (2, 4, 5, 7):
+        image = image[:, ::-1]
+    return np.ascontiguousarray(np.rot90(image, {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(orientation, 0)))
+
+
+def orientation(exif: bytes) -> int:
+    """The orientation of an EXIF block (a TIFF header and its first directory); 1 where it has none."""
+    order = {b"II": "<", b"MM": ">"}.get(exif[:2])
+    if order is None or len(exif) < 10:
+        return 1
+    (at,) = struct.unpack(order + "I", exif[4:8])
+    (n,) = struct.unpack(order + "H", exif[at : at + 2]) if at + 2 <= len(exif) else (0,)
+    for k in range(n):
+        entry = exif[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(entry) == 12 and struct.unpack(order + "H", entry[:2])[0] == 0x0112:
+            return struct.unpack(order + "H", entry[8:10])[0]
+    return 1
+
+
 def dilated(on: np.ndarray, radius: int) -> np.ndarray:
     """Grown by a disc of that radius."""
     h, w = on.shape

@@ -37,6 +37,49 @@ def needed(faces: bool, outline: bool, person: bool, clothing: bool) -> dict[str
     return {k: _models[k] for k in kinds}
 
 
+# The square around a face (of its larger side, and raised by a share of its height),
+# the share of a box that its outline must cover, and the deviation of the feather.
+HEAD, RAISED, COVER, FEATHER = 2.0, 0.1, 0.08, 0.6
+
+
+@dataclass
+class FaceOutline:
+    """An "outline" model from a parser: parse(square image) gives the matte of all faces in it."""
+
+    parse: Callable[[np.ndarray], np.ndarray]
+
+    def outline(self, image: np.ndarray, boxes: Sequence[Box]) -> tuple[np.ndarray, list[Box]]:
+        out, missed = np.zeros(image.shape[:2]), []
+        for box in boxes:
+            found = self._one(image, box)
+            if found is None:
+                missed.append(box)
+            else:
+                out = np.maximum(out, found)
+        return out, missed
+
+    def _one(self, image: np.ndarray, box: Box) -> np.ndarray | None:
+        """The outline of the face in one box, in the whole image; None where the parser sees none there."""
+        x, y, w, h = box
+        side = max(2, int(np.ceil(HEAD * max(w, h))))
+        left, top = (int(np.floor(c - side / 2)) for c in (x + w / 2, y + h / 2 - RAISED * h))
+        rows, columns = (slice(max(0, a), min(n, a + side)) for a, n in ((top, image.shape[0]), (left, image.shape[1])))
+        if rows.start >= rows.stop or columns.start >= columns.stop:
+            return None
+        matte = np.zeros(image.shape[:2])
+        head = self.parse(pixels.window(image, left, top, left + side, top + side, "edge"))
+        matte[rows, columns] = head[rows.start - top : rows.stop - top, columns.start - left : columns.stop - left] >= 0.5
+        inside = box_person(matte.shape, box) > 0
+        face = pixels.touching(matte > 0, inside)
+        if not face.any() or (face & inside).sum() < COVER * inside.sum():
+            return None
+        face = pixels.closed(face)
+        soft = np.maximum(face, pixels.blurred(pixels.dilated(face, 1).astype(np.float64), FEATHER))
+        only = np.zeros_like(matte)
+        only[rows, columns] = soft[rows, columns]
+        return only
+
+
 @dataclass
 class Mask:
     weights: np.ndarray

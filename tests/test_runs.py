@@ -1,5 +1,7 @@
 import json
 import os
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -82,6 +84,52 @@ def test_masks():
     assert oval[48, 50] == 0 and oval[0, 0] == 255
 
 
+def test_upright_photos():
+    image = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    body = pixels.encode_png(image)
+    # how a viewer shows a stored image: flipped, turned by quarters to the right
+    shown = {1: image, 2: image[:, ::-1], 3: image[::-1, ::-1], 4: image[::-1], 5: image.transpose(1, 0, 2), 6: np.rot90(image, -1), 7: image[::-1, ::-1].transpose(1, 0, 2), 8: np.rot90(image)}
+    for order, mark in ((">", b"MM"), ("<", b"II")):
+        for way, want in shown.items():
+            exif = mark + struct.pack(order + "HIHHHIHHI", 42, 8, 1, 0x0112, 3, 1, way, 0, 0)
+            chunk = struct.pack(">I", len(exif)) + b"eXIf" + exif + struct.pack(">I", zlib.crc32(b"eXIf" + exif))
+            assert np.array_equal(pixels.decode(body[:33] + chunk + body[33:]), want), way
+    assert pixels.orientation(b"") == pixels.orientation(b"MM\0*\0\0\0\x08") == 1
+
+
+def test_letterbox():
+    out, ratio = pixels.letterbox(np.full((50, 100, 3), 9, np.uint8), 64)
+    assert ratio == 0.64 and out.shape == (64, 64, 3) and (out[:32] == 9).all() and (out[32:] == 114).all()
+
+
+def test_blobs_that_touch_a_seed():
+    r = np.random.default_rng(6)
+    for _ in range(40):
+        on, seed = r.random((13, 17)) < r.choice([0.2, 0.5, 0.7]), r.random((13, 17)) < 0.02
+        want = on & seed
+        while True:
+            wide = np.pad(want, 1)
+            grown = on & np.logical_or.reduce([wide[1 + dy : 14 + dy, 1 + dx : 18 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+            if (grown == want).all():
+                break
+            want = grown
+        assert (pixels.touching(on, seed) == want).all()
+
+
+def test_face_outlines():
+    image = np.full((80, 100, 3), 50, np.uint8)
+    image[30:50, 40:56] = 200  # a face, and one of a neighbour
+    image[5:15, 80:95] = 200
+    image[38:40, 46:48] = 50  # a gap
+    model = masks.FaceOutline(lambda head: (head[:, :, 0] > 100).astype(float))
+    matte, missed = model.outline(image, [(38, 28, 20, 24), (2, 60, 10, 10)])
+    assert missed == [(2, 60, 10, 10)] and matte[31:49, 41:55].min() == 1 and matte[:20].max() == 0
+    assert 0 < matte[29, 45] < 1 and matte[26, 45] == 0
+    corner, missed = model.outline(image, [(78, 0, 22, 18)])
+    assert not missed and corner[6:14, 81:94].min() == 1 and corner.shape == (80, 100)
+    assert model.outline(image, [(200, 200, 10, 10)])[1]
+
+
 def test_crop_run_and_captions(spark, photos):
     spark.sparkContext.addPyFile(stubs.__file__)
     root, output, staging = paths(photos)
