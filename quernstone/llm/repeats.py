@@ -158,7 +158,7 @@ def _windows(units: DataFrame, length: int) -> DataFrame:
 
 
 def _marked(cells: DataFrame) -> DataFrame:
-    """id, hash, place, core, often, unit: cells whose whole stands beside its like (often), and units."""
+    """id, hash, place, core, often, unit of every cell: whether its whole stands beside its like, and whether it is a unit."""
     dealt = cells.repartitionByRange("core", "whole", "id", "place").sortWithinPartitions("core", "whole", "id", "place")
 
     def mark(rows: pa.Table) -> pa.RecordBatch:
@@ -173,8 +173,7 @@ def _marked(cells: DataFrame) -> DataFrame:
         several[[0, -1]] = True  # what lies beyond the cut is not seen here
         often = np.repeat(times > 1, times)
         unit = first & several[of_core]
-        keep = np.flatnonzero(often | unit)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, hashes, place, core, often, unit)], names=["id", "hash", "place", "core", "often", "unit"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, hashes, place, core, often, unit)], names=["id", "hash", "place", "core", "often", "unit"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -196,7 +195,7 @@ def marks(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
         raise ValueError(f"passages must have at least {CELL + TRIGGER} bytes")
     staged = Staging(spark, "repeats")
     cells = staged.put("cells", _cell_places(docs, length))  # the sort reads them twice
-    marked = staged.put("marked", _marked(cells), slim=True)
+    marked = staged.put("marked", _marked(cells).where("often or unit"), slim=True)
     staged.drop("cells")
     listed = marked.where("unit").groupBy("id", "hash").agg(F.collect_list(F.struct("core", "place", "often")).alias("units"))
     listed = staged.put("listed", listed)
