@@ -7,9 +7,11 @@ out of the training. Their nearest others among all rows are found by brute forc
 and the number of probes is the least with which TARGET of these are in a probed list (few in
 clustered data, many in shapeless data). An index row is its list, its code of one byte a subspace, and its vector. Lists are cut
 into blocks of BLOCK rows after a range sort on (list, hash), so that a list that holds a third of
-all rows lies in many tasks. A query probes the lists with the nearest centroids; blocks of
-queries meet blocks of rows by an equi-join on the list. Within a pair of blocks, asymmetric
-distance tables give each row's estimate, the RERANK best rows of each block are scored exactly, and the
+all rows lies in many tasks. A query probes the lists with the nearest centroids. Lists are dealt
+to at most SHARDS shards, and a query goes once to each shard in which it probes a list, with a
+bit for each of these, so that its copies have a bound; blocks of queries meet blocks of rows by
+an equi-join on the shard. Within a pair of blocks, for the queries that probe the block's list,
+asymmetric distance tables give each row's estimate, the RERANK best rows of each block are scored exactly, and the
 best k stay; a window takes the best k over all blocks.
 
 Nearness is the largest cosine of the original vectors in double precision, so unit vectors
@@ -38,6 +40,7 @@ RERANK = 64
 TARGET = 0.97
 TRIALS = 256
 CODES = 256
+SHARDS = 128
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -169,6 +172,8 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
     held = min(TRIALS, len(sample) // 4)
     trials, index = unit(sample[:held]), Index(sample[held:], n)
     index.probes = index.enough(trials, brute(rows, trials, d, k))
+    shards = min(SHARDS, len(index.centres))
+    width = -(-len(index.centres) // (8 * shards))  # bytes of a query's bits in a shard
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +187,11 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
             if batch.num_rows:
                 x = matrix(batch.column(1), d)
                 lists = index.probe(x)
-                ids, packed, p = batch.column(0).to_numpy(), [r.tobytes() for r in x], lists.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int64()), pa.array(np.repeat(ids, p)), pa.array([r for r in packed for _ in range(p)], pa.binary()), pa.array([b""] * (len(ids) * p), pa.binary())], names=["list", "vec_id", "row", "extra"])
+                wanted = np.zeros((len(x), shards, width * 8), bool)
+                wanted[np.arange(len(x))[:, None], lists % shards, lists // shards] = True
+                query, shard = np.nonzero(wanted.any(axis=2))
+                packed, bits = [r.tobytes() for r in x], np.packbits(wanted[query, shard], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(query)), pa.array([packed[k] for k in query], pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary())], names=["list", "vec_id", "row", "extra"])
 
     fields = "list long, vec_id long, row binary, extra binary"
 
@@ -195,13 +203,17 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
     blocks = staged.put("blocks", packed(indexed, BLOCK))
     asked = staged.put("queries", packed(queries_of(rows, wanted).mapInArrow(lean(probe), fields), QUERY_BLOCK))
     staged.drop("index")
-    pairs = asked.select("list", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")).join(blocks, "list")
+    asked = asked.select(F.col("list").alias("shard"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("extra").alias("q_bits"))
+    pairs = asked.join(blocks.withColumn("shard", F.pmod("list", F.lit(shards))), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for of, q_ids, q, ids, x, codes in zip(*[c.to_pylist() for c in batch.columns]):
-                found = search_block(index, of, np.frombuffer(q_ids, "<i8"), np.frombuffer(q).reshape(-1, d), np.frombuffer(ids, "<i8"), np.frombuffer(x).reshape(-1, d), np.frombuffer(codes, np.uint8).reshape(-1, len(index.spans)), k)
+            for of, q_ids, q, bits, ids, x, codes in zip(*[c.to_pylist() for c in batch.columns]):
+                probes = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=1)[:, of // shards] > 0
+                if not probes.any():
+                    continue
+                found = search_block(index, of, np.frombuffer(q_ids, "<i8")[probes], np.frombuffer(q).reshape(-1, d)[probes], np.frombuffer(ids, "<i8"), np.frombuffer(x).reshape(-1, d), np.frombuffer(codes, np.uint8).reshape(-1, len(index.spans)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("list", "q_ids", "q_rows", "ids", "rows", "extra").mapInArrow(lean(run), "query_id long, vec_id long, score double")
+    found = pairs.select("list", "q_ids", "q_rows", "q_bits", "ids", "rows", "extra").mapInArrow(lean(run), "query_id long, vec_id long, score double")
     return best(found, k)

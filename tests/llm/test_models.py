@@ -159,6 +159,15 @@ def test_pages(spark):
     assert np.mean([f'lang="{r.language}"' in r.html for r in rows]) > 0.95
 
 
+def test_odd_pages(spark):
+    page = '<html lang="EN-us"><body>' + "the cat and the dog " * 30 + "</body></html>"
+    rows = [(1, "http://a.example/x", page), (2, None, page), (3, "http://a.example/", None), (None, None, None), (4, "nonsense", ""), (1, "http://a.example/x", page)]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, visible string")
+    got = sorted(language.identify_pages(spark, df).collect(), key=lambda r: (r.page_id or 0, r.language))
+    assert [(r.page_id, r.language, r.accepted, r.visible) for r in got] == [(None, "und", False, "mine"), (1, "en", True, "mine"), (1, "en", True, "mine"), (2, "en", True, "mine"), (3, "und", False, "mine"), (4, "und", False, "mine")]
+    assert language.identify_pages(spark, df.where("false")).count() == 0
+
+
 def test_language_of_odd_rows(spark, docs_of):
     docs = docs_of(["the cat and the dog " * 30, "", None, "123 !!", "the dog", "the dog"], ids=[0, 1, None, 3, 4, 4])
     rows = language.identify_documents(spark, docs).collect()
