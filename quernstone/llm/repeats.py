@@ -48,7 +48,7 @@ TRIGGER = 16
 PERIODS = (128, 32, 4)
 CELL = 120
 #: Cells that a task reads at once.
-HELD = 1 << 18
+HELD = 1 << 16
 
 _core: Rolling | None = None
 _whole: Rolling | None = None
