@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -42,6 +43,59 @@ def test_sum_of_squares_identity():
         assert np.isclose(raw[k], 0.1 + model.weights[f] @ v + pairs)
 
 
+def plain_features(text, declared):
+    """(hashed words, statistics) of a text by a walk over its bytes."""
+    raw = (text or "").encode()
+    spaces = bytes([32, *range(9, 14)])
+    words, word = [], b""
+    for b in raw + b" ":
+        if b in spaces:
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([b])
+    rolling, mask = quality.Rolling(71), (1 << 64) - 1
+
+    def hashed(w):
+        x = sum(int(rolling.values[b]) * pow(rolling.base, k, 1 << 64) for k, b in enumerate(w)) + len(w) * 0xD6E8FEB86659FD93 & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & mask
+        return x ^ x >> 31
+
+    n = max(1, len(raw))
+    share = lambda test: sum(map(test, raw)) / n
+    digit, capital, space, high = (lambda b: 48 <= b <= 57), (lambda b: 65 <= b <= 90), (lambda b: b in spaces), (lambda b: b >= 128)
+    letter = lambda b: capital(b) or 97 <= b <= 122 or high(b)
+    lines = raw.split(b"\n")
+    stats = [math.log1p(len(words)), math.log1p(len(raw)), share(lambda b: not (letter(b) or digit(b) or space(b))), share(digit), share(capital), share(space), share(high),
+             sum(map(len, words)) / max(1, len(words)), len({*words}) / max(1, len(words)), len({*lines}) / len(lines), math.log1p(len(words) / len(lines)),
+             sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)), share(lambda b: b == 124), 0.0 if declared is None else math.log1p(max(0, declared)), float(declared is None)]
+    return sorted({hashed(w) % quality.WORDS for w in words}), stats
+
+
+def plain_score(model, text, declared):
+    """All pairs of features, one by one."""
+    words, stats = plain_features(text, declared)
+    x = {w: 1 / math.sqrt(len(words)) for w in words}
+    for j, value in enumerate(stats):
+        base = quality.WORDS + j * (quality.BINS + 2)
+        x[base] = min(3.0, max(-3.0, (value - model.centre[j]) / model.scale[j])) / 3 * 0.5
+        x[base + 1 + sum(edge <= value for edge in model.edges[j])] = 0.5
+    raw = model.bias + sum(model.weights[i] * v for i, v in x.items())
+    raw += sum(float(model.factors[i] @ model.factors[j]) * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, raw))))
+
+
+def test_scores_equal_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert np.abs(model.factors).max() > 0.05 and np.abs(model.weights).max() > 0.05
+    some = [r for r in docs.orderBy("doc_id").collect() if len(r.text) < 1500][:25]
+    rows = [(r.doc_id, r.text, r.n_chars) for r in some] + [(-1, None, None), (-2, "", 5), (-3, "12 | 12 | É\n\n12", -4), (-4, "a\x0bb c", None)]
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), model).collect()
+    assert np.allclose([r.score for r in got], [plain_score(model, t, n) for _, t, n in rows], rtol=1e-9, atol=1e-12)
+
+
 def test_odd_rows(spark, docs_of):
     docs = docs_of(["", None, "word " * 20_000, "a b", "a b"], ids=[0, None, 2, 3, 3])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
