@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ class Detector(Protocol):
 
     #: Added to the vertical recentring where none is set.
     offset_y: float
+    #: Whether `detect` wants its channels as blue, green, red.
+    bgr: bool
 
     def detect(self, image: object) -> list[dict]: ...
 
@@ -42,6 +45,10 @@ def detector(name: str) -> Callable[..., Detector]:
     return _detectors[name]
 
 
+def regions_in(found_by: Detector, image: np.ndarray) -> list[dict]:
+    return found_by.detect(np.ascontiguousarray(image[:, :, ::-1]) if getattr(found_by, "bgr", False) else image)
+
+
 def detect(images: DataFrame, name: str, decode: Callable[[bytes], object], **options: object) -> DataFrame:
     """(image_id, regions array, offset_y, error) of images (image_id, content); an image's error drops all its regions."""
     import pandas as pd
@@ -55,7 +62,7 @@ def detect(images: DataFrame, name: str, decode: Callable[[bytes], object], **op
             rows = []
             for image_id, content in zip(frame["image_id"], frame["content"]):
                 try:
-                    rows.append((image_id, own.detect(decode(content)), offset, ""))
+                    rows.append((image_id, regions_in(own, decode(content)), offset, ""))
                 except Exception as error:  # contained: one bad photo must not stop a run
                     rows.append((image_id, [], offset, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["image_id", "regions", "offset_y", "error"])

@@ -114,7 +114,7 @@ def _cut(images: DataFrame, s: Settings, decode: Callable[[bytes], object]) -> D
             return sharpness, None, None, 0, None, 0.0, "blurry"
         if not s.masks:
             return sharpness, encode(out, s.quality), None, 0, None, 0.0, "written"
-        found = [(f["x"], f["y"], f["w"], f["h"]) for f in faces.detect(out) if f["score"] >= s.mask_min_score] if faces else None
+        found = [(f["x"], f["y"], f["w"], f["h"]) for f in detection.regions_in(faces, out) if f["score"] >= s.mask_min_score] if faces else None
         if found == [] and s.mask_missing == "skip":
             return sharpness, None, None, 0, None, 0.0, "no_face"
         mask = masks.crop_mask(out, boxes, own, found, s.mask_margin, s.background_weight, s.clothing_weight)
@@ -204,10 +204,6 @@ def training_run(spark: SparkSession, settings: Settings, output: str, template:
     return config
 
 
-#: Settings that are checked and documented, but that no stage of a crop run carries out.
-NOT_INCLUDED = ("follow_symlinks",)
-
-
 def _below(root: str, folder: str) -> list[str]:
     """The folder's path under root, if it lies there."""
     bare = [re.sub(r"^[a-z]+:/*", "/", x.rstrip("/")) for x in (root, folder)]
@@ -231,16 +227,13 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
     on_event hears of stages ("info", "progress") and of images that failed ("warn", a few of them).
     """
     s = settings.checked()
-    missing = [name for name in NOT_INCLUDED if getattr(s, name)]
-    if missing:
-        raise NotImplementedError(f"crop_run has no stage for {', '.join(missing)}")
     if s.upscale and not _upscalers:
         raise NotImplementedError("crop_run has no model for upscale; register_upscaler adds one")
     if s.extension not in _encoders:
         raise NotImplementedError(f"crop_run has no encoder for {s.extension}; register_encoder adds one")
     mask_root = (s.mask_dir.expanduser().resolve().as_uri() if isinstance(s.mask_dir, Path) else s.mask_dir) if s.masks and s.mask_dir else None
     skip = [*_below(root, output), *(_below(root, mask_root) if mask_root else [])]
-    photos = scan.scan(spark, root, exclude=s.exclude, skip=skip, limit=s.limit)
+    photos = scan.scan(spark, root, exclude=s.exclude, skip=skip, limit=s.limit, follow=s.follow_symlinks)
     manifest_path = f"{output}/manifest.jsonl"
     system = spark._jvm.org.apache.hadoop.fs.Path(manifest_path).getFileSystem(spark._jsc.hadoopConfiguration())
     exists = system.exists(spark._jvm.org.apache.hadoop.fs.Path(manifest_path))
@@ -252,7 +245,7 @@ def crop_run(spark: SparkSession, settings: Settings, root: str, output: str, st
         raise ValueError("a rebuilt manifest has no sources to resume from")
     sources = photos.select("file", F.col("path").alias("source"))
     left = manifest.remaining(sources, old) if old is not None else sources
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("file"), "content")
+    content = scan.listed(spark, root, content=True, follow=s.follow_symlinks).select("file", "content")
     images = left.join(content, "file").select(F.col("source").alias("image_id"), "content")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

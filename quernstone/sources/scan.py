@@ -7,6 +7,7 @@ before any content is read.
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Sequence
 
@@ -90,20 +91,45 @@ def walk_key(path: Column) -> Column:
     return F.transform(own, lambda p, i: F.struct(F.when(i + 1 == last, 0).otherwise(1).alias("folder"), p.alias("name")))
 
 
-def listed(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+def walked(root: str, follow: bool) -> list[str] | None:
+    """The files under a local root that has links to folders: without these or, if they are followed,
+    each folder once. None where there are no such links, and on other file systems, which have none."""
+    if not root.startswith(("file:", "/")):
+        return None
+    base = re.sub(r"^file:/*", "/", root)
+    if not any(os.path.islink(os.path.join(here, f)) for here, folders, _ in os.walk(base) for f in folders):
+        return None
+    out, seen = [], set()
+    for here, folders, names in os.walk(base, followlinks=follow):
+        place = os.stat(here)
+        if (place.st_dev, place.st_ino) in seen:
+            folders.clear()
+            continue
+        seen.add((place.st_dev, place.st_ino))
+        folders.sort()
+        out += [f"file://{here}/{name}" for name in names]
+    return out
+
+
+def listed(spark: SparkSession, root: str, content: bool = False, follow: bool = False) -> DataFrame:
     """file, path (relative to root), length of all files under root, and content if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", *(["content"] if content else []))
+    names = ["path", "length", *(["content"] if content else [])]
+    found = walked(root, follow)  # a listing by Spark would follow links, and go round in loops
+    if found == []:
+        files = spark.createDataFrame([], "path string, length long" + (", content binary" if content else ""))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root if found is None else found).select(*names)
     base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
-    return files.select(F.col("path").alias("file"), relative.alias("path"), "length", *(["content"] if content else []))
+    return files.select(F.col("path").alias("file"), relative.alias("path"), *names[1:])
 
 
-def scan(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, exclude: Sequence[str] = (), skip: Sequence[str] = (), marker: str | None = "manifest.jsonl", limit: int = 0) -> DataFrame:
+def scan(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, exclude: Sequence[str] = (), skip: Sequence[str] = (), marker: str | None = "manifest.jsonl", limit: int = 0, follow: bool = False) -> DataFrame:
     """path (relative), file, length of the images under root, in walk order if limited.
 
     Only metadata is read: `content` stays out of the plan until a later join or read.
     """
-    rows = listed(spark, root)
+    rows = listed(spark, root, follow=follow)
     if marker:
         rows = without_marked(rows, marker)
     path = F.col("path")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import struct
@@ -12,6 +13,8 @@ from quernstone.config import Settings
 from quernstone.functions import pixels
 from quernstone.operators import detection, masks
 from quernstone.plans import runs
+from quernstone.sources import models as fetched
+from quernstone.sources import scan
 
 detection.register_detector("stub", stubs.OneFace)
 
@@ -321,8 +324,49 @@ def test_whole_photos(spark, photos):
     assert stats["written"] == 3 and stats["too_small"] == 2
 
 
-@pytest.mark.parametrize("name", ["follow_symlinks", "upscale"])
-def test_settings_without_a_stage_are_refused(name, spark, photos):
-    with pytest.raises(NotImplementedError, match=name):
-        runs.crop_run(spark, settings(**{name: True}), *paths(photos))
+def test_enlarging_without_a_model_is_refused(spark, photos):
+    with pytest.raises(NotImplementedError, match="upscale"):
+        runs.crop_run(spark, settings(upscale=True), *paths(photos))
     assert not (photos / "out").exists()
+
+
+@pytest.mark.parametrize("follow, sources", [(False, ["b.png", "z.png", "a/x.png"]), (True, ["b.png", "z.png", "a/x.png", "link/y.png"])])
+def test_symbolic_links(spark, photos, models, follow, sources):
+    root, output, staging = paths(photos)
+    (photos / "other").mkdir()
+    (photos / "other/y.png").write_bytes((photos / "in/b.png").read_bytes())
+    (photos / "in/link").symlink_to(photos / "other")
+    (photos / "in/z.png").symlink_to(photos / "other/y.png")
+    (photos / "in/a/loop").symlink_to(photos / "in")
+    (photos / "other/again").symlink_to(photos / "in/a")
+    runs.crop_run(spark, body(follow_symlinks=follow), root, output, staging)
+    assert [r["source"] for r in lines_of(photos / "out")] == sources
+    assert scan.walked("s3a://bucket/x", follow) is None and scan.walked(output, follow) is None
+
+
+def test_model_files(tmp_path):
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far/m.onnx").write_bytes(b"weights")
+    url, good = (tmp_path / "far/m.onnx").as_uri(), hashlib.sha256(b"weights").hexdigest()
+    with pytest.raises(ValueError, match="sum"):
+        fetched.fetch(url, "0" * 64, tmp_path / "near")
+    assert list((tmp_path / "near").iterdir()) == []
+    assert fetched.fetch(url, good, tmp_path / "near").read_bytes() == b"weights"
+    (tmp_path / "far/m.onnx").write_bytes(b"others")
+    assert fetched.fetch(url, good, tmp_path / "near").read_bytes() == b"weights"
+    (tmp_path / "near/m.onnx").unlink()
+    with pytest.raises(ValueError, match="sum"):
+        fetched.fetch(url, good, tmp_path / "near")
+
+
+def test_channels_of_a_detector():
+    class First:
+        bgr = True
+
+        def detect(self, image):
+            return image[0, 0].tolist()
+
+    image = np.array([[[1, 2, 3]]], np.uint8)
+    assert detection.regions_in(First(), image) == [3, 2, 1]
+    First.bgr = False
+    assert detection.regions_in(First(), image) == [1, 2, 3]
