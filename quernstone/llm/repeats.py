@@ -175,16 +175,20 @@ def _marked(cells: DataFrame) -> DataFrame:
         unit = first & several[of_core]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, hashes, place, core, often, unit)], names=["id", "hash", "place", "core", "often", "unit"])
 
+    def sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, rows.num_rows, 1 << 13):  # what the JVM gets at once
+            yield rows.slice(lo, 1 << 13)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) >= HELD:
-                yield mark(pa.Table.from_batches(held))
+                yield from sliced(mark(pa.Table.from_batches(held)))
                 held.clear()
         if held:
-            yield mark(pa.Table.from_batches(held))
+            yield from sliced(mark(pa.Table.from_batches(held)))
 
     return dealt.mapInArrow(lean(run), "id long, hash long, place long, core long, often boolean, unit boolean")
 
