@@ -64,6 +64,30 @@ def test_top_k_equals_brute_force(spark):
     assert {tuple(r) for r in rows} == want
 
 
+def test_driver_gets_little_however_many_tasks(spark, tmp_path):
+    """24 tasks with 1.1 MB of possible seed rows each, and copies of the queries that could be broadcast."""
+    hashed = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (F.pmod(F.xxhash64("id", k), F.lit(2001)) / 1000 - 1).cast("float"))
+    spark.range(0, 60_000, 1, 24).select(F.col("id").alias("vec_id"), hashed.alias("embedding")).write.parquet(f"{tmp_path}/rows")
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "12m")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/rows").repartition(24)
+        out = topk.search(spark, rows, F.col("vec_id") % 1000 == 0)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in out.collect()}
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    held = rows.orderBy("vec_id").collect()
+    w = topk.weights(np.array([r.embedding for r in held], np.float64))
+    want = set()
+    for q in range(0, len(w), 1000):
+        score = w @ w[q]
+        score[q] = np.iinfo(np.int64).min + 1
+        want |= {(q, k + 1, int(j), int(score[j])) for k, j in enumerate(np.lexsort((np.arange(len(w)), -score))[:5])}
+    assert got == want
+
+
 def test_pruning_skips_blocks_of_a_table(spark):
     """Rows of 40 clusters, dealt at random: like rows meet in a block, so that bounds exclude most blocks."""
     r = np.random.default_rng(7)
