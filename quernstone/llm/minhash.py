@@ -16,7 +16,9 @@
    make all pairs. A pair is tested in the first band that it shares. It passes if its odd sketches
    are within MARGIN of the threshold, and then if odd sketches of the whole sets (4 bits a shingle)
    are within SIGMAS deviations of it. Of the pairs of a probe with one component that are beyond
-   the threshold by SIGMAS deviations, one is enough.
+   the threshold by SIGMAS deviations, one is enough. Rows of crowded band values (MANY classes or
+   more, PROBES of them probes) carry their full sets, and what the sketches leave open is decided
+   there, so that the pairs that leave a band value do not grow with the square of its classes.
 5. What passes is confirmed on the full sets. Components by contraction, in the second round of
    the first round's components; every document gets the smallest id of its component.
 
@@ -50,6 +52,7 @@ MARGIN, CLOSE = 0.25, 0.05
 SIGMAS = 5.5
 BLOCK = 64
 CROWD, MOST = 16, 4096
+MANY, PROBES = 64, 16
 #: Slots of the table of wanted ids that is sent to all tasks: its size bound.
 SLOTS = 1 << 18
 LAST = (1 << 63) - 1
@@ -178,6 +181,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return text_buffer(column)[0].reshape(-1, width)
 
 
+def alike(x: np.ndarray, y: np.ndarray, share: int) -> bool:
+    """Whether two sorted sets have a similarity of `share` hundredths."""
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+    return 100 * both >= share * (len(x) + len(y) - both)
+
+
 def row_keys(docs: DataFrame) -> list[Column]:
     """Two hashes that tell rows apart by id and text."""
     return [F.xxhash64(F.lit(k), docs["doc_id"].cast("long"), docs["text"]) for k in (1, 2)]
@@ -266,11 +275,11 @@ def partners(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """band, place, probing and lists of nodes, components, sketches, sizes, probes: up to BLOCK rows of one band value."""
+    """band, place, probing and lists of nodes, components, sketches, sizes, sets, probes: up to BLOCK rows of one band value."""
     mixed = rows.withColumn("turn", F.xxhash64("node"))
     # probes first, so that they share few blocks; a frequent band value spans partitions
     dealt = mixed.repartitionByRange("band", "rest", "turn").sortWithinPartitions("band", "rest", "turn").drop("turn")
-    names = ["node", "label", "marks", "odd", "whole", "n_shingles", "rest"]
+    names = ["node", "label", "marks", "odd", "whole", "n_shingles", "set", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -296,17 +305,18 @@ def blocks(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield emit(held)
 
-    fields = "band long, place int, probing boolean, node array<binary>, label array<long>, marks array<binary>, odd array<binary>, whole array<binary>, n_shingles array<long>, rest array<boolean>"
+    fields = "band long, place int, probing boolean, node array<binary>, label array<long>, marks array<binary>, odd array<binary>, whole array<binary>, n_shingles array<long>, set array<binary>, rest array<boolean>"
     return dealt.select("band", "place", *names).mapInArrow(lean(run), fields)
 
 
 class Side:
-    """One block's rows, with whole sketches by width."""
+    """One block's rows, with whole sketches by width, and sets where the band value is crowded."""
 
-    def __init__(self, node: pa.Array, label: pa.Array, marks: pa.Array, odd: pa.Array, whole: pa.Array, sizes: pa.Array):
+    def __init__(self, node: pa.Array, label: pa.Array, marks: pa.Array, odd: pa.Array, whole: pa.Array, sizes: pa.Array, sets: pa.Array):
         self.node, self.label, self.odd = _matrix(node, 24), label.to_numpy(), _matrix(odd, BITS // 8)
         self.marks = _matrix(marks, 4 * BANDS).view("<u4")
         self.whole, self.sizes = [np.frombuffer(x, np.uint8) for x in whole.to_pylist()], sizes.to_numpy()
+        self.sets = [None if x is None else np.frombuffer(x, U64) for x in sets.to_pylist()]
         self.widths = np.array([len(x) for x in self.whole])
         self.by_width = {w: np.stack([self.whole[k] for k in np.flatnonzero(self.widths == w)]) for w in np.unique(self.widths)}
 
@@ -324,10 +334,12 @@ class Side:
 
 
 def across(dealt: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a probe and a row of another component that pass both sketches; of those
-    of one component that are surely linked to the probe, one."""
+    """Pairs (a, b) of a probe and a row of another component that pass both sketches and, where
+    their band value is crowded, the test of full sets; of those of one component that are surely
+    linked to the probe, one."""
     limit = most_bits(threshold, MARGIN)
-    names = ["node", "label", "marks", "odd", "whole", "n_shingles", "rest"]
+    share = round(threshold * 100)
+    names = ["node", "label", "marks", "odd", "whole", "n_shingles", "set", "rest"]
     left = dealt.where("probing").select("band", "place", *[F.col(c).alias(f"l_{c}") for c in names])
     joined = left.join(dealt.select("band", *names[:-1]), "band").drop("band")
 
@@ -346,8 +358,8 @@ def across(dealt: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 place, row = batch.column(0)[k].as_py(), [batch.column(c)[k].values for c in range(1, batch.num_columns)]
-                left, right = Side(*row[:6]), Side(*row[7:])
-                for j in np.flatnonzero(~row[6].to_numpy(zero_copy_only=False)):
+                left, right = Side(*row[:7]), Side(*row[8:])
+                for j in np.flatnonzero(~row[7].to_numpy(zero_copy_only=False)):
                     near = np.flatnonzero((distances(left.odd[j], right.odd) <= limit) & (right.label != left.label[j]))
                     near = near[np.argmax(right.marks[near] == left.marks[j], axis=1) == place]
                     if not len(near):
@@ -359,7 +371,12 @@ def across(dealt: DataFrame, threshold: float) -> DataFrame:
                         if least[i] <= 0:
                             own = (float(most[i] / (right.sizes[near[i]] + left.sizes[j])), other)
                             sure[key] = min(sure.get(key, own), own)
-                        elif key not in sure:
+                        elif key in sure:
+                            continue
+                        elif left.sets[j] is not None and right.sets[near[i]] is not None:
+                            if alike(left.sets[j], right.sets[near[i]], share):
+                                sure[key] = (-np.inf, other)
+                        else:
                             open_.setdefault(key, []).append(other)
                             held += 1
             if held > 1 << 17:
@@ -373,17 +390,41 @@ def across(dealt: DataFrame, threshold: float) -> DataFrame:
     return kept.select(F.least("probe", "other").alias("a"), F.greatest("probe", "other").alias("b")).distinct()
 
 
+def texts_of(staged: Staging, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """own (8 bytes of the id), text of the documents whose id falls in a slot of some node; the slots are at most SLOTS."""
+    slot = lambda own: F.pmod(F.xxhash64(own), F.lit(SLOTS))
+    wanted = staged.put("slots", nodes.select(slot(F.substring("node", 1, 8)).alias("slot")).distinct())
+    rows = docs.select(_sorted(docs["doc_id"].cast("long")).alias("own"), docs["text"]).withColumn("slot", slot(F.col("own")))
+    return rows.join(F.broadcast(wanted), "slot", "left_semi").select("own", "text")
+
+
+def sets_of(staged: Staging, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, set (its sorted shingle hashes, 8 bytes each) of some nodes, from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            own = _matrix(batch.column(0), 8)
+            for lo, hi in chunks(offsets):
+                found, sizes = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                node = _fixed(np.hstack([own[lo:hi], set_keys(found, sizes)]))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                sets = pa.array([found[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([node, sets], names=["node", "set"])
+
+    found = texts_of(staged, nodes, docs).mapInArrow(lean(run), "node binary, set binary")
+    # rows that repeat an id and a set are one
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+
+
 def confirm(staged: Staging, pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity.
 
-    Only texts whose id falls in a slot that some pair wants are read on; the slots are at most SLOTS.
+    Only texts whose id falls in a slot that some pair wants are read on.
     """
     share = round(threshold * 100)
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).withColumn("side", F.col("node") != F.col("a"))
-    slot = lambda own: F.pmod(F.xxhash64(own), F.lit(SLOTS))
-    wanted = staged.put("slots", sides.select(slot(F.substring("node", 1, 8)).alias("slot")).distinct())
-    rows = docs.select(_sorted(docs["doc_id"].cast("long")).alias("own"), docs["text"]).withColumn("slot", slot(F.col("own")))
-    rows = rows.join(F.broadcast(wanted), "slot", "left_semi").select("own", "text")
+    rows = texts_of(staged, sides, docs)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,8 +455,7 @@ def confirm(staged: Staging, pairs: DataFrame, docs: DataFrame, threshold: float
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 for k in range(hi - lo):
                     x, y = (found[ends[j] : ends[j + 1]] for j in (2 * k, 2 * k + 1))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[lo + k] = 100 * both >= share * (len(x) + len(y) - both)
+                    keep[lo + k] = alike(x, y, share)
             first = batch.slice(0, n).take(pa.array(np.flatnonzero(keep) * 2))
             yield first.select([0, 1])
 
@@ -439,10 +479,14 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = 0.75) -> Dat
     named = classes.join(labels, "node", "left").select("node", "bands", F.xxhash64(F.coalesce("label", "node")).alias("label"))
     named = staged.put("named", named)
     tally = named.select(F.explode("bands").alias("band"), "label").groupBy("band", "label").agg(F.count("*").alias("n"))
-    several = tally.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count("*").alias("n")).where("n > 1").select("band", "largest")
+    several = tally.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    several = several.select("band", F.col("most.label").alias("largest"), ((F.col("n") >= MANY) & (F.col("n") - F.col("most.n") >= PROBES)).alias("crowded"))
     placed = named.select(F.posexplode("bands").alias("place", "band"), "node", "label").join(several, "band")
-    at = placed.select("band", "place", "node", "label", (F.col("label") == F.col("largest")).alias("rest"))
-    dealt = staged.put("blocks", blocks(at.join(classes.select("node", "marks", "odd", "whole", "n_shingles"), "node")))
+    at = staged.put("placed", placed.select("band", "place", "node", "label", "crowded", (F.col("label") == F.col("largest")).alias("rest")))
+    sets = staged.put("sets", sets_of(staged, at.where("crowded").select("node").distinct(), docs))
+    held = classes.select("node", "marks", "odd", "whole", "n_shingles").join(sets, "node", "left")
+    dealt = staged.put("blocks", blocks(at.join(held, "node").withColumn("set", F.when(F.col("crowded"), F.col("set")))))
+    staged.drop("placed", "sets")
     pairs = staged.put("pairs-2", across(dealt, threshold))
     found = staged.put("links-2", confirm(staged, pairs, docs, threshold))
     for x in "ab":

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -73,6 +74,32 @@ def test_second_round_finds_all_that_the_first_misses(spark, docs_of, monkeypatc
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == want
 
 
+def test_open_pairs_of_a_large_group_do_not_grow_with_its_square(spark, docs_of, monkeypatch):
+    """Copies of one text with two other words: those with one place in common are at 0.748, those with both linked."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(108)]
+    places = list(itertools.combinations(range(5, 101, 5), 2))
+    texts = []
+    for pair in places + places[:20]:
+        words = list(base)
+        for k in pair:
+            words[k] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    counted, across = [], minhash.across
+
+    def counting(dealt, threshold):
+        out = across(dealt, threshold)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "across", counting)
+    got = {r.doc_id: r for r in minhash.near_duplicates(spark, docs_of(texts)).collect()}
+    want = brute(texts, list(range(len(texts))))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == want
+    assert len({component for _, component in want}) == len(places)
+    assert counted[0] < 5 * len(texts)
+
+
 def test_repeated_and_null_ids(spark, docs_of):
     text = "a b c d e f g"
     got = minhash.near_duplicates(spark, docs_of([text, text, text, "other words", "x y", "x y"], ids=[3, 3, None, 3, None, None])).collect()
