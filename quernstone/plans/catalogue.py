@@ -679,7 +679,7 @@ _IMAGE_FILE = "lpad(doc_id::VARCHAR, 6, '0') || '.png'"
 
 
 def _images(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.concat(F.format_string("%06d", "doc_id"), F.lit(".png")).alias("image_file"))
+    return fx.table(spark, sf, "documents").select("doc_id", fx.image_file(F.col("doc_id")).alias("image_file"))
 
 
 @query("pending_captions", f"SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'label ' || l.toxic END, '') AS caption, coalesce(l.quality, 0) <> 1 AS pending FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -689,7 +689,7 @@ def _(spark, sf):
 
 
 def _wanted(spark, sf):
-    return fx.table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.format_string("%06d", F.col("doc_id") * 2), F.lit(".png")).alias("image_file"))
+    return fx.table(spark, sf, "labels").where("toxic = 1").select(fx.image_file(F.col("doc_id") * 2).alias("image_file"))
 
 
 _WANTED = "wanted AS (SELECT DISTINCT lpad((doc_id * 2)::VARCHAR, 6, '0') || '.png' AS image_file FROM labels WHERE toxic = 1)"
