@@ -40,3 +40,9 @@ def test_long_document_ids(spark, long_keys, name):
 
 def test_manifest_of_long_indices(spark, long_keys):
     same(spark, "manifest_file", long_keys)
+
+
+def test_selection_with_unknown_names(spark, tmp_path):
+    """Some names of labels are unknown, others are known by their first six digits alone."""
+    folder = tables(tmp_path, documents="t.* replace (doc_id * 9000 as doc_id)", labels="t.* replace (case when doc_id % 2 = 0 then doc_id * 9000 else doc_id * 9000 + 5000001 end as doc_id)")
+    same(spark, "unknown_selection", folder)
