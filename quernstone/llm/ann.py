@@ -2,17 +2,25 @@
 
 Coarse centroids (the square root of the number of rows, at most SAMPLE) and the codebooks of
 residuals are trained by k-means on SAMPLE rows at most, in the order of a hash of the id; every
-row is indexed. The first rows in that order, up to TRIALS or a quarter of the sample, are kept
-out of the training. Their nearest others among all rows are found by brute force, in one pass,
-and the number of probes is the least with which TARGET of these are in a probed list (few in
-clustered data, many in shapeless data). An index row is its list, its code of one byte a subspace, and its vector. Lists are cut
-into blocks of BLOCK rows after a range sort on (list, hash), so that a list that holds a third of
-all rows lies in many tasks. A query probes the lists with the nearest centroids. Lists are dealt
-to at most SHARDS shards, and a query goes once to each shard in which it probes a list, with a
-bit for each of these, so that its copies have a bound; blocks of queries meet blocks of rows by
-an equi-join on the shard. Within a pair of blocks, for the queries that probe the block's list,
-asymmetric distance tables give each row's estimate, the RERANK best rows of each block are scored exactly, and the
-best k stay; a window takes the best k over all blocks.
+row is indexed. An index row is its list, its code of one byte a subspace, the distance that the
+code loses, and its vector. Lists are cut into blocks of BLOCK rows after a range sort on (list,
+hash), so that a list that holds a third of all rows lies in many tasks.
+
+Each query has its own probes. Its k-th best score among the sampled rows is a floor of its k-th
+best of all. It probes the nearest list, and each one whose centroid's inner product with it, plus
+a share of the list's radius (over all rows), reaches the floor. With the whole radius that loses
+nothing; the share is at least LEAST_SLACK / sqrt(dimensions), as a row at that distance in a random direction
+adds about that little, and at least the least with which TARGET of the true neighbours of TRIALS rows, kept out of the
+training and searched by brute force in one pass, are in a probed list. So a query among clusters
+probes few lists, one apart from them many, whatever most rows need.
+
+Lists are dealt to at most SHARDS shards, and a query goes once to each shard in which it probes a
+list, with a bit for each of these, so that its copies have a bound; blocks of queries meet blocks
+of rows by an equi-join on the shard. Within a pair of blocks, for the queries that probe the
+block's list, asymmetric distance tables give each row's estimate, which the lost distance turns
+into bounds. Rows whose upper bound is below the k-th lower bound go; the others are scored
+exactly, and the best k stay; a window takes the best k over all blocks. However alike rows are
+for the codes, none that is among the best of a probed list is lost.
 
 Nearness is the largest cosine of the original vectors in double precision, so unit vectors
 are indexed. Defined results: see vectors.py; zero vectors take no part either. With fewer
@@ -36,8 +44,9 @@ from .vectors import BLOCK_SCHEMA, best, checked, cut_blocks, matrix, queries_of
 SAMPLE = 16_384
 BLOCK = 2048
 QUERY_BLOCK = 256
-RERANK = 64
-TARGET = 0.97
+TARGET = 0.99
+LEAST_SLACK = 3.0
+ROUNDING = 1e-9
 TRIALS = 256
 CODES = 256
 SHARDS = 128
@@ -67,7 +76,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and codebooks."""
 
-    def __init__(self, sample: np.ndarray, rows: int):
+    def __init__(self, sample: np.ndarray, rows: int, known: np.ndarray | None = None, known_ids: np.ndarray | None = None):
+        """Trained on `sample`; the rows `known` give queries their floors."""
         sample = unit(sample)
         d = sample.shape[1]
         self.centres = kmeans(sample, max(1, round(rows**0.5)))
@@ -75,28 +85,47 @@ class Index:
         parts = next(m for m in (16, 8, 4, 2, 1) if d % m == 0)
         self.spans = [(a, a + d // parts) for a in range(0, d, d // parts)]
         self.books = [kmeans(rest[:, a:b], CODES, 5) for a, b in self.spans]
-        self.probes = len(self.centres)
-
-    def enough(self, trials: np.ndarray, near: list[np.ndarray]) -> int:
-        """Probes that reach the share TARGET of each trial's nearest others."""
-        ranks = []
-        for lists, own in zip(self.probe(trials), near):
-            order = np.empty(len(self.centres), int)
-            order[lists] = np.arange(len(self.centres))
-            ranks.append(order[nearest(own, self.centres)])
-        ranks = np.sort(np.concatenate([np.zeros(0, int), *ranks]))
-        return int(ranks[min(len(ranks) - 1, int(np.ceil(len(ranks) * TARGET)))]) + 1 if len(ranks) else len(self.centres)
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.radii = np.full(len(self.centres), -np.inf)  # of the rows of each list; none: never probed
+        self.slack = 1.0
+        self.sample = unit(known) if known is not None else np.zeros((0, d))
+        self.sample_ids = known_ids if known_ids is not None else np.zeros(0, np.int64)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(list, code, distance from the centroid, distance from what the code stands for) of each row."""
         x = unit(x)
         of = nearest(x, self.centres)
         rest = x - self.centres[of]
-        return of, np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self.spans, self.books)], axis=1).astype(np.uint8)
-
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        """Lists to search, nearest centroid first, by the inner product with unit vectors."""
-        half = (self.centres * self.centres).sum(axis=1) / 2
-        return np.argsort(-(unit(q) @ self.centres.T - half), axis=1, kind="stable")[:, : self.probes]
+        codes = np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self.spans, self.books)], axis=1).astype(np.uint8)
+        lost = rest - np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+        return of, codes, np.sqrt((rest * rest).sum(axis=1)), np.sqrt((lost * lost).sum(axis=1))
+
+    def floors(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best score of each unit query among the sampled rows, which is no better than that among all."""
+        score = q @ self.sample.T
+        score[q_ids[:, None] == self.sample_ids] = -np.inf
+        return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
+
+    def calibrate(self, ids: np.ndarray, trials: np.ndarray, near: list[np.ndarray], k: int) -> None:
+        """The share of a list's radius with which TARGET of each trial's nearest others are in a probed list."""
+        floors = self.floors(ids, trials, k)
+        needs = [np.zeros(0)]
+        for q, floor, own in zip(trials, floors, near):
+            of = nearest(own, self.centres)
+            needs.append((floor - self.centres[of] @ q) / np.maximum(self.radii[of], 1e-9))
+        needs = np.sort(np.concatenate(needs))
+        enough = needs[min(len(needs) - 1, int(np.ceil(len(needs) * TARGET)))] if len(needs) else 1.0
+        self.slack = float(min(1.0, max(enough, LEAST_SLACK / len(self.centres[0]) ** 0.5)))
+
+    def probe(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """Lists to search, as one bool a list: the nearest one, and all that can reach the floor of the query."""
+        out = np.zeros((len(q), len(self.centres)), bool)
+        half = np.where(np.isfinite(self.radii), (self.centres * self.centres).sum(axis=1) / 2, np.inf)
+        for lo in range(0, len(q), QUERY_BLOCK):
+            own = unit(q[lo : lo + QUERY_BLOCK])
+            score = own @ self.centres.T
+            out[lo : lo + QUERY_BLOCK] = score + self.slack * self.radii >= self.floors(q_ids[lo : lo + QUERY_BLOCK], own, k)[:, None] - ROUNDING
+            out[np.arange(lo, lo + len(own)), np.argmax(score - half, axis=1)] = True
+        return out
 
     def estimates(self, q: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of unit queries and rows of list `of`, from tables of query parts and code words."""
@@ -106,23 +135,31 @@ class Index:
         return out
 
 
-def search_block(index: Index, of: int, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int) -> tuple[list, list, list]:
-    """(query ids, row ids, scores): up to k rows for each query, exactly scored."""
+def at_least(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, as a column; below all where there are fewer."""
+    return np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] >= k else np.full((len(score), 1), -np.inf)
+
+
+def search_block(index: Index, of: int, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, lost: np.ndarray, k: int) -> tuple[list, list, list]:
+    """(query ids, row ids, scores): the k best rows of the block for each query, exactly scored.
+
+    A row's score is within `lost` of its estimate, so only rows that can be among the k best are scored.
+    """
     order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
+    ids, x, codes, lost = ids[order], x[order], codes[order], lost[order]
     norm = np.sqrt((x * x).sum(axis=1))
+    own = q_ids[:, None] == ids
     guess = index.estimates(unit(q), of, codes)
+    guess[own] = -np.inf
+    can = guess + lost >= at_least(guess - lost, k) - ROUNDING
+    can &= ~own
+    some = np.flatnonzero(can.any(axis=0))
+    score = unit(q) @ (x[some] / norm[some, None]).T
+    score[~can[:, some]] = -np.inf
+    can = (score >= at_least(score, k) - ROUNDING) & np.isfinite(score)
     out: tuple[list, list, list] = ([], [], [])
     for j in range(len(q)):
-        own = ids == q_ids[j]
-        row = np.where(own, -np.inf, guess[j])
-        if len(row) > RERANK:
-            least = np.partition(row, len(row) - RERANK)[len(row) - RERANK]
-            take = np.flatnonzero(row > least)
-            take = np.append(take, np.flatnonzero(row == least)[: RERANK - len(take)])
-        else:
-            take = np.arange(len(row))
-        take = np.sort(take[~own[take]])
+        take = some[can[j]]
         score = (x[take] * q[j]).sum(axis=1) / (norm[take] * np.sqrt((q[j] * q[j]).sum()))
         top = np.lexsort((ids[take], -score))[:k]
         out[0].extend([q_ids[j]] * len(top))
@@ -167,31 +204,32 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
     empty = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], empty)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()  # bounded
-    sample = np.array([r[0] for r in sample], np.float64)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "vector").collect()  # bounded
+    ids, sample = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], np.float64)
     held = min(TRIALS, len(sample) // 4)
-    trials, index = unit(sample[:held]), Index(sample[held:], n)
-    index.probes = index.enough(trials, brute(rows, trials, d, k))
+    trials, index = unit(sample[:held]), Index(sample[held:], n, sample, ids)
     shards = min(SHARDS, len(index.centres))
+    parts = len(index.spans)
     width = -(-len(index.centres) // (8 * shards))  # bytes of a query's bits in a shard
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(1), d)
-                of, codes = index.encode(x)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary())], names=["list", "vec_id", "row", "extra"])
+                of, codes, far, lost = index.encode(x)
+                extra = np.concatenate([codes, lost[:, None].view(np.uint8)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in extra], pa.binary()), pa.array(far)], names=["list", "vec_id", "row", "extra", "far"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(1), d)
-                lists = index.probe(x)
+                query, lists = np.nonzero(index.probe(batch.column(0).to_numpy(), x, k))
                 wanted = np.zeros((len(x), shards, width * 8), bool)
-                wanted[np.arange(len(x))[:, None], lists % shards, lists // shards] = True
+                wanted[query, lists % shards, lists // shards] = True
                 query, shard = np.nonzero(wanted.any(axis=2))
                 packed, bits = [r.tobytes() for r in x], np.packbits(wanted[query, shard], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(query)), pa.array([packed[k] for k in query], pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary())], names=["list", "vec_id", "row", "extra"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(query)), pa.array([packed[j] for j in query], pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary())], names=["list", "vec_id", "row", "extra"])
 
     fields = "list long, vec_id long, row binary, extra binary"
 
@@ -199,8 +237,11 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
         dealt = df.withColumn("turn", F.xxhash64("vec_id")).repartitionByRange("list", "turn").sortWithinPartitions("list", "turn").drop("turn")
         return dealt.mapInArrow(lambda batches: cut_blocks(batches, most), BLOCK_SCHEMA)
 
-    indexed = staged.put("index", rows.mapInArrow(lean(encode), fields))
-    blocks = staged.put("blocks", packed(indexed, BLOCK))
+    indexed = staged.put("index", rows.mapInArrow(lean(encode), f"{fields}, far double"))
+    for r in indexed.groupBy("list").agg(F.max("far").alias("far")).collect():  # one a list, at most SAMPLE
+        index.radii[r["list"]] = r["far"]
+    index.calibrate(ids[:held], trials, brute(rows, trials, d, k), k)
+    blocks = staged.put("blocks", packed(indexed.drop("far"), BLOCK))
     asked = staged.put("queries", packed(queries_of(rows, wanted).mapInArrow(lean(probe), fields), QUERY_BLOCK))
     staged.drop("index")
     asked = asked.select(F.col("list").alias("shard"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("extra").alias("q_bits"))
@@ -208,11 +249,13 @@ def search(spark: SparkSession, embeddings: DataFrame, wanted: Column, k: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for of, q_ids, q, bits, ids, x, codes in zip(*[c.to_pylist() for c in batch.columns]):
+            for of, q_ids, q, bits, ids, x, extra in zip(*[c.to_pylist() for c in batch.columns]):
                 probes = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=1)[:, of // shards] > 0
                 if not probes.any():
                     continue
-                found = search_block(index, of, np.frombuffer(q_ids, "<i8")[probes], np.frombuffer(q).reshape(-1, d)[probes], np.frombuffer(ids, "<i8"), np.frombuffer(x).reshape(-1, d), np.frombuffer(codes, np.uint8).reshape(-1, len(index.spans)), k)
+                extra = np.frombuffer(extra, np.uint8).reshape(-1, parts + 8)
+                codes, lost = extra[:, :parts], np.ascontiguousarray(extra[:, parts:]).view(np.float64)[:, 0]
+                found = search_block(index, of, np.frombuffer(q_ids, "<i8")[probes], np.frombuffer(q).reshape(-1, d)[probes], np.frombuffer(ids, "<i8"), np.frombuffer(x).reshape(-1, d), codes, lost, k)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     found = pairs.select("list", "q_ids", "q_rows", "q_bits", "ids", "rows", "extra").mapInArrow(lean(run), "query_id long, vec_id long, score double")
