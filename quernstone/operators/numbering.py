@@ -9,18 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def number(df: DataFrame, order: Sequence[str | Column], start: int = 1, name: str = "index") -> DataFrame:
+def number(df: DataFrame, order: Sequence[str | Column], start: int = 1, name: str = "index", tasks: int | None = None) -> DataFrame:
     """Contiguous numbers in a total order, without a window over one partition.
 
     Rows are range-sorted; the counts of the partitions before (one row a partition) are added
     to each row's place in its own partition. The range-sorted rows are checkpointed between the
     two passes where the session has a checkpoint folder, as recomputed partitions might differ;
-    `order` must be total for the same reason.
+    `order` must be total for the same reason. `tasks`: how many partitions, where the session's choice would make them too large.
     """
     spark = df.sparkSession
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     part, place = f"_{name}_part", f"_{name}_place"
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()})
+    dealt = df.repartitionByRange(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()})
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         spark.sparkContext.setCheckpointDir(folder)

@@ -41,6 +41,10 @@ def kept(spark: SparkSession, sf: str) -> DataFrame:
     return detection.by_score(fx.regions(spark, sf), 0.8)
 
 
+def _tasks(spark: SparkSession, sf: str) -> int | None:
+    return fx.tasks(fx.table(spark, sf, "lineitem"))
+
+
 # -- detections ----------------------------------------------------------------
 
 
@@ -276,7 +280,7 @@ def skips(spark: SparkSession, sf: str) -> DataFrame:
   round_even(fitted_side * 10e0, 0) / 10e0 AS fitted_side, round_even(tier / fitted_side * 10000e0, 0) / 10000e0 AS scale, round_even(sharp * 10e0, 0) / 10e0 AS sharpness,
   round_even(crop_x * 10e0, 0) / 10e0 AS crop_x, round_even(crop_y * 10e0, 0) / 10e0 AS crop_y, clamped, extends AS extended, face_index::INTEGER AS face_index, faces_in_image::INTEGER AS faces_in_image FROM numbered""")
 def _(spark, sf):
-    rows = numbering.number(crops(spark, sf), ["image_id", "face_index"])
+    rows = numbering.number(crops(spark, sf), ["image_id", "face_index"], tasks=_tasks(spark, sf))
     files = numbering.names(F.col("index"), F.col("tier"))
     tenth = numbering.tenth
     return rows.select(
@@ -288,7 +292,7 @@ def _(spark, sf):
 
 @query("global_numbering", f'WITH {fx.KEPT} SELECT image_id, det, row_number() OVER (ORDER BY image_id, det) + 99 AS "index" FROM kept')
 def _(spark, sf):
-    return numbering.number(kept(spark, sf), ["image_id", "det"], start=100).select("image_id", "det", "index")
+    return numbering.number(kept(spark, sf), ["image_id", "det"], start=100, tasks=_tasks(spark, sf)).select("image_id", "det", "index")
 
 
 @query("skip_log", f"WITH {_CROPS} SELECT image_id, det, reason, detail FROM skips")
@@ -315,7 +319,7 @@ def _(spark, sf):
 
 @query("max_index", f'WITH {_CROPS} SELECT max("index") AS max_index FROM numbered')
 def _(spark, sf):
-    return numbering.number(crops(spark, sf), ["image_id", "face_index"]).agg(F.max("index").alias("max_index"))
+    return numbering.number(crops(spark, sf), ["image_id", "face_index"], tasks=_tasks(spark, sf)).agg(F.max("index").alias("max_index"))
 
 
 @query("mask_tallies", f"""WITH {_CROPS} SELECT count(*) FILTER (image_id % 3 = 0) AS masked, count(*) FILTER (image_id % 3 <> 0) AS unmasked_kept,
